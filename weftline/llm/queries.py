@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import table
-from . import repeats
+from . import mixture, pieces, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,28 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_lines(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
+
+
+@query()
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).taken()
+
+
+@query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "documents"), with_text=False).where("piece_no = 1").select("doc_id")
+
+
+@query()
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "documents"))
