@@ -60,3 +60,17 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def local_path(uri: str) -> str:
     return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else os.fspath(uri)
+
+
+#: Rows of a narrow table up to which it may be broadcast, after they have been counted.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffle.
+
+    For tables that are already cut from their lineage, so that counting them is cheap.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
