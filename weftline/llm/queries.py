@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import table
-from . import mixture, pieces, repeats, tokens
+from . import mixture, neardup, pieces, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neardup.NearDuplicates(table(spark, sf_dir, "extracted"))
+    return near.pairs().select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
+
+
+@query()
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neardup.NearDuplicates(table(spark, sf_dir, "extracted"))
+    return near.groups().select(F.col("id").alias("ord"), F.col("rep").alias("class_ord"), F.col("grp").alias("group_ord"), "n_links")
