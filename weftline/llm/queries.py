@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import table
-from . import mixture, neardup, pieces, repeats, tokens
+from . import mixture, neardup, pages, pieces, repeats, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neardup.NearDuplicates(table(spark, sf_dir, "extracted"))
     return near.groups().select(F.col("id").alias("ord"), F.col("rep").alias("class_ord"), F.col("grp").alias("group_ord"), "n_links")
+
+
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.damaged_records(table(spark, sf_dir, "extracted"))
+
+
+@query()
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.restored_lines(table(spark, sf_dir, "extracted"))
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.dropped_lines(table(spark, sf_dir, "extracted"))
+
+
+@query()
+def p6_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_body(table(spark, sf_dir, "extracted"))
