@@ -17,23 +17,32 @@ from .repeats import site_of
 
 
 class Judge:
-    """Models for the pages of one table of records (ord, url, title, text column)."""
+    """Models for the pages of one table of records (ord, url, title, text column).
 
-    def __init__(self, records: DataFrame, text: str = "text", key: str = "ord"):
+    ``text`` is the column that is judged, ``whole`` the one with all of a page, from which the
+    models are fitted.
+    """
+
+    def __init__(self, records: DataFrame, text: str = "text", key: str = "ord", whole: str = "text"):
         self.records, self.text, self.key = records, text, key
         spark = records.sparkSession
-        own = records.where(F.col(text).isNotNull() & (F.col(text) != ""))
-        self.pairs = encoding.count_pairs(own, text)
+        own = records.where(F.col(whole).isNotNull() & (F.col(whole) != ""))
+        self.pairs = encoding.count_pairs(own, whole)
         rows = own.count()
         # Records with the least hashes: the share that gives SAMPLE of them.
         bound = 2**31 if rows <= body.SAMPLE else int(2**31 * body.SAMPLE / rows)
         picked = own.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)) < bound)
-        sample = picked.select(site_of(F.col("url")).alias("site"), "title", F.col(text).alias("t")).limit(2 * body.SAMPLE).collect()
+        sample = picked.select(site_of(F.col("url")).alias("site"), "title", F.col(whole).alias("t")).limit(2 * body.SAMPLE).collect()
         fixed = encoding.repair_texts([r.t for r in sample], self.pairs)
         self.sample = [(r.site, r.title, "\n".join(x for x, _, _ in t)) for r, t in zip(sample, fixed)]
         self.body = body.fit(self.sample)
         self.models = spark.sparkContext.broadcast((self.pairs, self.body))
 
+    def sample_content(self) -> list[list[str]]:
+        """The content lines of the sample's pages."""
+        judged = body.label_texts([t for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body, None)
+        return [[x[0] for x in lines if x[0].strip() and not x[3]] for lines in judged]
+
     def judged(self, emit, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
         """Rows that ``emit(key, lines, *extra)`` yields for each record; key first in ``schema``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import table
-from . import mixture, neardup, pages, pieces, repeats, tokens
+from . import mixture, neardup, pages, pieces, repeats, residue, spam, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p6_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_body(table(spark, sf_dir, "extracted"))
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.found(pages.Judge(table(spark, sf_dir, "extracted"), "main_text"))
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(pages.Judge(table(spark, sf_dir, "extracted"), "main_text"))
