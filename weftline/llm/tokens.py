@@ -11,8 +11,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import put_file
+from ..plans.shared import cut, put_file
 from . import lexicon as lx
+from .encoding import most_frequent
 
 #: Words in the lexicon at most; the frequent ones by count over all texts. Bounds the automaton.
 LEXICON_WORDS = 50_000
@@ -29,7 +30,7 @@ def _encoder(name: str, folder: str, file: str | None) -> lx.Encoder:
 
 
 def frequent_words(texts: DataFrame, column: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of PATTERN over all texts, ties in code order."""
+    """The most frequent words of PATTERN over all texts: whole steps of frequency, at most ``most``."""
 
     def count(batches):
         kept = (t for b in batches for t in b.column(0).to_pylist())
@@ -39,8 +40,8 @@ def frequent_words(texts: DataFrame, column: str, most: int = LEXICON_WORDS) ->
                 [pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], names=["word", "n"]
             )
 
-    counts = texts.select(column).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = cut(texts.select(column).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    return [r.word for r in most_frequent(counts, "n", most).select("word").collect()]
 
 
 def build_lexicon(texts: DataFrame, column: str, name: str, folder: str = lx.TOKENIZERS, most: int = LEXICON_WORDS) -> str:
