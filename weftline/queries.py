@@ -43,3 +43,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.next_run(
         table(spark, sf_dir, "freshness_events"), table(spark, sf_dir, "freshness"), table(spark, sf_dir, "crawl_runs")
     )
+
+
+from . import queries_search  # noqa: E402
+
+for _more in (queries_search,):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL
+FLAGSHIP = "bm25_topk"
