@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StringType
 
 TERM = "[\\p{L}\\p{N}]+(?:['’][\\p{L}\\p{N}]+)*"
 WORD = "[\\p{L}\\p{N}_]+"
@@ -27,7 +28,7 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def fold_exact(text: pa.Array) -> pa.Array:
     """NFKC and full case folding."""
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in text.to_pylist()], pa.string())
@@ -57,7 +58,10 @@ def content_hash(text: Column) -> Column:
 def shingles(tokens: Column, k: int = SHINGLE) -> Column:
     """All runs of k words in order, repeats included; fewer words are one shingle, none give none."""
     n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), n - F.lit(k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), " "))
+    m = F.greatest(n - F.lit(k - 1), F.lit(0))
+    # Shifted copies side by side: the words would be derived again for each index inside a lambda.
+    side = F.arrays_zip(*[F.slice(tokens, i + 1, m) for i in range(k)])
+    runs = F.transform(side, lambda x: F.concat_ws(" ", *[x[str(i)] for i in range(k)]))
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= k, F.array(F.array_join(tokens, " "))).otherwise(runs)
 
 
@@ -83,7 +87,7 @@ def simhash(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 0, print_)
 
 
-@arrow_udf("bigint")
+@arrow_udf(LongType())
 def simhash_exact(text: pa.Array) -> pa.Array:
     """64-bit fingerprint by BLAKE2b over 4-word shingles of the lower-cased words; null if none."""
     import re

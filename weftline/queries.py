@@ -45,9 +45,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import queries_search  # noqa: E402
+from . import queries_search, queries_web  # noqa: E402
 
-for _more in (queries_search,):
+for _more in (queries_search, queries_web):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
 FLAGSHIP = "bm25_topk"
