@@ -73,10 +73,8 @@ def supported_nodes(keyed: DataFrame, support: int) -> DataFrame:
 def supported_edges(keyed: DataFrame, nodes: DataFrame, support: int) -> DataFrame:
     """(a, b, n): neighbouring lines, both kept, that are neighbours in ``support`` records."""
     seq = F.filter("keys", lambda k: k != 0)
-    pair = F.transform(
-        F.sequence(F.lit(1), F.size("_s") - 1),
-        lambda i: F.struct(F.element_at("_s", i).alias("a"), F.element_at("_s", i + 1).alias("b")),
-    )
+    n = F.size("_s") - 1
+    pair = F.arrays_zip(F.slice("_s", 1, n).alias("a"), F.slice("_s", 2, n).alias("b"))
     pairs = (
         keyed.select(seq.alias("_s"))
         .where(F.size("_s") > 1)
