@@ -441,3 +441,55 @@ def change_rate(spark, d):
 @query(f"WITH RECURSIVE {_FOLD} SELECT url, nullif(etag, '') AS if_none_match, nullif(last_modified, '') AS if_modified_since FROM st")
 def revalidation_headers(spark, d):
     return FR.validators(_states(spark, d))
+
+
+# -- pages ---------------------------------------------------------------------
+
+
+def _html(spark, d):
+    """Pages written from the extracted records, with furniture around the text."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    e = table(spark, d, "extracted")
+    title, main = esc(F.coalesce("title", F.lit(""))), esc(F.coalesce("main_text", F.lit("")))
+    anchors = F.array_join(F.transform("links", lambda u: F.concat(F.lit('<a href="'), esc(u), F.lit('#x">l</a>'))), " ")
+    canonical = F.when(F.col("canonical").isNotNull(), F.concat(F.lit('<link rel="canonical" href="'), esc(F.col("canonical")), F.lit('">'))).otherwise("")
+    body = F.concat(
+        F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), title, F.lit("</title>"), canonical, F.lit("</head><body><nav>menu "), anchors,
+        F.lit("</nav><script>var p = '</p>';</script><article><p>"), F.replace(main, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article><footer>end</footer></body></html>"),
+    )
+    return e.select("ord", "url", "title", "links", "canonical", "main_text", body.cast("binary").alias("body"))
+
+
+_FLAT = r"trim(regexp_replace(replace(coalesce({}, ''), chr(10), ' '), '[\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def _extracted(spark, d):
+    from .functions import html
+
+    p = _html(spark, d)
+    return p.select("ord", "links", "canonical", html.extracted("body", "url", F.lit("text/html")).alias("x"))
+
+
+@query(f"SELECT ord, {_FLAT.format('title')} AS title, {_FLAT.format('main_text')} AS main_text, canonical, 'utf-8' AS encoding, 'meta tag' AS encoding_source FROM extracted")
+def html_extract(spark, d):
+    return _extracted(spark, d).select("ord", "x.title", "x.main_text", "x.canonical", "x.encoding", "x.encoding_source")
+
+
+@query("SELECT ord, CASE WHEN links IS NULL THEN [] ELSE list_sort(list_distinct(links)) END AS found FROM extracted")
+def html_links(spark, d):
+    return _extracted(spark, d).select("ord", F.array_sort("x.links").alias("found"))
+
+
+@query()
+def page_markdown(spark, d):
+    from .functions import html
+
+    return _html(spark, d).select("ord", html.to_markdown("body", "url", F.lit("text/html")).alias("markdown"))
+
+
+@query("SELECT ord, CASE WHEN ord % 2 = 0 THEN 'utf-8' ELSE 'windows-1252' END AS encoding, CASE WHEN ord % 2 = 0 THEN 'utf-8 decoded cleanly' ELSE 'fallback' END AS source FROM extracted")
+def charset_detect(spark, d):
+    from .functions import charset
+
+    e = table(spark, d, "extracted").select("ord", F.concat(F.lit("p ").cast("binary"), F.when(F.pmod("ord", F.lit(2)) == 0, F.unhex(F.lit("C3A9"))).otherwise(F.unhex(F.lit("E9")))).alias("body"))
+    return e.select("ord", charset.decoded("body", F.lit("text/html; charset=utf-8x")).alias("x")).select("ord", "x.encoding", "x.source")
