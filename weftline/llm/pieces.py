@@ -49,11 +49,12 @@ def cut_points(n: int, at: np.ndarray, strength: np.ndarray, k: int, overlap: in
     cuts, last = [], 0
     for i in range(1, k):
         target = round(i * (length - overlap) + overlap)
-        lo, hi = np.searchsorted(at, [max(last + overlap + 1, target - window), min(n - 1, target + window) + 1])
+        first, end = max(last + 1, overlap), n - (k - i)
+        lo, hi = np.searchsorted(at, [max(first, target - window), min(end, target + window) + 1])
         if lo < hi:
             near = np.lexsort((at[lo:hi], abs(at[lo:hi] - target), -strength[lo:hi]))[0]
             target = int(at[lo + near])
-        target = max(target, last + overlap + 1)
+        target = min(max(target, first), end)
         cuts.append(target)
         last = target
     return cuts

@@ -176,7 +176,7 @@ def hashes(text: str) -> list[np.ndarray]:
     since = np.arange(len(a)) - np.maximum.accumulate(np.where(a == 10, np.arange(len(a)), -1))
     for n in _ORDERS:
         h = np.zeros(len(a), "u8")
-        for k in range(n):
+        for k in range(min(n, len(a))):
             h[k:] += a[: len(a) - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
