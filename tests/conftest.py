@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 DATA = os.environ.get("WEFTLINE_DATA", "/root/testdata/sf0.001")
 
@@ -42,24 +42,3 @@ def duck(data):
     for t in glob.glob(data + "/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(t)[:-8]} AS SELECT * FROM read_parquet('{t}')")
     return con
-
-
-def plain(v):
-    """A value as text that is equal in both engines."""
-    if isinstance(v, float):
-        return repr(round(v, 6) + 0.0)
-    if isinstance(v, (list, tuple)):
-        return "[" + ",".join(map(plain, v)) + "]"
-    return str(v)
-
-
-def rows(df):
-    cols = sorted(df.columns)
-    return sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
-
-
-def sql_rows(con, sql):
-    r = con.execute(sql)
-    names = [c[0] for c in r.description]
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(tuple(plain(x[i]) for i in order) for x in r.fetchall())
