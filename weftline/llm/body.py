@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -56,8 +57,10 @@ class BodyModel:
 def _features(lines: list[list[str]], ends: list[bool], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(feature slots, line of each): masked words, their pairs, and the line's form."""
     n = np.fromiter(map(len, lines), "i8", len(lines))
-    get = words.get
-    flat = np.fromiter((1 if t[0].isdigit() else get(t, 0) for l in lines for t in l), "i8", int(n.sum()))
+    every = list(chain.from_iterable(lines))
+    flat = np.fromiter(map(words.get, every, repeat(0)), "i8", len(every))
+    unknown = np.flatnonzero(flat == 0)
+    flat[unknown] = np.fromiter((every[i][0].isdigit() for i in unknown.tolist()), "i8", len(unknown))
     row = np.repeat(np.arange(len(lines)), n)
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     first, last = np.zeros(len(flat), bool), np.zeros(len(flat), bool)

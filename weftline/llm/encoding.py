@@ -246,6 +246,22 @@ LEAST_RUN, LEAST_UTF8, LEAST_TOTAL, LEAST_GAIN = 5.0, 6.0, 14.0, 1.0
 RARE = 7.0
 
 
+def _best_runs(score: np.ndarray, at: np.ndarray, line_of: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the best segment of each of n lines, all lines at once."""
+    best = np.zeros(n)
+    if not len(score):
+        return best
+    same = line_of[1:] == line_of[:-1]
+    gap = np.where(same, 0.25 * np.minimum(at[1:] - at[:-1] - 1, 40), 0.0)
+    rise = np.cumsum(score - np.concatenate([[0.0], gap]))
+    # Each line starts far below the one before, so the running minimum starts anew with it.
+    rise -= line_of * 1e7
+    before = np.concatenate([[rise[0] - score[0]], np.where(same, rise[:-1], rise[1:] - score[1:])])
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    best[line_of[start]] = np.maximum.reduceat(rise - np.minimum.accumulate(before), start)
+    return best
+
+
 def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", only: str | None = None) -> str | None:
     """The best inverse mapping of a run between two neighbours, or None if none holds.
 
@@ -338,29 +354,26 @@ def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, boo
     ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "u4") == 10)
     line_of = np.searchsorted(ends, at)
     n_lines = len(ends) + 1
-    risen = np.bincount(line_of, np.maximum(wide, 0), n_lines) >= LEAST_RUN
     flat = [(i, j) for i, t in enumerate(out) for j in range(len(t))]
-    suspects = np.flatnonzero(risen)
+    suspects = np.flatnonzero(_best_runs(wide, at, line_of, n_lines) >= LEAST_RUN)
+    is_deep = _best_runs(score, at, line_of, n_lines)[suspects] >= LEAST_RUN
     first = np.searchsorted(line_of, suspects)
     last = np.searchsorted(line_of, suspects, "right")
-    tests, deeps = [], []
-    for n, a, b in zip(suspects.tolist(), first.tolist(), last.tolist()):
-        if segments(wide[a:b], at[a:b], LEAST_RUN):
-            tests.append((n, a, b))
-            deeps.append(bool(segments(score[a:b], at[a:b], LEAST_RUN)))
-    deep = [t for t, d in zip(tests, deeps) if d]
-    passed: dict[int, bool] = {}
-    if deep:
-        pick = np.concatenate([np.arange(a, b) for _, a, b in deep])
-        of = np.repeat(np.arange(len(deep)), [b - a for _, a, b in deep])
-        passed = dict(zip((n for n, _, _ in deep), _screen(codes[pick], found[pick], of, len(deep), model).tolist()))
-    for (n, a, b), is_deep in zip(tests, deeps):
+    passed = np.zeros(len(suspects), bool)
+    deep = np.flatnonzero(is_deep)
+    if len(deep):
+        pick = np.concatenate([np.arange(first[k], last[k]) for k in deep])
+        of = np.repeat(np.arange(len(deep)), last[deep] - first[deep])
+        passed[deep] = _screen(codes[pick], found[pick], of, len(deep), model)
+    for k, n in enumerate(suspects.tolist()):
         i, j = flat[n]
         line = out[i][j][0]
-        runs = segments(wide[a:b], at[a:b], LEAST_RUN)
-        base = int(ends[n - 1]) + 1 if n else 0
-        if passed.get(n) or _may_be_multibyte(line, is_deep) or any(_may_be_multibyte(line[p - base : q - base + 2], False) for p, q in runs):
-            out[i][j] = repair_line(line, model, is_deep)
+        if not (passed[k] or _may_be_multibyte(line, bool(is_deep[k]))):
+            base, own = (int(ends[n - 1]) + 1 if n else 0), slice(first[k], last[k])
+            runs = segments(wide[own], at[own], LEAST_RUN)
+            if not any(_may_be_multibyte(line[p - base : q - base + 2], False) for p, q in runs):
+                continue
+        out[i][j] = repair_line(line, model, bool(is_deep[k]))
     if _BAD.search(joined):
         for t in out:
             for j, (x, d, w) in enumerate(t):

@@ -10,6 +10,7 @@ excluded if they cover at least half of its content's words.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 
@@ -22,7 +23,7 @@ from .body import tokens
 _SLOTS = 1 << 18
 _ORDERS = (3, 4, 6)
 #: Words on each side that a word's window takes in, and the mean ratio that makes it residue.
-REACH, THRESHOLD, COVERAGE = 5, -0.6, 0.5
+REACH, THRESHOLD, COVERAGE = 5, -0.9, 0.5
 #: Strength of smoothing; mean ratios below which a longer and a short page serve as prose.
 SMOOTH, UNLIKE, PROSE = 300.0, 0.5, -0.2
 _HOLE = re.compile(
@@ -174,13 +175,15 @@ def hashes(text: str) -> list[np.ndarray]:
     a = np.where((a >= 48) & (a <= 57), 48, a)
     out = []
     since = np.arange(len(a)) - np.maximum.accumulate(np.where(a == 10, np.arange(len(a)), -1))
-    for n in _ORDERS:
-        h = np.zeros(len(a), "u8")
-        for k in range(min(n, len(a))):
+    h, k = np.zeros(len(a), "u8"), 0
+    for n in _ORDERS:  # a longer gram goes on from the shorter one
+        while k < min(n, len(a)):
             h[k:] += a[: len(a) - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append(np.where(since >= n, (h >> np.uint64(46)).astype("i8"), 0))
+            k += 1
+        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x >>= np.uint64(46)
+        x[since < n] = 0
+        out.append(x.astype("i8"))
     return out
 
 
@@ -230,6 +233,8 @@ class ResidueModel:
 
     def __init__(self, tables: list[list[np.ndarray]]):
         self.tables = tables
+        #: One table per order with the kinds side by side.
+        self.both = [np.stack(kinds, axis=1) for kinds in zip(*tables)]
 
     @staticmethod
     def fit(prose: list[str], seed: int = 5) -> "ResidueModel":
@@ -280,32 +285,42 @@ class ResidueModel:
 
     def word_scores(self, lines: list[str]) -> list[np.ndarray]:
         """For each line, each word's ratio in its window: the larger of filler and notices."""
-        if not lines:
-            return []
-        padded = [f" {plain(x)} " for x in lines]
-        text = "\n".join(padded)
-        slots = hashes(text)
-        by_kind = [sum(t[s] for t, s in zip(table, slots)) for table in self.tables]
-        sums = [np.concatenate([[0.0], np.cumsum(s, dtype="f8")]) for s in by_kind]
-        out, at = [], 0
-        for x in padded:
-            spans = [(m.start(), m.end()) for m in _WORD.finditer(x)]
-            if not spans:
-                out.append(np.zeros(0))
-                at += len(x) + 1
-                continue
-            a = np.fromiter((s for s, _ in spans), "i8", len(spans))
-            # A word's stretch runs to the start of the next one, so that signs count with it.
-            b = np.concatenate([a[1:], [len(x)]])
-            a[0] = 1
-            lo = np.maximum(np.arange(len(a)) - REACH, 0)
-            hi = np.minimum(np.arange(len(a)) + REACH, len(a) - 1)
-            out.append(np.max([(s[at + b[hi]] - s[at + a[lo]]) / (b[hi] - a[lo]) for s in sums], axis=0))
-            at += len(x) + 1
-        return out
-
-
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+        text = "\n".join(f" {plain(x)} " for x in lines)
+        score = None
+        for table, slot in zip(self.both, hashes(text)):
+            score = table[slot] if score is None else score + table[slot]
+        sums = np.zeros((len(score) + 1, score.shape[1]))
+        np.cumsum(score, axis=0, dtype="f8", out=sums[1:])
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
+        kind = _kinds()[np.minimum(chars, 0xFFFF)]
+        before = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
+        # A word starts where letters or digits begin; each kana or ideograph is one.
+        start = np.flatnonzero((kind == 2) | ((kind == 1) & (before != 1)))
+        ends = np.flatnonzero(chars == 10)
+        line = np.searchsorted(ends, start)
+        edge = np.searchsorted(line, np.arange(len(lines) + 1))
+        if not len(start):
+            return [np.zeros(0)] * len(lines)
+        # A word's stretch runs to the start of the next one, so that signs count with it; a line's
+        # first one takes in what stands before it.
+        open_ = np.concatenate([[0], ends + 1])[line]
+        stop = np.concatenate([ends, [len(text)]])[line]
+        first = np.concatenate([[True], line[1:] != line[:-1]])
+        a = np.where(first, open_ + 1, start)
+        b = np.where(np.concatenate([first[1:], [True]]), stop, np.concatenate([start[1:], [0]]))
+        at = np.arange(len(start))
+        lo, hi = np.maximum(at - REACH, edge[line]), np.minimum(at + REACH, edge[line + 1] - 1)
+        best = ((sums[b[hi]] - sums[a[lo]]) / np.maximum(b[hi] - a[lo], 1)[:, None]).max(axis=1)
+        return [best[edge[i] : edge[i + 1]] for i in range(len(lines))]
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each character: 0 sign, 1 letter or digit, 2 kana or ideograph."""
+    out = np.fromiter((chr(c).isalnum() for c in range(0x10000)), "i1", 0x10000)
+    out[0xD800:0xE000] = 0
+    out[0x3040:0x3100], out[0x3400:0xA000] = 2, 2
+    return out
 
 
 def coverage(lines: list[str], model: ResidueModel) -> tuple[int, int]:
