@@ -257,3 +257,32 @@ def test_text_tables(spark, tmp_path):
     assert sorted(map(tuple, back.select(ix.columns).collect()), key=str) == sorted(map(tuple, ix.collect()), key=str)
     (tmp_path / "d.jsonl").write_text('{"url":"a","final_url":"","text":"t"}\n\n{"url":"b","text":""}\n{"final_url":"c","text":"x","title":"T"}\n')
     assert sorted((r.url, r.text) for r in tables.read_documents(spark, str(tmp_path / "d.jsonl")).collect()) == [("a", "t"), ("c", "x")]
+
+
+def test_reader(spark):
+    from weftline.operators import reader
+
+    page = b"<title>T</title><body><p>Hello <a href='/x'>you</a>"
+    responses = [("http://a/1", "http://a/1", 200, "text/html; charset=utf-8", page, None), ("http://a/2", None, 404, "text/html", b"no", None), ("http://a/3", None, 200, "image/png", b"x", None), ("http://a/4", None, None, None, None, "timeout"), ("http://b/1", None, 200, "text/html", page, None)]
+    df = spark.createDataFrame(responses, "url string, final_url string, status int, content_type string, body binary, error string")
+    asked = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a/1", "http://a/2", "http://a/3", "http://a/4", "http://b/1", "http://c/1", "http://a/1"])], "ord bigint, url string")
+    rules = FN.robots_rules(spark.createDataFrame([("b", 503, "")], "host string, status int, body string"), "me")
+    got = {r.ord: r for r in reader.read(asked, df, rules).collect()}
+    assert len(got) == 7 and got[0].markdown == "Hello [you](http://a/x)" and got[0].words == 2 and got[0].n_links == 1 and got[0].title == "T" and got[6].markdown == got[0].markdown
+    assert [got[i].error for i in range(1, 6)] == ["http 404", "not html (image/png)", "timeout", "blocked by robots.txt", "no response"]
+    assert all(got[i].markdown is None and got[i].words is None for i in range(1, 6))
+
+
+def test_sql_functions(spark):
+    from weftline.functions import registry
+
+    registry.register(spark)
+    row = spark.sql("SELECT url_normalize('HTTP://H:80/a/../b?utm_id=1') AS u, to_markdown(CAST('<body><h1>x</h1>' AS BINARY), 'http://h/', 'text/html') AS m").first()
+    assert row.u == "http://h/b" and row.m == "# x"
+    assert spark.sql("SELECT * FROM robots_rules(200, 'User-agent: *\\nDisallow: /a', 'me')").first().regex == "^/a"
+
+
+def test_index_is_saved(spark, tmp_path):
+    ix = index(spark, ("A", "one two"), (None, "two"))
+    ix.save(str(tmp_path / "ix"))
+    assert spark.read.parquet(str(tmp_path / "ix" / "postings")).count() == 4 and spark.read.parquet(str(tmp_path / "ix" / "stats")).first().version == 2

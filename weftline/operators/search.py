@@ -72,18 +72,32 @@ class Index:
         )
         self.docs = self.source.select("doc_id", "url", "title", (F.size("_t") * TITLE_WEIGHT + F.size("_b")).alias("len"))
 
-    def occurrences(self) -> DataFrame:
-        """(doc_id, term, pos): one row per occurrence; a title's terms have two."""
+    def occurrences(self, only: list[str] | None = None) -> DataFrame:
+        """(doc_id, term, pos): one row per occurrence; a title's terms have two.
+
+        With ``only``, of these terms alone: the others are dropped inside each document's array.
+        """
         n = F.size("_t")
         at = lambda arr, shift: F.transform(arr, lambda t, i: F.struct(t.alias("term"), (i + shift).alias("pos")))
         every = F.concat(
             at(F.col("_t"), F.lit(0)), at(F.col("_t"), n + FIELD_GAP), at(F.col("_b"), n * TITLE_WEIGHT + TITLE_WEIGHT * FIELD_GAP)
         )
+        if only is not None:
+            every = F.filter(every, lambda o: o["term"].isin(only))
         return self.source.select("doc_id", F.explode(every).alias("o")).select("doc_id", "o.term", "o.pos")
 
-    def counts(self) -> DataFrame:
-        """(doc_id, term, tf)."""
-        return self.occurrences().groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    def counts(self, only: list[str] | None = None) -> DataFrame:
+        """(doc_id, term, tf, len), of the terms ``only`` if given, with the document's length.
+
+        A document's occurrences lie in one row, so the grouping ends in the task that reads it
+        but for its last step.
+        """
+        every = F.concat("_t", "_t", "_b")
+        if only is not None:
+            every = F.filter(every, lambda t: t.isin(only))
+        size = (F.size("_t") * TITLE_WEIGHT + F.size("_b")).alias("len")
+        each = self.source.select("doc_id", size, F.explode(every).alias("term"))
+        return each.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
     def postings(self) -> DataFrame:
         """(term, doc_id, positions): a document's positions of a term, in order."""
@@ -100,23 +114,35 @@ class Index:
 
     def search(self, queries: dict[int, str], limit: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score): the best documents; all phrases must match."""
-        spark = self.source.sparkSession
-        asked, runs = query_table(spark, queries)
-        tf, df, docs, stats = self.counts(), None, self.docs, self.stats()
-        return _search(tf, self.occurrences() if runs.limit(1).count() else None, docs, stats, asked, runs, limit)
+        asked, runs = query_table(self.source.sparkSession, queries)
+        terms, phrased = query_terms(queries)
+        scores = contributions(self.counts(terms), self.stats(), asked).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+        if phrased:
+            plain = scores.join(F.broadcast(runs.select("query_id").distinct()), "query_id", "left_anti")
+            scores = scores.join(phrase_hits(self.occurrences(phrased), runs), ["query_id", "doc_id"], "left_semi").unionByName(plain)
+        return ranked(scores, limit)
+
+
+def query_terms(queries: dict[int, str]) -> tuple[list[str], list[str]]:
+    """(all terms, terms of phrases) of a batch of queries."""
+    parsed = [parse_query(s) for s in queries.values()]
+    phrased = {w for _, phrases in parsed for p in phrases for w in p}
+    return sorted({w for loose, _ in parsed for w in loose} | phrased), sorted(phrased)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.ln(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def contributions(tf: DataFrame, docs: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, doc_id, term, part): what each query term adds to each document's BM25 score."""
-    hit = tf.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")  # terms of the queries
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def contributions(tf: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, doc_id, term, part): what each query term adds to each document's BM25 score.
+
+    tf: (doc_id, term, tf, len), at least for the terms of the queries.
+    """
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg = stats.select("n_docs").scalar(), stats.select(F.coalesce(F.try_divide("total_len", "n_docs"), F.lit(1.0))).scalar()
     weight = asked.join(df, "term").select("query_id", "term", idf(n, F.col("df")).alias("idf"))
-    scored = hit.join(F.broadcast(weight), "term").join(docs.select("doc_id", "len"), "doc_id")
+    scored = tf.join(F.broadcast(weight), "term")  # one row per query and term
     length = F.when(avg > 0, F.col("len") / avg).otherwise(F.col("len").cast("double"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     return scored.select("query_id", "doc_id", "term", part.alias("part"))
@@ -143,14 +169,6 @@ def ranked(scores: DataFrame, limit: int, decimals: int = 6) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
 
 
-def _search(tf, occ, docs, stats, asked, runs, limit) -> DataFrame:
-    scores = contributions(tf, docs, stats, asked).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    if occ is not None:
-        plain = scores.join(F.broadcast(runs.select("query_id").distinct()), "query_id", "left_anti")
-        scores = scores.join(phrase_hits(occ, runs), ["query_id", "doc_id"], "left_semi").unionByName(plain)
-    return ranked(scores, limit)
-
-
 def explained(parts: DataFrame) -> DataFrame:
     """(query_id, doc_id, score, matched, explanation): the parts of each document's score."""
     got = parts.groupBy("query_id", "doc_id").agg(

@@ -95,7 +95,7 @@ def phrase_filtered_bm25(spark, d):
 
 @query(f"WITH {_BASE}, {_runs(PHRASED)}, {_HITS} SELECT query_id, doc_id FROM hits")
 def phrase_match(spark, d):
-    return S.phrase_hits(_index(spark, d).occurrences(), S.query_table(spark, PHRASED)[1])
+    return S.phrase_hits(_index(spark, d).occurrences(S.query_terms(PHRASED)[1]), S.query_table(spark, PHRASED)[1])
 
 
 @query(f"""WITH {_BASE}, {_asked(ASKED)}, {_PARTS}, {_SUM}, top AS ({_ranked('scored', 3)}),
@@ -104,7 +104,7 @@ def phrase_match(spark, d):
 def bm25_explain(spark, d):
     ix = _index(spark, d)
     asked, _ = S.query_table(spark, ASKED)
-    parts = S.contributions(ix.counts(), ix.docs, ix.stats(), asked)
+    parts = S.contributions(ix.counts(S.query_terms(ASKED)[0]), ix.stats(), asked)
     top = S.ranked(parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), 3)
     return S.explained(parts.join(F.broadcast(top.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi"))
 
