@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -121,6 +121,6 @@ def diff(expected: DataFrame, got: DataFrame, trap: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key by the given columns."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The last row of each key by the given columns, nulls first; with partial results per task."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("_r"))
+    return last.select(key, "_r.*")

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StringType
 
 from ..functions import url as U
-from ..plans.shared import cut
+from ..plans.shared import cut, running_sum
 
 MAX_SITEMAP_URLS, MAX_SITEMAP_DEPTH = 50_000, 3
 
@@ -43,13 +43,12 @@ def tally(admissions: DataFrame) -> DataFrame:
 def queue_order(requests: DataFrame) -> DataFrame:
     """(host, url, place): place of each request in its host's queue by priority, then order.
 
-    Requests seen twice keep their first place; a window per host, as a queue is one host's by
-    definition, but over (url, priority, ord) alone.
+    Requests seen twice keep their first place. A host of a third of all requests is spread over
+    tasks.
     """
     first = requests.groupBy("url").agg(F.min(F.struct("priority", "ord")).alias("q")).select("url", "q.*")
-    host = U.authority(F.col("url"))
-    w = Window.partitionBy("host").orderBy("priority", "ord", "url")
-    return first.withColumn("host", host).select("host", "url", F.row_number().over(w).alias("place"))
+    own = first.withColumn("host", U.authority(F.col("url")))
+    return running_sum(own, "host", ["priority", "ord", "url"], F.lit(1), "place").select("host", "url", F.col("place").cast("int").alias("place"))
 
 
 def delays(hosts: DataFrame, default: float = 0.0, least: float = 0.0, most: float = 30.0) -> DataFrame:
@@ -69,8 +68,7 @@ def busiest(spans: DataFrame) -> DataFrame:
     """
     ends = spans.select("host", F.col("begin").alias("at"), F.lit(1).alias("d")).unionByName(spans.select("host", F.col("finish").alias("at"), F.lit(-1).alias("d")))
     moves = ends.groupBy("host", "at", "d").agg(F.sum("d").alias("s"))
-    w = Window.partitionBy("host").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.withColumn("n", F.sum("s").over(w)).groupBy("host").agg(F.max("n").alias("peak"))
+    return running_sum(moves, "host", ["at", "d"], F.col("s"), "n").groupBy("host").agg(F.max("n").alias("peak"))
 
 
 # -- robots ------------------------------------------------------------------

@@ -74,3 +74,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value, out: str = "running") -> DataFrame:
+    """``df`` with the running sum of ``value`` within each key, in the given order.
+
+    Rows are range-partitioned by key and order, so a key that holds a third of all rows is summed
+    up by many tasks; what joins them is one row per key and partition. The order must be total for
+    the sums to be defined.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    placed = cut(df.withColumn("_value", value).repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    inner = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(key, "_part").agg(F.sum("_value").alias("_sum"))
+    base = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(key, "_part", "_base")
+    rows = placed.withColumn("_inner", F.sum("_value").over(inner)).join(base, [key, "_part"])
+    return rows.withColumn(out, F.col("_inner") + F.col("_base")).drop("_value", "_part", "_inner", "_base")
