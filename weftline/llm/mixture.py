@@ -22,8 +22,8 @@ from ..plans.shared import cut
 from . import lexicon as lx
 from .tokens import count_tokens
 
-#: Blocks a source's documents are hashed into, and the sources and copies a mixture may name.
-BLOCKS, MOST_SOURCES, MOST_COPIES = 1024, 10_000, 1_000
+#: Blocks a source's documents are hashed into, and the sources, copies and blocks of a mixture.
+BLOCKS, MOST_SOURCES, MOST_COPIES, MOST_UNITS = 1024, 10_000, 1_000, 2_000_000
 
 
 def split_tree(units: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -104,6 +104,8 @@ class Mixture:
                         rest -= sizes[s][b]
                 if left and rest >= 1:  # of one more block, the documents that fit
                     self.last.append((s, max(left, key=sizes[s].get), full + 1, int(rest)))
+        if len(whole) > MOST_UNITS:
+            raise ValueError(f"a mixture has at most {MOST_UNITS} blocks of sources and copies")
         units = whole + [(s, b, c) for s, b, c, _ in self.last]
         names = sorted(self.quotas)
         own = {s: [u for u in units if u[0] == s] for s in names}
@@ -121,7 +123,7 @@ class Mixture:
         """(shard, rank, doc_id, source, copy, n_tokens): the mixture, shuffled within each shard."""
         from pyspark.sql import Window
 
-        picked = self.sized.join(F.broadcast(self.placed), ["source", "_block"])  # at most BLOCKS rows a source and copy
+        picked = self.sized.join(F.broadcast(self.placed), ["source", "_block"])  # at most MOST_UNITS rows
         run = Window.partitionBy("source", "_block", "copy").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         ends = picked.join(F.broadcast(self.cuts), ["source", "_block", "copy"])
         part = ends.withColumn("_sum", F.sum("n_tokens").over(run)).where("_sum <= _want").drop("_sum", "_want")
