@@ -142,7 +142,8 @@ def fit(records: list[tuple[str | None, str | None, str]]) -> BodyModel:
 
     def recurs(k) -> int:
         """1: furniture, -1: content, 0: does not recur."""
-        if count[k] < many or sum(x > 0 for x in k) * 2 < len(k) or max(k, default=0) < 2:
+        # Long lines recur in edited copies of one page too.
+        if count[k] < (many if len(k) < 14 else 3 * many) or sum(x > 0 for x in k) * 2 < len(k) or max(k, default=0) < 2:
             return 0
         return 1 if hosted[k] >= HOSTED * count[k] else -1 if len(spread[k]) > 1 else 0
 
@@ -211,9 +212,11 @@ def fit(records: list[tuple[str | None, str | None, str]]) -> BodyModel:
 
 #: Weights: tie to the neighbour of the same form, to another neighbour, to a sidebar's heading;
 #: cost that content has by itself, and of the line that repeats the title.
-SAME, OTHER, HANG, BIAS, TITLE = 1.0, 0.35, 4.2, 0.2, 4.0
+SAME, OTHER, HANG, BIAS, TITLE = 1.5, 0.35, 4.2, 0.2, 4.0
 #: A line of such a cost is certain, and the cost it then has besides.
 SURE, FIX = 2.0, 50.0
+#: Cost below which a line may be a title that no field names.
+UNSURE = 3.2
 
 
 def _max_flow(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -331,6 +334,13 @@ def label_texts(
         title = titles[d].strip() if titles[d] else None
         cost = [f - BIAS for f in furn[k:e]]
         top = own.index(title) if title in own[:14] else -1
+        if top < 0:  # no title is known: the first line above the text that isn't clearly furniture
+            for i in range(min(14, len(own))):
+                if size[i] >= 14 or head[k + i] > 1:
+                    break
+                if cost[i] < UNSURE and size[i] >= 3:
+                    top = i
+                    break
         if top >= 0:
             cost[top] -= TITLE
         # What is certain is not bent by its neighbours.
@@ -345,7 +355,7 @@ def label_texts(
         for i in range(m):
             if head[k + i] > 1 and cost[i] > 0:
                 j = i + 1
-                while j < m and j - i <= 7 and size[j] < 14 and cost[j] < SURE and j != top:
+                while j < m and j - i <= 6 and size[j] < 14 and j != top and head[k + j] <= 1:
                     edges.append((i, j, HANG))
                     j += 1
         for (_, i), furniture in zip(where[k:e], cut_page(cost, edges)):
