@@ -242,6 +242,8 @@ IMPROBABLE = (0.10, 0.25)
 #: Sum of scores that makes a run suspicious; bits that a mapping to UTF-8 must save, and that
 #: another must save in all and per pair.
 LEAST_RUN, LEAST_UTF8, LEAST_TOTAL, LEAST_GAIN = 5.0, 6.0, 14.0, 1.0
+#: Bits it must save in a text of which another line was damaged in the same way.
+LEAST_AGAIN = 4.0
 #: A pair is rare if it lies so many bits below the level of improbable pairs.
 RARE = 7.0
 
@@ -262,8 +264,8 @@ def _best_runs(score: np.ndarray, at: np.ndarray, line_of: np.ndarray, n: int) -
     return best
 
 
-def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", only: str | None = None) -> str | None:
-    """The best inverse mapping of a run between two neighbours, or None if none holds.
+def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", only: str | None = None) -> tuple[str, str, str] | None:
+    """(restored, wrong, right) by the best mapping of a run between two neighbours, None if none holds.
 
     A mapping holds if it saves enough bits and makes hardly any rare pair; one between encodings
     of single bytes, which never fails by itself, must also save enough per pair.
@@ -286,7 +288,7 @@ def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", onl
         # Valid sequences of bytes hardly come by chance: a bit for each byte that proves itself.
         g = float(model.of(pair_codes(left + out + right_of)[1]).sum() - q.sum()) + len(clean) - len(out)
         if g > gain:
-            best, gain = out, g
+            best, gain = (out, wrong, "utf-8"), g
     if best is not None or only == "utf-8":
         return best
     gain, bad = LEAST_TOTAL, bool(_BAD.search(run))
@@ -302,21 +304,23 @@ def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", onl
             if bad and wrong == "latin-1" and right == "cp1252" and not _BAD.search(out):
                 g, r = max(g, gain) + 1, q + 9  # what it does is turn controls into signs
             if g > gain and r.mean() >= q.mean() + LEAST_GAIN and (r < model.level - RARE).mean() <= 0.15:
-                best, gain = out, g
+                best, gain = (out, wrong, right), g
     return best
 
 
-def _restore(run: str, model: PairModel, left: str, right_of: str, only: str | None) -> str | None:
+def _restore(run: str, model: PairModel, left: str, right_of: str, only: str | None, used: list | None = None) -> str | None:
     got = None
     for _ in range(2):  # text may be damaged twice
         hit = mappings(run if got is None else got, model, left, right_of, only)
         if hit is None:
             break
-        got = hit
+        got = hit[0]
+        if used is not None:
+            used.append(hit[1:])
     return got
 
 
-def repair_line(line: str, model: PairModel, deep: bool = True) -> tuple[str, bool, bool]:
+def repair_line(line: str, model: PairModel, deep: bool = True, used: list | None = None) -> tuple[str, bool, bool]:
     """(text, damaged, whole): the line restored as far as it can be; whole if nothing is lost.
 
     The suspicious runs are mapped as one stretch with all that lies between them, as one mistake
@@ -333,7 +337,7 @@ def repair_line(line: str, model: PairModel, deep: bool = True) -> tuple[str, bo
     tries += [(a, b + 2) for a, b in reversed(runs)]
     got, seen = line, False
     for k, (a, b) in enumerate(tries):
-        part = _restore(got[a:b], model, got[max(0, a - 1) : a], got[b : b + 1], "utf-8" if k or not beyond or not (deep or bad) else None)
+        part = _restore(got[a:b], model, got[max(0, a - 1) : a], got[b : b + 1], "utf-8" if k or not beyond or not (deep or bad) else None, used)
         if part is not None:
             got, seen = got[:a] + part + got[b:], True
             if k == 0:
@@ -342,6 +346,20 @@ def repair_line(line: str, model: PairModel, deep: bool = True) -> tuple[str, bo
     return got, damaged, not damaged or (seen and "�" not in line and not _BAD.search(got))
 
 
+def _same_damage(line: str, pairs: set, model: PairModel) -> tuple[str, bool, bool]:
+    """The line by one of the mappings that its neighbours needed, if that saves a few bits."""
+    q = model.of(pair_codes(line)[1])
+    best, gain = None, LEAST_AGAIN
+    for wrong, right in sorted(pairs):
+        raw = _encode(line, wrong)
+        got = _decode(raw, right, False) if raw is not None else None
+        if got is not None and got != line and not _PRIVATE.search(got):
+            r = model.of(pair_codes(got)[1])
+            if float(r.sum() - q.sum()) > gain and (r < model.level - RARE).mean() <= 0.15:
+                best, gain = got, float(r.sum() - q.sum())
+    return (line, False, True) if best is None else (best, True, not _BAD.search(best))
+
+
 def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, bool, bool]]]:
     """For each text, its lines as (restored, damaged, whole)."""
     out = [[(x, False, True) for x in t.split("\n")] for t in texts]
@@ -365,6 +383,7 @@ def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, boo
         pick = np.concatenate([np.arange(first[k], last[k]) for k in deep])
         of = np.repeat(np.arange(len(deep)), last[deep] - first[deep])
         passed[deep] = _screen(codes[pick], found[pick], of, len(deep), model)
+    kinds: dict[int, set] = {}
     for k, n in enumerate(suspects.tolist()):
         i, j = flat[n]
         line = out[i][j][0]
@@ -373,7 +392,14 @@ def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, boo
             runs = segments(wide[own], at[own], LEAST_RUN)
             if not any(_may_be_multibyte(line[p - base : q - base + 2], False) for p, q in runs):
                 continue
-        out[i][j] = repair_line(line, model, bool(is_deep[k]))
+        out[i][j] = repair_line(line, model, bool(is_deep[k]), used := [])
+        if len(used) == 1 and used[0][1] not in _MULTI and used[0][0] not in _MULTI:
+            kinds.setdefault(i, set()).add(used[0])
+    # What damaged one line of a text may have damaged single characters of the others.
+    for i, pairs in kinds.items():
+        for j, (x, d, _) in enumerate(out[i]):
+            if not d and not x.isascii():
+                out[i][j] = _same_damage(x, pairs, model)
     if _BAD.search(joined):
         for t in out:
             for j, (x, d, w) in enumerate(t):
