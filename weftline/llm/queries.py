@@ -78,7 +78,11 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT ord, regexp_extract_all(lower(main_text), '[\p{L}\p{N}_]+') AS w FROM extracted WHERE main_text IS NOT NULL),
+    g AS (SELECT DISTINCT ord, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w WHERE len(w) >= 25),
+    n AS (SELECT ord, count(*) AS n FROM g GROUP BY ord),
+    p AS (SELECT a.ord AS a, b.ord AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY a.ord, b.ord)
+    SELECT p.a AS ord_a, p.b AS ord_b FROM p JOIN n x ON x.ord = p.a JOIN n y ON y.ord = p.b WHERE 10 * p.c >= 6 * (x.n + y.n - p.c)""")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neardup.NearDuplicates(table(spark, sf_dir, "extracted"))
     return near.pairs().select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
