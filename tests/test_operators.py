@@ -286,3 +286,45 @@ def test_index_is_saved(spark, tmp_path):
     ix = index(spark, ("A", "one two"), (None, "two"))
     ix.save(str(tmp_path / "ix"))
     assert spark.read.parquet(str(tmp_path / "ix" / "postings")).count() == 4 and spark.read.parquet(str(tmp_path / "ix" / "stats")).first().version == 2
+
+
+def test_crawl(spark):
+    from weftline.operators import crawl as C
+
+    page = lambda body, head="": f"<html><head><title>t</title>{head}</head><body>{body}</body></html>".encode()
+    words = " ".join(f"word{i}" for i in range(60))
+    site = {
+        "http://h/": page('<a href="/a">a</a><a href="/b">b</a><a href="/private/x">x</a><a href="http://other/z">z</a><a href="/gone">g</a>' + words),
+        "http://h/a": page('<a href="/c">c</a><a href="/a#top">self</a> unlike ' + words[::-1]),
+        "http://h/b": page('<a href="/only-from-copy">n</a><a href="/c">c</a>').replace(b"<body>", b"<body>" + b"q " * 9),
+        "http://h/c": page("end"),
+        "http://h/copy": page("end"),
+        "http://h/private/x": page("secret"),
+    }
+    rows = [(u, u, 200, "text/html", b, None) for u, b in site.items()]
+    answers = spark.createDataFrame(rows, "url string, final_url string, status int, content_type string, body binary, error string")
+    seeds = spark.createDataFrame([("HTTP://H:80/",), ("http://h/copy",), ("nonsense",)], "url string")
+    rules = FN.robots_rules(spark.createDataFrame([("h", 200, "User-agent: *\nDisallow: /private")], "host string, status int, body string"), "me")
+    pages, rejected = C.crawl(seeds, answers, rules, max_depth=3)
+    got = {r.url: r for r in pages.collect()}
+    assert {u: r.depth for u, r in got.items()} == {"http://h/": 0, "http://h/copy": 0, "http://h/a": 1, "http://h/b": 1, "http://h/gone": 1, "http://h/c": 2, "http://h/only-from-copy": 2}
+    assert got["http://h/c"].verdict == "exact_duplicate" and got["http://h/c"].duplicate_of == "http://h/copy" and got["http://h/gone"].error == "no response"
+    assert sorted(r.ord for r in got.values()) == sorted({r.ord for r in got.values()}) and [(r.url, r.reason) for r in rejected.collect()] == [("http://h/private/x", "robots")]
+    few, _ = C.crawl(seeds, answers, rules, max_depth=3, max_pages=3)
+    assert few.count() == 3
+
+
+def test_saved_index_searches_alike(spark, tmp_path):
+    ix = index(spark, ("Web Crawler", "the quick brown fox"), (None, "brown quick the fox fox"), ("A", "quick quick"))
+    ix.save(str(tmp_path / "ix"))
+    asked = {1: "quick fox", 2: '"quick brown"', 3: "nothing"}
+    assert sorted(map(tuple, S.SavedIndex(spark, str(tmp_path / "ix")).search(asked).collect())) == sorted(map(tuple, ix.search(asked).collect()))
+
+
+def test_response_predicates(spark):
+    from weftline.functions import response as R
+
+    df = spark.createDataFrame([(200, None, "Text/HTML", b"abcd", {"content-encoding": "gzip"}, "a; charset='X-1'"), (304, None, None, None, None, None), (200, "e", "x", b"", {}, "y")], "status int, error string, ct string, body binary, headers map<string,string>, h string")
+    c = F.col
+    got = df.select(R.ok(c("status"), c("error")), R.not_modified(c("status")), R.is_html(c("ct")), R.truncated(c("body"), 4), R.content_encoded(c("headers")), R.header_charset(c("h"))).collect()
+    assert [tuple(r) for r in got] == [(True, False, True, True, True, "x-1"), (False, True, False, False, False, None), (False, False, False, False, False, None)]

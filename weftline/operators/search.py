@@ -123,6 +123,31 @@ class Index:
         return ranked(scores, limit)
 
 
+class SavedIndex:
+    """An index that was saved; a batch of queries reads the postings of its own terms.
+
+    The postings are sorted by term, so the filter reaches the row groups that can hold them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = lambda name: spark.read.parquet(f"{path}/{name}")
+        if [r.version for r in self.table("stats").select("version").distinct().collect()] != [2]:
+            raise ValueError("the index was saved in another version")
+
+    def search(self, queries: dict[int, str], limit: int = 10) -> DataFrame:
+        docs, stats = self.table("docs"), self.table("stats")
+        asked, runs = query_table(docs.sparkSession, queries)
+        terms, phrased = query_terms(queries)
+        hit = self.table("postings").where(F.col("term").isin(terms))
+        tf = hit.select("doc_id", "term", F.size("positions").alias("tf")).join(docs.select("doc_id", "len"), "doc_id")
+        scores = contributions(tf, stats, asked).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+        if phrased:
+            occ = hit.where(F.col("term").isin(phrased)).select("doc_id", "term", F.explode("positions").alias("pos"))
+            plain = scores.join(F.broadcast(runs.select("query_id").distinct()), "query_id", "left_anti")
+            scores = scores.join(phrase_hits(occ, runs), ["query_id", "doc_id"], "left_semi").unionByName(plain)
+        return ranked(scores, limit)
+
+
 def query_terms(queries: dict[int, str]) -> tuple[list[str], list[str]]:
     """(all terms, terms of phrases) of a batch of queries."""
     parsed = [parse_query(s) for s in queries.values()]

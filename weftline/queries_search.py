@@ -203,3 +203,9 @@ def rrf_fusion(spark, d):
  FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id""")
 def retriever_compare(spark, d):
     return S.compared(*_both(spark, d, 10))
+
+
+@query(f"WITH {_GRAMS} SELECT (SELECT count(DISTINCT doc_id) FROM vec) AS documents, (SELECT count(DISTINCT gram) FROM vec) AS grams, (SELECT count(*) FROM vec) AS postings")
+def ngram_stats(spark, d):
+    v = S.gram_vectors(table(spark, d, "documents"))
+    return v.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("gram").alias("grams"), F.count(F.lit(1)).alias("postings"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import url as U
+from .functions import response as R
 from .operators import archive as A
+from .operators import crawl as C
 from .operators import dedup as D
 from .operators import freshness as FR
 from .operators import frontier as FN
@@ -493,3 +495,37 @@ def charset_detect(spark, d):
 
     e = table(spark, d, "extracted").select("ord", F.concat(F.lit("p ").cast("binary"), F.when(F.pmod("ord", F.lit(2)) == 0, F.unhex(F.lit("C3A9"))).otherwise(F.unhex(F.lit("E9")))).alias("body"))
     return e.select("ord", charset.decoded("body", F.lit("text/html; charset=utf-8x")).alias("x")).select("ord", "x.encoding", "x.source")
+
+
+@query("""WITH p AS (SELECT ord, min(verdict) AS verdict FROM page WHERE verdict IN ('new', 'canonical_alias') GROUP BY ord)
+ SELECT DISTINCT e.ord, l.link FROM (SELECT ord, unnest(links) AS link FROM extracted) l JOIN extracted e ON e.ord = l.ord JOIN p ON p.ord = e.ord""")
+def expandable_links(spark, d):
+    return C.expandable_links(table(spark, d, "extracted"), table(spark, d, "page").select("ord", "verdict")).select("ord", "link").distinct()
+
+
+@query("SELECT DISTINCT ord, url FROM page WHERE url IS NOT NULL ORDER BY ord LIMIT 100")
+def crawl_budget(spark, d):
+    return C.within_budget(table(spark, d, "page").where(F.col("url").isNotNull()).select("ord", "url").distinct(), 100)
+
+
+@query("SELECT DISTINCT ord, error IS NULL AND coalesce(status BETWEEN 200 AND 299, false) AS ok, coalesce(status = 304, false) AS not_modified FROM page")
+def response_flags(spark, d):
+    p = table(spark, d, "page")
+    return p.select("ord", R.ok(F.col("status"), F.col("error")).alias("ok"), R.not_modified(F.col("status")).alias("not_modified")).distinct()
+
+
+@query(f"WITH {_RESP} SELECT r.url, r.digest, o.size::INTEGER AS size FROM records r JOIN objects o ON r.digest = o.digest")
+def stored_objects(spark, d):
+    objects, records, _ = A.store(_responses(spark, d))
+    return records.join(objects, "digest").select("url", "digest", "size")
+
+
+@query()
+def crawl_pages(spark, d):
+    """A crawl over pages written from the extracted records, from the first record of each host."""
+    h = _html(spark, d)
+    answers = h.groupBy(U.canonical_url("url").alias("url")).agg(F.max_by("body", "ord").alias("body"))
+    answers = answers.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), "body", F.lit(None).cast("string").alias("error"))
+    seeds = h.groupBy(U.authority(F.col("url")).alias("h")).agg(F.min("url").alias("url"))
+    pages, _ = C.crawl(seeds, answers, FN.robots_rules(_robots(spark, d), AGENT), max_depth=2)
+    return pages.select("ord", "url", "depth", "status", "words", "verdict", "duplicate_of", "distance", "error")
