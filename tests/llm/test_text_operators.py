@@ -207,3 +207,23 @@ def test_judges_of_nothing(spark):
     df = spark.createDataFrame([], "ord bigint, url string, title string, text string, main_text string, empty_app_root boolean")
     judge = pages.Judge(df, "main_text")
     assert residue.found(judge).count() == 0 and spam.found(judge).count() == 0 and pages.damaged_records(df).count() == 0
+
+
+def test_portions():
+    import pyarrow as pa
+
+    col = pa.array(["a" * 5, None, "b" * 20, "", "c"] + ["d"] * 7)
+    got = list(encoding.portions(col, most=6, rows=4))
+    assert got[0] == (0, 2) and got[1] == (2, 3) and got[-1][1] == 12 and all(a[1] == b[0] for a, b in zip(got, got[1:])) and max(b - a for a, b in got) <= 4
+    assert list(encoding.portions(pa.array([], pa.string()))) == []
+
+
+def test_very_long_texts_are_judged_whole(spark):
+    rng = random.Random(4)
+    rows = [(i, url, title, "\n".join(top + own + foot)) for i, url, title, top, own, share, foot in site(rng, 60)]
+    i, url, title, top, own, share, foot = site(rng, 1)[0]
+    long = top + own * 800 + foot
+    df = spark.createDataFrame(rows + [(999, url, title, "\n".join(long))], "ord bigint, url string, title string, text string")
+    got = {r.line_no for r in pages.dropped_lines(df).where("ord = 999").collect()}
+    want = {n for n, l in enumerate(long, 1) if l not in own}
+    assert want <= got and len(got - want) < 0.02 * len(long)

@@ -19,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,14 +90,32 @@ class PairModel:
         return float((-self.of(codes)).sum()) if len(codes) else 0.0
 
 
+#: Bytes of text that are worked on at once in a task.
+PORTION = 4 << 20
+
+
+def portions(column: pa.Array, most: int = PORTION, rows: int = 500):
+    """(start, stop) of stretches of a text column of at most ``most`` bytes, or of one text."""
+    size = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype("f8"))
+    start, held = 0, 0.0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (held + n > most or i - start >= rows):
+            yield start, i
+            start, held = i, 0.0
+        held += n
+    if start < len(size):
+        yield start, len(size)
+
+
 def count_pairs(texts: DataFrame, column: str) -> PairModel:
     """The model of all texts of a column; counting is a sum with partial sums in each batch."""
 
     def run(batches):
         for b in batches:
-            text = "\n".join(t for t in b.column(0).to_pylist() if t)
-            codes, n = np.unique(pair_codes(text)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes.astype("i8")), pa.array(n.astype("i8"))], names=["pair", "n"])
+            for start, stop in portions(b.column(0), rows=5000):
+                text = "\n".join(t for t in b.column(0).slice(start, stop - start).to_pylist() if t)
+                codes, n = np.unique(pair_codes(text)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.astype("i8")), pa.array(n.astype("i8"))], names=["pair", "n"])
 
     counts = cut(texts.select(column).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")))
     kept = most_frequent(counts, "n", MODEL_PAIRS).toPandas()

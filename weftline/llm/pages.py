@@ -16,6 +16,10 @@ from . import body, encoding
 from .repeats import site_of
 
 
+#: Bytes of a text up to which it may be in the sample; with ``body.SAMPLE`` it bounds the sample.
+SAMPLE_BYTES = 60_000
+
+
 class Judge:
     """Models for the pages of one table of records (ord, url, title, text column).
 
@@ -31,7 +35,7 @@ class Judge:
         rows = own.count()
         # Records with the least hashes: the share that gives SAMPLE of them.
         bound = 2**31 if rows <= body.SAMPLE else int(2**31 * body.SAMPLE / rows)
-        picked = own.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)) < bound)
+        picked = own.where((F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)) < bound) & (F.octet_length(whole) <= SAMPLE_BYTES))
         sample = picked.select(site_of(F.col("url")).alias("site"), "title", F.col(whole).alias("t")).limit(2 * body.SAMPLE).collect()
         fixed = encoding.repair_texts([r.t for r in sample], self.pairs)
         self.sample = [(r.site, r.title, "\n".join(x for x, _, _ in t)) for r, t in zip(sample, fixed)]
@@ -54,8 +58,8 @@ class Judge:
         def run(batches):
             pairs, model = models.value
             for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = b.slice(at, 500)
+                for start, stop in encoding.portions(b.column(2)):
+                    part = b.slice(start, stop - start)
                     cols = [c.to_pylist() for c in part.columns]
                     rows = []
                     for k, lines, more in zip(cols[0], body.label_texts(cols[2], cols[1], model, pairs), zip(*cols[3:]) if extra else [()] * len(cols[0])):
