@@ -178,8 +178,10 @@ def test_main_body(spark):
         lines = top + own[:3] + share + own[3:] + [""] + foot
         rows.append((i, url, title, "\n".join(lines)))
         want |= {(i, n) for n, l in enumerate(lines, 1) if l and l not in own}
-    df = spark.createDataFrame(rows + [(900, "http://x/", None, None), (901, None, None, ""), (902, "http://x/", None, "\n \n")], "ord bigint, url string, title string, text string").selectExpr("*", "1 as line_no")
-    got = {(r.ord, r.line_no) for r in pages.dropped_lines(df).collect()}
+    df = spark.createDataFrame(rows + [(900, "http://x/", None, None), (901, None, None, ""), (902, "http://x/", None, "\n \n"), (None, rows[0][1], None, rows[0][3]), rows[0]], "ord bigint, url string, title string, text string").selectExpr("*", "1 as line_no")
+    each = [(r.ord, r.line_no) for r in pages.dropped_lines(df).collect()]
+    got = set(each)
+    assert len(each) == len(got) and None not in {o for o, _ in got}
     assert len(got & want) > 0.97 * len(want) and len(got - want) < 0.02 * len(want)
     assert pages.dropped_lines(df.limit(0)).count() == 0
 

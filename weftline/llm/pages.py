@@ -50,7 +50,8 @@ class Judge:
     def judged(self, emit, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
         """Rows that ``emit(key, lines, *extra)`` yields for each record; key first in ``schema``.
 
-        lines: (text, damaged, whole, furniture) of each line. Null and empty texts are not judged.
+        lines: (text, damaged, whole, furniture) of each line. Null keys, null and empty texts are
+        not judged.
         """
         models, key, text = self.models, self.key, self.text
         names = [c.strip().split()[0] for c in schema.split(",")]
@@ -67,7 +68,7 @@ class Judge:
                     yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows))} if rows else {n: [] for n in names}, schema=kinds)
 
         kinds = arrow_schema(schema)
-        own = self.records.where(F.col(text).isNotNull() & (F.col(text) != ""))
+        own = self.records.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
         return own.select(key, F.col("title"), F.col(text).alias("_text"), *extra).mapInArrow(run, schema)
 
 
