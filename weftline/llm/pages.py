@@ -47,9 +47,11 @@ class Judge:
         judged = body.label_texts([t for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body, None)
         return [[x[0] for x in lines if x[0].strip() and not x[3]] for lines in judged]
 
-    def judged(self, emit, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    def judged(self, emit, schema: str, extra: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
         """Rows that ``emit(key, lines, *extra)`` yields for each record; key first in ``schema``.
 
+        With ``only``, for the records whose key it holds.
+
         lines: (text, damaged, whole, furniture) of each line. Null keys, null and empty texts are
         not judged.
         """
@@ -69,6 +71,8 @@ class Judge:
 
         kinds = arrow_schema(schema)
         own = self.records.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+        if only is not None:
+            own = own.join(only, key, "left_semi")
         return own.select(key, F.col("title"), F.col(text).alias("_text"), *extra).mapInArrow(run, schema)
 
 
