@@ -37,7 +37,7 @@ from .repeats import components
 #: Bytes of text in a batch, and packed sequences in a bucket, about.
 BATCH_BYTES, BUCKET_ITEMS = 8 << 20, 1 << 20
 #: Ratio between the set sizes that bound an index block.
-BLOCK = 1.1
+BLOCK = 1.3
 
 _words = re.compile(r"\w+").findall
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "u8")
