@@ -4,8 +4,8 @@ A classifier gives each line a cost for either label. The lines of a page are th
 terminal edges carry the costs, lines next to each other and lines that hang on the same heading are
 tied by smoothness edges, and a maximum flow separates content from furniture.
 
-The classifier is fitted at run time on at most ``SAMPLE`` records, those with the least hashes,
-without labels from outside. It learns from what a sample shows by itself:
+The classifier's weights are fitted at run time on at most ``SAMPLE`` records, those with the least
+hashes, without labels from outside. The labels come from what all records show (``templates``):
 
 * a line's template (digits and rare words masked) that stands in many records, most of which hold
   long text besides, is furniture; one that mostly stands alone on its page (an error message) is
@@ -21,8 +21,8 @@ Damaged text is restored before it is judged, so furniture is found in any encod
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from itertools import chain, repeat
 
 import numpy as np
@@ -103,80 +103,101 @@ def is_long(toks: list[str], line: str) -> bool:
     return len(toks) >= 14 and len(line) >= 36
 
 
-def fit(records: list[tuple[str | None, str | None, str]]) -> BodyModel:
-    """The model from (site, title, text) of the sample, texts already restored. Empty: no furniture."""
+def words_of(text: str) -> tuple[set[str], set[str]]:
+    """(words, words that stand in lower case) of a text; digits do not count."""
+    once = {t for l in text.split("\n") for t in tokens(l) if not t[0].isdigit()}
+    return once, {t for t in _tokens(text) if t == t.lower()} & once
+
+
+@dataclass
+class Keyed:
+    """The lines of one page: ``cross`` and ``within`` are the keys of their templates, across sites
+    and within one; ``counts`` and ``own`` tell which of them count."""
+
+    own_lines: list[str]
+    toks: list[list[str]]
+    cross: list[int]
+    within: list[int]
+    counts: list[bool]
+    own: list[bool]
+    long: list[bool]
+    hosted: int
+    after: int | None
+    start: int | None
+
+    def row(self) -> dict:
+        longest = max(range(len(self.toks)), key=lambda i: len(self.toks[i]), default=None)
+        lines = [
+            {"c": c, "f": f, "ok": ok, "own": own, "n": len(t), "long": lg}
+            for c, f, ok, own, t, lg in zip(self.cross, self.within, self.counts, self.own, self.toks, self.long)
+        ]
+        return {"longest": self.within[longest] if lines else None, "hosted": self.hosted, "after": self.after, "start": self.start, "lines": lines}
+
+
+def keyed(site: str | None, title: str | None, text: str, words: dict[str, int]) -> Keyed:
+    """The keys of a restored text's lines; ``words`` are those that templates keep."""
+    own = [l.strip() for l in text.split("\n") if l.strip()]
+    toks = [tokens(l) for l in own]
+    keys = [tuple(1 if t[0].isdigit() else words.get(t, 0) for t in l) for l in toks]
+    exact = [" ".join("0" if t[0].isdigit() else t for t in l) for l in toks]
+    within = [int.from_bytes(blake2b(f"{site}\n{e}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for e in exact]
+    long = [is_long(t, l) for t, l in zip(toks, own)]
+    # long text besides the line itself
+    hosted = int(sum(len(t) for t, lg in zip(toks, long) if lg) >= 60)
+    title = title.strip() if title else None
+    after = own.index(title) + 1 if title in own[:14] else None
+    start = hash(keys[after][:2]) if after is not None and after < len(own) and max(keys[after][:2], default=0) > 1 else None
+    return Keyed(
+        own, toks, [hash(k) for k in keys], within, [sum(x > 0 for x in k) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
+        [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start,
+    )
+
+
+def sidebar_runs(state: list[int], long: list[bool], size: list[int]):
+    """(line, end) of each possible heading below the text: the end of its run of short lines, or 0."""
+    seen_long = False
+    for i in range(len(state)):
+        if long[i]:
+            seen_long = True
+        if state[i] == 1 and seen_long and size[i] <= 13:
+            j = i + 1
+            while j < len(state) and j - i <= 8 and state[j] == 0 and not long[j]:
+                j += 1
+            yield i, j if 1 < j - i <= 7 and (j == len(state) or state[j] == 1) else 0
+
+
+@dataclass
+class Corpus:
+    """Statistics of all records (``templates.count``), for the lines of the sample.
+
+    ``cross`` and ``within`` hold 1 for furniture and -1 for content by template key.
+    """
+
+    words: dict[str, int]
+    cross: dict[int, int]
+    within: dict[int, int]
+    heads: set[int]
+    starts: set[int]
+
+
+def fit(records: list[tuple[str | None, str | None, str]], corpus: Corpus) -> BodyModel:
+    """The model from (site, title, text) of the sample, texts already restored, and what the whole
+    corpus shows of their lines. Empty: no furniture."""
     if not records:
         return BodyModel()
-    docs, sites = [], []
-    df, plain = Counter(), Counter()
-    where: dict[str, Counter] = {}
-    for site, title, text in records:
-        own = [l.strip() for l in text.split("\n") if l.strip()]
-        toks = [tokens(l) for l in own]
-        docs.append((title.strip() if title else None, own, toks))
-        sites.append(site)
-        once = {t for l in toks for t in l}
-        df.update(once)
-        plain.update({t for t in _tokens(text) if t == t.lower()})
-        for t in once:
-            where.setdefault(t, Counter())[site] += 1
-    # Words of one site that are written with a capital are its names; templates hold on many sites.
-    name = lambda t, c: len(t) > 1 and plain[t] < 0.2 * c and max(where[t].values()) > 0.7 * c
-    least, alone = max(3, KNOWN_SHARE * len(records)), len(set(sites)) < 3
-    known = sorted(t for t, c in df.items() if c >= least and not t[0].isdigit() and (alone or not name(t, c)))
-    words = {t: i + 2 for i, t in enumerate(known)}
-    mask = lambda l: tuple(1 if t[0].isdigit() else words.get(t, 0) for t in l)
-    keys = [[mask(l) for l in toks] for _, _, toks in docs]
-    count, hosted = Counter(), Counter()
-    spread: dict[tuple, set] = {}
-    for site, (_, own, toks), ks in zip(sites, docs, keys):
-        once = set(ks)
-        count.update(once)
-        for k in once:
-            if len(held := spread.setdefault(k, set())) < 2:
-                held.add(site)
-        # long text besides the line itself, by lines that stand in this record alone
-        if sum(len(t) for t, l in zip(toks, own) if is_long(t, l)) >= 60:
-            hosted.update(once)
-    many = max(MANY, MANY_SHARE * len(records))
-
-    def recurs(k) -> int:
-        """1: furniture, -1: content, 0: does not recur."""
-        # Long lines recur in edited copies of one page too.
-        if count[k] < (many if len(k) < 14 else 3 * many) or sum(x > 0 for x in k) * 2 < len(k) or max(k, default=0) < 2:
-            return 0
-        return 1 if hosted[k] >= HOSTED * count[k] else -1 if len(spread[k]) > 1 else 0
-
-    state = [[recurs(k) for k in ks] for ks in keys]
-    long = [[is_long(t, l) and s != 1 for t, l, s in zip(toks, own, st)] for (_, own, toks), st in zip(docs, state)]
-    # Headings of sidebars: what follows them below the text.
-    follows, below = Counter(), Counter()
-    runs = []
-    for d, (ks, st, lg) in enumerate(zip(keys, state, long)):
-        seen_long = False
-        for i, k in enumerate(ks):
-            if lg[i]:
-                seen_long = True
-            if st[i] == 1 and seen_long and len(k) <= 13:
-                j = i + 1
-                while j < len(ks) and j - i <= 8 and st[j] == 0 and not lg[j]:
-                    j += 1
-                below[k] += 1
-                if 1 < j - i <= 7 and (j == len(ks) or st[j] == 1):
-                    follows[k] += 1
-                    runs.append((d, i, j))
-    heads = {k for k in follows if follows[k] >= 0.5 * below[k]}
-    # Bylines stand below the title and start alike.
-    after = [own.index(title) + 1 if title in own[:14] else None for title, own, _ in docs]
-    starts = Counter(ks[i][:2] for ks, st, lg, i in zip(keys, state, long, after) if i is not None and i < len(ks) and not lg[i])
-    y = [[0.0] * len(ks) for ks in keys]  # +1 furniture, -1 content
-    for d, i, j in runs:
-        if keys[d][i] in heads:
-            y[d][i + 1 : j] = [1.0] * (j - i - 1)
-    for d, ((title, own, _), st, lg) in enumerate(zip(docs, state, long)):
-        top = own.index(title) if title in own[:14] else None
+    docs = [keyed(*r, corpus.words) for r in records]
+    state = [[corpus.cross.get(c) or corpus.within.get(f, 0) for c, f in zip(d.cross, d.within)] for d in docs]
+    keys = [[c if c in corpus.cross else f for c, f in zip(d.cross, d.within)] for d in docs]
+    long = [[lg and s != 1 for lg, s in zip(d.long, st)] for d, st in zip(docs, state)]
+    y = [[0.0] * len(d.toks) for d in docs]  # +1 furniture, -1 content
+    for d, doc in enumerate(docs):
+        for i, j in sidebar_runs(state[d], long[d], [len(t) for t in doc.toks]):
+            if j and keys[d][i] in corpus.heads:
+                y[d][i + 1 : j] = [1.0] * (j - i - 1)
+    for d, (doc, st, lg) in enumerate(zip(docs, state, long)):
+        top = doc.after - 1 if doc.after is not None else None
         between = None
-        for i in range(len(own)):
+        for i in range(len(st)):
             if st[i]:
                 y[d][i] = float(st[i])
                 if st[i] == 1:
@@ -192,22 +213,22 @@ def fit(records: list[tuple[str | None, str | None, str]]) -> BodyModel:
                 between = i + 1
             elif top is not None and i < top:
                 y[d][i] = 1.0
-            elif top is not None and i == top + 1 and starts[keys[d][i][:2]] >= 2 * many and max(keys[d][i][:2]) > 1:
+            elif i == doc.after and doc.start in corpus.starts:
                 y[d][i] = 1.0
-    lines = [l for _, _, toks in docs for l in toks]
-    ends = [bool(_END.search(l)) for _, own, _ in docs for l in own]
+    lines = [t for d in docs for t in d.toks]
+    ends = [bool(_END.search(l)) for d in docs for l in d.own_lines]
     label = np.array([v for row in y for v in row])
-    slots, rows = _features(lines, ends, words)
+    slots, rows = _features(lines, ends, corpus.words)
     use = label != 0
     weight = np.where(use, np.abs(label), 0.0)
     # Long lines are many and easy; what is short decides. A quarter of them is enough to learn from.
     is_wide = np.fromiter(map(len, lines), "i8", len(lines)) >= 14
     weight = np.where(is_wide, np.where(np.arange(len(lines)) % 4 == 0, 2 * weight, 0.0), weight)
-    model = BodyModel(words)
+    model = BodyModel(corpus.words)
     model.furniture = _fit(*_only(slots, rows, weight > 0), (label > 0).astype("f8"), weight)
     flat = [k for ks in keys for k in ks]
     known_ = np.array([s for row in state for s in row]) == 1
-    model.heading = _fit(*_only(slots, rows, known_), np.fromiter((k in heads for k in flat), "f8", len(flat)), known_.astype("f8"), 40)
+    model.heading = _fit(*_only(slots, rows, known_), np.fromiter((k in corpus.heads for k in flat), "f8", len(flat)), known_.astype("f8"), 40)
     return model
 
 

@@ -1,8 +1,8 @@
 """Records judged line by line: one pass that restores, labels and reports.
 
-``Judge`` counts character pairs over all records, fits the line classifiers on a bounded sample,
-and gives both to every task; both have a fixed bound (``encoding.MODEL_PAIRS`` pairs, two weight
-tables, the words of ``body.SAMPLE`` records). Each record is then judged by itself, without any
+``Judge`` counts character pairs, words and line templates over all records, fits the weights of
+the line classifiers on a bounded sample, and gives pairs and weights to every task; both have a
+fixed bound (``encoding.MODEL_PAIRS`` pairs, two weight tables, the words of a share of the records). Each record is then judged by itself, without any
 shuffle.
 """
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import body, encoding
+from . import body, encoding, templates
 from .repeats import site_of
 
 
@@ -39,7 +39,9 @@ class Judge:
         sample = picked.select(site_of(F.col("url")).alias("site"), "title", F.col(whole).alias("t")).limit(2 * body.SAMPLE).collect()
         fixed = encoding.repair_texts([r.t for r in sample], self.pairs)
         self.sample = [(r.site, r.title, "\n".join(x for x, _, _ in t)) for r, t in zip(sample, fixed)]
-        self.body = body.fit(self.sample)
+        pages = own.select(F.monotonically_increasing_id().alias("row"), site_of(F.col("url")).alias("site"), "title", F.col(whole).alias("t"))
+        shared = spark.sparkContext.broadcast(self.pairs)
+        self.body = body.fit(self.sample, templates.count(pages, shared, rows, self.sample))
         self.models = spark.sparkContext.broadcast((self.pairs, self.body))
 
     def sample_content(self) -> list[list[str]]:
