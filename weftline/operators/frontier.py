@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import count
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -228,14 +229,15 @@ def expand_sitemaps(seeds: DataFrame, files: DataFrame) -> DataFrame:
 # -- graph -------------------------------------------------------------------
 
 
-def levels(edges: DataFrame, seeds: DataFrame, most: int = 5) -> DataFrame:
-    """(node, depth): breadth-first levels from the seeds over edges (src, dst), to depth ``most``.
+def levels(edges: DataFrame, seeds: DataFrame, most: int | None = 5) -> DataFrame:
+    """(node, depth): breadth-first levels from the seeds over edges (src, dst), to depth ``most`` or,
+    with None, to the end.
 
     Each round joins the last level alone and is written to the shared folder.
     """
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     level = seen
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         step = edges.join(level.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         level = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not level.limit(1).count():

@@ -12,7 +12,7 @@ from .operators import crawl as C
 from .operators import dedup as D
 from .operators import freshness as FR
 from .operators import frontier as FN
-from .plans.shared import table
+from .plans.shared import cut, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -152,6 +152,15 @@ def bfs_levels(spark, d):
     return FN.levels(edges, x.agg(F.min(U.authority(F.col("url"))).alias("node")), 4)
 
 
+@query()
+def bfs_url_levels(spark, d):
+    """Levels of all urls that links reach from the pages of depth 0, to the end of the graph."""
+    links = table(spark, d, "extracted").select(U.canonical_url("url").alias("src"), F.explode("links").alias("l"))
+    edges = links.select("src", U.canonical_url("l").alias("dst")).where("src is not null and dst is not null").distinct()
+    seeds = table(spark, d, "page").where("depth = 0").select(U.canonical_url("url").alias("node")).where("node is not null")
+    return FN.levels(cut(edges), seeds, None)
+
+
 _QUEUE = f"""req AS (SELECT url, min({{'p': depth::DOUBLE, 'o': ord}}) AS q FROM page WHERE url IS NOT NULL GROUP BY url),
  queue AS (SELECT regexp_extract(url, {_SPLIT}, 2) AS host, url, row_number() OVER (PARTITION BY regexp_extract(url, {_SPLIT}, 2) ORDER BY q.p, q.o, url) AS place FROM req)"""
 
@@ -527,5 +536,5 @@ def crawl_pages(spark, d):
     answers = h.groupBy(U.canonical_url("url").alias("url")).agg(F.max_by("body", "ord").alias("body"))
     answers = answers.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), "body", F.lit(None).cast("string").alias("error"))
     seeds = h.groupBy(U.authority(F.col("url")).alias("h")).agg(F.min("url").alias("url"))
-    pages, _ = C.crawl(seeds, answers, FN.robots_rules(_robots(spark, d), AGENT), max_depth=2)
+    pages, _ = C.crawl(seeds, answers, FN.robots_rules(_robots(spark, d), AGENT), max_depth=5)
     return pages.select("ord", "url", "depth", "status", "words", "verdict", "duplicate_of", "distance", "error")
