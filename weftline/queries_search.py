@@ -114,6 +114,12 @@ def postings_positions(spark, d):
     return _index(spark, d).postings().where(F.col("term").isin("crawler", "archive", "index", "ranking")).withColumn("positions", F.col("positions").cast("array<bigint>"))
 
 
+@query(f"WITH {_BASE} SELECT term, doc_id, list_sort(list(pos)) AS positions FROM occ GROUP BY term, doc_id")
+def postings_whole(spark, d):
+    """The postings of all terms."""
+    return _index(spark, d).postings().withColumn("positions", F.col("positions").cast("array<bigint>"))
+
+
 @query(f"WITH {_BASE} SELECT doc_id, url, title, len FROM docs")
 def document_lengths(spark, d):
     return _index(spark, d).docs.withColumn("len", F.col("len").cast("bigint"))
