@@ -506,6 +506,35 @@ def charset_detect(spark, d):
     return e.select("ord", charset.decoded("body", F.lit("text/html; charset=utf-8x")).alias("x")).select("ord", "x.encoding", "x.source")
 
 
+def _encoded(spark, d):
+    """(ord, text, sent, kind, body, content_type): whole texts in several encodings; the text's hash chooses.
+
+    kind: 0 bare UTF-8, 1 to 4 with a mark (UTF-8, UTF-16 of both orders, UTF-32), 5 UTF-8 by header,
+    6 UTF-8 by meta tag, 7 ISO 8859-1 by header, 8 the same bytes with a header that names nothing.
+    A text that ISO 8859-1 cannot hold is UTF-8 there. ``sent`` is the text with its meta tag.
+    """
+    e = table(spark, d, "extracted").where("text is not null").select("ord", "text", F.pmod(F.xxhash64("text"), F.lit(9)).cast("int").alias("kind"))
+    k, narrow = F.col("kind"), ~F.col("text").rlike("[^\\x00-\\xff]")
+    e = e.withColumn("kind", F.when((k >= 7) & ~narrow, 5).otherwise(k))
+    e = e.withColumn("sent", F.when(k == 6, F.concat(F.lit('<html><meta charset="utf-8">'), "text")).otherwise(F.col("text")))
+    mark = lambda h, c: F.concat(F.unhex(F.lit(h)), F.encode("sent", c))
+    body = (
+        F.when(k == 1, mark("EFBBBF", "UTF-8")).when(k == 2, mark("FFFE", "UTF-16LE")).when(k == 3, mark("FEFF", "UTF-16BE"))
+        .when(k == 4, mark("0000FEFF", "UTF-32")).when(k >= 7, F.encode("sent", "ISO-8859-1")).otherwise(F.encode("sent", "UTF-8"))
+    )
+    header = F.when(k == 5, "text/html; charset=UTF-8").when(k == 7, "text/html; charset=iso-8859-1").when(k == 8, "text/html; charset=utf-8x").otherwise("text/html")
+    return e.select("ord", "text", "sent", "kind", body.alias("body"), header.alias("content_type"))
+
+
+@query()
+def charset_texts(spark, d):
+    """Whole texts of the records, encoded in several ways and decoded again."""
+    from .functions import charset
+
+    e = _encoded(spark, d).select("ord", charset.decoded("body", "content_type").alias("x"))
+    return e.select("ord", "x.encoding", "x.source", "x.text")
+
+
 @query("""WITH p AS (SELECT ord, min(verdict) AS verdict FROM page WHERE verdict IN ('new', 'canonical_alias') GROUP BY ord)
  SELECT DISTINCT e.ord, l.link FROM (SELECT ord, unnest(links) AS link FROM extracted) l JOIN extracted e ON e.ord = l.ord JOIN p ON p.ord = e.ord""")
 def expandable_links(spark, d):
