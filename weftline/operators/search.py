@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import cut, small
 
 K1, B, FIELD_GAP, TITLE_WEIGHT = 1.2, 0.75, 1000, 2
 _QUOTED = re.compile(r'"([^"]*)"')
@@ -123,6 +124,21 @@ class Index:
         return ranked(scores, limit)
 
 
+    def search_batch(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        """``search`` for loose terms of a table (query_id, query) of any size.
+
+        Terms meet the documents by join, broadcast only after they are counted. Documents are
+        partitioned before they are scored, so scores add up without another shuffle.
+        """
+        asked = cut(queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term")))
+        n = F.size("_t") * TITLE_WEIGHT + F.size("_b")
+        each = self.source.select("doc_id", n.alias("len"), F.explode(F.concat("_t", "_t", "_b")).alias("term"))
+        hit = each.join(small(cut(asked.select("term").distinct())), "term", "left_semi").repartition("doc_id")
+        tf = hit.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        parts = contributions(tf, self.stats(), asked, lambda w: small(cut(w)))
+        return ranked(parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), limit)
+
+
 class SavedIndex:
     """An index that was saved; a batch of queries reads the postings of its own terms.
 
@@ -159,15 +175,16 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.ln(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def contributions(tf: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
+def contributions(tf: DataFrame, stats: DataFrame, asked: DataFrame, placed=F.broadcast) -> DataFrame:
     """(query_id, doc_id, term, part): what each query term adds to each document's BM25 score.
 
-    tf: (doc_id, term, tf, len), at least for the terms of the queries.
+    tf: (doc_id, term, tf, len), at least for the terms of the queries. ``placed`` marks the weights
+    (query_id, term, idf) for their join.
     """
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg = stats.select("n_docs").scalar(), stats.select(F.coalesce(F.try_divide("total_len", "n_docs"), F.lit(1.0))).scalar()
     weight = asked.join(df, "term").select("query_id", "term", idf(n, F.col("df")).alias("idf"))
-    scored = tf.join(F.broadcast(weight), "term")  # one row per query and term
+    scored = tf.join(placed(weight), "term")  # one row per query and term
     length = F.when(avg > 0, F.col("len") / avg).otherwise(F.col("len").cast("double"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     return scored.select("query_id", "doc_id", "term", part.alias("part"))

@@ -86,6 +86,14 @@ def bm25_topk(spark, d):
     return _index(spark, d).search(ASKED)
 
 
+@query()
+def bm25_topk_batch(spark, d):
+    """The titles of all documents whose id is divisible by 50, against all documents."""
+    docs = table(spark, d, "documents")
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    return S.Index(docs).search_batch(asked)
+
+
 @query(f"""WITH {_BASE}, {_asked(PHRASED)}, {_runs(PHRASED)}, {_PARTS}, {_HITS},
  {_SUM}, kept AS (SELECT * FROM scored s WHERE (SELECT count(*) FROM runs r WHERE r.query_id = s.query_id) = 0 OR EXISTS (SELECT 1 FROM hits h WHERE h.query_id = s.query_id AND h.doc_id = s.doc_id))
  {_ranked('kept')}""")
