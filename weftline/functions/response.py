@@ -29,5 +29,7 @@ def content_encoded(headers: Column) -> Column:
 
 
 def header_charset(content_type: Column) -> Column:
-    """The charset a content type names, null without one."""
-    return F.nullif(F.lower(F.regexp_extract(content_type, "(?i)charset\\s*=\\s*[\"']?\\s*([a-zA-Z0-9_:.\\-]+)", 1)), F.lit(""))
+    """The charset a content type names, null without one: its parameter, unquoted, in lower case."""
+    pair = F.filter(F.split(F.lower(content_type), ";"), lambda p: F.trim(F.substring_index(p, "=", 1)) == "charset")
+    value = F.btrim(F.substring_index(F.get(pair, F.lit(0)), "=", -1), F.lit(" \t\"'"))
+    return F.nullif(value, F.lit(""))

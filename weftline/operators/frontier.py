@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from itertools import count
+from itertools import count, groupby
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -75,36 +75,37 @@ def busiest(spans: DataFrame) -> DataFrame:
 # -- robots ------------------------------------------------------------------
 
 
+def robots_fields(body: str) -> list[tuple[str, str]]:
+    """(field, value) of each line of a robots.txt that has one; fields in lower case."""
+    bare = (line.split("#", 1)[0] for line in body.splitlines())
+    pairs = ((f.strip().lower(), v.strip()) for f, v in (x.split(":", 1) for x in bare if ":" in x))
+    return [(f, v) for f, v in pairs if f or v]
+
+
+def _seconds(value: str) -> float | None:
+    try:
+        return float(value)
+    except ValueError:
+        return None
+
+
 def robots_groups(body: str) -> tuple[list[dict], list[str]]:
     """(groups, sitemaps) of a robots.txt; a group has agents, rules and a delay.
 
-    User-agent lines in a row share a group; an empty Disallow and a bad delay say nothing.
+    The file is runs of user-agent lines, each followed by the run of lines that hold for those
+    agents. An empty Disallow and a bad delay say nothing; the last sound delay holds.
     """
-    groups: list[dict] = []
-    maps: list[str] = []
-    naming = False
-    for line in body.splitlines():
-        field, colon, value = line.partition("#")[0].partition(":")
-        field, value = field.strip().lower(), value.strip()
-        if not colon or not (field or value):
-            continue
-        if field == "user-agent":
-            if not naming:
-                groups.append({"agents": [], "rules": [], "delay": None})
-            naming = True
-            groups[-1]["agents"].append(value.lower())
-            continue
-        naming = False
-        if field == "sitemap":
-            maps.append(value)
-        elif groups and field in ("allow", "disallow") and (value or field == "allow"):
-            groups[-1]["rules"].append((field == "allow", value))
-        elif groups and field == "crawl-delay":
-            try:
-                groups[-1]["delay"] = float(value)
-            except ValueError:
-                pass
-    return groups, maps
+    fields = robots_fields(body)
+    runs = [(named, list(part)) for named, part in groupby(fields, key=lambda x: x[0] == "user-agent")]
+    follow = {k: part for k, (named, part) in enumerate(runs) if not named}
+    groups = []
+    for k, (named, part) in enumerate(runs):
+        if named:
+            own = follow.get(k + 1, [])
+            pace = [s for f, v in own if f == "crawl-delay" and (s := _seconds(v)) is not None]
+            rules = [(f == "allow", v) for f, v in own if f == "allow" or (f == "disallow" and v)]
+            groups.append({"agents": [v.lower() for _, v in part], "rules": rules, "delay": pace[-1] if pace else None})
+    return groups, [v for f, v in fields if f == "sitemap"]
 
 
 def pattern_regex(pattern: str) -> str:
