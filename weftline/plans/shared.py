@@ -31,20 +31,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written reliably to the shared folder and read back, without its lineage."""
+    """``df`` written reliably to the shared folder and read back, without its lineage.
+
+    The files are deleted once nothing in the session refers to the result any more, so rounds of an
+    iteration don't pile up.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
+#: Folders and files of this session in the shared folder, until ``clean``.
+_MADE: list[str] = []
+
+
+def made(spark: SparkSession, kind: str) -> str:
+    """A new folder of the shared folder, which ``clean`` deletes."""
+    _MADE.append(f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables and files that this session wrote to the shared folder.
+
+    For the end of a job: results that were not written by then can't be read any more.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        at = path(_MADE.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table of the shared folder, for what is read several times by columns."""
+    at = made(df.sparkSession, "tables")
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def put_file(spark: SparkSession, data: bytes, name: str) -> str:
     """Bytes as a file of the shared folder; its URI, for ``SparkContext.addFile``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    uri = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}/{name}"
-    path = jvm.org.apache.hadoop.fs.Path(uri)
+    path = jvm.org.apache.hadoop.fs.Path(f"{made(spark, 'files')}/{name}")
     out = path.getFileSystem(conf).create(path, True)
     try:
         for k in range(0, len(data), 1 << 20):
