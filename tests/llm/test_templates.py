@@ -1,6 +1,6 @@
 """Statistics of line templates cover all records, not the sample that weights are fitted on."""
 
-from weftline.llm import body, encoding, templates
+from weftline.llm import body, templates
 
 WORDS = "the lantern keeps a slow record of every visit while the archive waits for rain and nobody counts".split()
 
@@ -17,11 +17,11 @@ def test_furniture_of_a_small_site_is_counted_over_all_records(spark):
         once = "Only here" if i == 0 else "Other"
         rows.append((i, site, f"Title {i}", "\n".join([menu, f"Title {i}", *(long_line(i + 40 * k) for k in range(5)), once])))
     pages = spark.createDataFrame(rows, "row bigint, site string, title string, t string")
-    pairs = spark.sparkContext.broadcast(encoding.count_pairs(pages, "t"))
     one = [rows[0][1:]]
-    corpus = templates.count(pages, pairs, len(rows), one)
+    corpus, repeated = templates.count(pages, len(rows), one)
     k = body.keyed(*one[0], corpus.words)
     assert corpus.within.get(k.within[0]) == 1, "eight records of 300, one of them in the sample"
     assert k.within[-1] not in corpus.within and k.cross[-1] not in corpus.cross
+    assert {r.row for r in repeated.collect() if k.within[0] in r["keys"]} == set(range(8))
     assert {"lantern", "archive"} <= set(corpus.words)
     assert body.fit(one, corpus).furniture.any()

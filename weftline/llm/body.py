@@ -22,12 +22,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from hashlib import blake2b
 from itertools import chain, repeat
 
 import numpy as np
+import xxhash
 
-from .encoding import PairModel, repair_texts
+from .encoding import Lines
 
 #: Records the classifier is fitted on at most, and the least number of records for "many".
 SAMPLE, MANY, MANY_SHARE = 3000, 4, 0.0015
@@ -105,8 +105,9 @@ def is_long(toks: list[str], line: str) -> bool:
 
 def words_of(text: str) -> tuple[set[str], set[str]]:
     """(words, words that stand in lower case) of a text; digits do not count."""
-    once = {t for l in text.split("\n") for t in tokens(l) if not t[0].isdigit()}
-    return once, {t for t in _tokens(text) if t == t.lower()} & once
+    seen = {t for t in set(_tokens(text)) if not t[0].isdigit()}
+    once = {t.lower() for t in seen}
+    return once, once & seen
 
 
 @dataclass
@@ -125,45 +126,54 @@ class Keyed:
     after: int | None
     start: int | None
 
-    def row(self) -> dict:
-        longest = max(range(len(self.toks)), key=lambda i: len(self.toks[i]), default=None)
-        lines = [
-            {"c": c, "f": f, "ok": ok, "own": own, "n": len(t), "long": lg}
-            for c, f, ok, own, t, lg in zip(self.cross, self.within, self.counts, self.own, self.toks, self.long)
-        ]
-        return {"longest": self.within[longest] if lines else None, "hosted": self.hosted, "after": self.after, "start": self.start, "lines": lines}
+    @property
+    def longest(self) -> int | None:
+        """The key of the line with the most tokens, the first of them."""
+        return self.within[max(range(len(self.toks)), key=lambda i: len(self.toks[i]))] if self.toks else None
+
+
+_digits = re.compile(r"\d+").sub
+
+
+def site_keys(site: str | None, toks: list[list[str]]) -> list[int]:
+    """The keys of lines within their site: their tokens with digits masked."""
+    head = f"{site}\n"
+    return [xxhash.xxh3_64_intdigest((head + _digits("0", " ".join(t))).encode("utf-8", "replace")) - (1 << 63) for t in toks]
 
 
 def keyed(site: str | None, title: str | None, text: str, words: dict[str, int]) -> Keyed:
     """The keys of a restored text's lines; ``words`` are those that templates keep."""
-    own = [l.strip() for l in text.split("\n") if l.strip()]
+    own = [x for l in text.split("\n") if (x := l.strip())]
     toks = [tokens(l) for l in own]
-    keys = [tuple(1 if t[0].isdigit() else words.get(t, 0) for t in l) for l in toks]
-    exact = [" ".join("0" if t[0].isdigit() else t for t in l) for l in toks]
-    within = [int.from_bytes(blake2b(f"{site}\n{e}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for e in exact]
+    get = words.get
+    keys = [tuple([get(t) or (1 if t[0].isdigit() else 0) for t in l]) for l in toks]
     long = [is_long(t, l) for t, l in zip(toks, own)]
     # long text besides the line itself
     hosted = int(sum(len(t) for t, lg in zip(toks, long) if lg) >= 60)
     title = title.strip() if title else None
-    after = own.index(title) + 1 if title in own[:14] else None
+    after = own.index(title) + 1 if title in own else None
     start = hash(keys[after][:2]) if after is not None and after < len(own) and max(keys[after][:2], default=0) > 1 else None
     return Keyed(
-        own, toks, [hash(k) for k in keys], within, [sum(x > 0 for x in k) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
+        own, toks, [hash(k) for k in keys], site_keys(site, toks), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
         [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start,
     )
 
 
 def sidebar_runs(state: list[int], long: list[bool], size: list[int]):
-    """(line, end) of each possible heading below the text: the end of its run of short lines, or 0."""
+    """(line, end) of each possible heading below the text: the end of its run of short lines, or 0.
+
+    A run ends at the next furniture or at the end of the page; one that meets long text, or that
+    has no line, is none.
+    """
     seen_long = False
     for i in range(len(state)):
         if long[i]:
             seen_long = True
         if state[i] == 1 and seen_long and size[i] <= 13:
             j = i + 1
-            while j < len(state) and j - i <= 8 and state[j] == 0 and not long[j]:
+            while j < len(state) and state[j] == 0 and not long[j]:
                 j += 1
-            yield i, j if 1 < j - i <= 7 and (j == len(state) or state[j] == 1) else 0
+            yield i, j if j - i > 1 and (j == len(state) or state[j] == 1) else 0
 
 
 @dataclass
@@ -332,42 +342,52 @@ def cut_page(cost: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     return label
 
 
-def label_texts(
-    texts: list[str], titles: list[str | None], model: BodyModel, pairs: PairModel | None
-) -> list[list[tuple[str, bool, bool, bool]]]:
-    """For each text its lines as (restored, damaged, whole, furniture); blank lines are content."""
-    fixed = repair_texts(texts, pairs) if pairs is not None else [[(l, False, True) for l in t.split("\n")] for t in texts]
+#: What a line that recurs within its site, beside long text, has more of furniture.
+SITE = 2.0
+
+
+def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, support: list[tuple[str | None, set[int]]] | None = None) -> list[list[tuple[str, bool, bool, bool]]]:
+    """For each text its lines as (restored, damaged, whole, furniture); blank lines are content.
+
+    ``support`` holds for each text its site and the keys of lines that are the site's own
+    furniture by count.
+    """
+    out = [[(*x, False) for x in doc] for doc in docs]
     lines, ends, where = [], [], []
-    for d, doc in enumerate(fixed):
+    for d, doc in enumerate(docs):
         for i, (l, _, _) in enumerate(doc):
             if l and not l.isspace():
                 lines.append(tokens(l))
                 ends.append(bool(_END.search(l)))
                 where.append((d, i))
     if not lines:
-        return [[(*x, False) for x in doc] for doc in fixed]
+        return out
     slots, rows = _features(lines, ends, model.words)
     furn, head = _scores(slots, rows, len(lines), model.furniture, model.heading)
     furn, head = np.clip(furn, -7, 7).tolist(), head.tolist()
-    out = [[(*x, False) for x in doc] for doc in fixed]
     k = 0
     while k < len(where):
         d = where[k][0]
         e = k
         while e < len(where) and where[e][0] == d:
             e += 1
-        own = [fixed[d][i][0].strip() for _, i in where[k:e]]
+        own = [docs[d][i][0].strip() for _, i in where[k:e]]
         size = [len(l) for l in lines[k:e]]
         title = titles[d].strip() if titles[d] else None
         cost = [f - BIAS for f in furn[k:e]]
-        top = own.index(title) if title in own[:14] else -1
+        top = own.index(title) if title in own else -1
         if top < 0:  # no title is known: the first line above the text that isn't clearly furniture
-            for i in range(min(14, len(own))):
+            for i in range(len(own)):
                 if size[i] >= 14 or head[k + i] > 1:
                     break
                 if cost[i] < UNSURE and size[i] >= 3:
                     top = i
                     break
+        if support is not None and support[d][1]:
+            site, known = support[d]
+            for i, key in enumerate(site_keys(site, lines[k:e])):
+                if key in known:
+                    cost[i] += SITE
         if top >= 0:
             cost[top] -= TITLE
         # What is certain is not bent by its neighbours.
@@ -379,13 +399,15 @@ def label_texts(
             same = short and ends[k + i] == ends[k + i + 1] and abs(size[i] - size[i + 1]) <= 4
             if short:
                 edges.append((i, i + 1, SAME if same and cost[i] < 2.5 and cost[i + 1] < 2.5 else OTHER))
+        hang = None  # the heading above, until the next furniture or long line
         for i in range(m):
             if head[k + i] > 1 and cost[i] > 0:
-                j = i + 1
-                while j < m and j - i <= 6 and size[j] < 14 and j != top and head[k + j] <= 1:
-                    edges.append((i, j, HANG))
-                    j += 1
+                hang = i
+            elif size[i] >= 14 or i == top or head[k + i] > 1 or cost[i] > FIX:
+                hang = None
+            elif hang is not None:
+                edges.append((hang, i, HANG))
         for (_, i), furniture in zip(where[k:e], cut_page(cost, edges)):
-            out[d][i] = (*fixed[d][i], furniture)
+            out[d][i] = (*docs[d][i], furniture)
         k = e
     return out

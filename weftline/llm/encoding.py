@@ -4,29 +4,34 @@ Every pair of adjacent characters with one beyond ASCII is counted over the whol
 score is the logarithm of its share in the corpus's mutual information between neighbours: how
 often it stands there, times how much more often than by chance. Pairs of garbled text score low,
 as each kind of damage is far rarer than the text it came from. Runs of low-scoring pairs are
-isolated as maximum-scoring segments, and only lines with such a run are tested: the run's
-characters are encoded with the encoding that may have been used wrongly and decoded with the
-right one. A mapping holds if the pairs it gives score clearly better. It is tried once more on its
-result, for text that was damaged twice. Lines with control or replacement characters are damaged
-whether a mapping holds or not.
+isolated as maximum-scoring segments, widened to whole words, and inverse mappings are tested inside
+the runs of a line alone: their characters are encoded with the encoding that may have been used
+wrongly and decoded with the right one. A mapping holds if the pairs it gives score clearly better.
+It is tried again on its result until none holds, for text that was damaged several times. What
+holds for a line's runs is then applied to those of its other words, and of the record's other
+lines, that it makes more probable. Lines with control or replacement characters are damaged whether a mapping holds or not.
+
+The scores of all pairs, rare ones too, are one sorted file that every task maps into memory.
 """
 
 from __future__ import annotations
 
 import codecs
 import functools
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.shared import cut, put_file
 
-#: Pairs the model keeps, the most frequent ones; the rest count as unseen. Bounds the broadcast.
-MODEL_PAIRS = 300_000
+#: A text's lines as (restored, damaged, whole).
+Lines = list[tuple[str, bool, bool]]
 
 #: Encodings by the text they serve, and for each family of right encodings the
 #: wrong ones that its bytes are read with by mistake.
@@ -50,6 +55,7 @@ _MULTI = frozenset(("utf-8", "cp932", "euc-jp", "gbk"))
 
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�]")
 _PRIVATE = re.compile("[\ue000-\uf8ff]")
+_BEYOND = re.compile("[^\x00-\x7e]+")
 
 
 def pair_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +67,10 @@ def pair_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PairModel:
-    """Scores of character pairs, from counts over a corpus."""
+    """Scores of character pairs, from counts over a corpus. ``file`` names the file of the scores
+    among those every task has; without it they travel with the model."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, file: str | None = None):
         order = np.argsort(codes)
         self.codes, n = codes[order].astype("u8"), counts[order].astype("f8")
         total = max(n.sum(), 1.0)
@@ -77,6 +84,23 @@ class PairModel:
         # Levels below which these shares of all pairs in the corpus lie.
         by = np.argsort(self.score)
         self.level, self.wide = (float(self.score[by][np.searchsorted(np.cumsum(n[by]), q * total)]) if len(n) else 0.0 for q in IMPROBABLE)
+        self.file = file
+
+    def to_bytes(self) -> bytes:
+        return self.codes.tobytes() + self.score.tobytes()
+
+    def __getstate__(self):
+        state = dict(self.__dict__)
+        if self.file:
+            state["codes"], state["score"] = len(self.codes), None
+        return state
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.file:
+            n, at = state["codes"], SparkFiles.get(self.file)
+            self.codes = np.memmap(at, "u8", "r", 0, (n,)) if n else np.zeros(0, "u8")
+            self.score = np.memmap(at, "f4", "r", 8 * n, (n,)) if n else np.zeros(0, "f4")
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.codes):
@@ -117,9 +141,13 @@ def count_pairs(texts: DataFrame, column: str) -> PairModel:
                 codes, n = np.unique(pair_codes(text)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(codes.astype("i8")), pa.array(n.astype("i8"))], names=["pair", "n"])
 
-    counts = cut(texts.select(column).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")))
-    kept = most_frequent(counts, "n", MODEL_PAIRS).toPandas()
-    return PairModel(kept["pair"].to_numpy("u8"), kept["n"].to_numpy("i8"))
+    counts = texts.select(column).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    # As many rows as there are pairs of characters in use, whatever the number of texts.
+    got = counts.toArrow()
+    model = PairModel(got["pair"].to_numpy().astype("u8"), got["n"].to_numpy(), f"pairs-{os.urandom(6).hex()}.bin")
+    spark = texts.sparkSession
+    spark.sparkContext.addFile(put_file(spark, model.to_bytes(), model.file))
+    return model
 
 
 def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
@@ -197,15 +225,11 @@ def _screen(codes: np.ndarray, own: np.ndarray, lines: np.ndarray, n: int, model
     return passed
 
 
-def _may_be_multibyte(line: str, deep: bool) -> bool:
-    """Whether the line's bytes under some single-byte encoding are valid in one of several bytes."""
-    beyond = [i for i, c in enumerate(line) if c > "\x7e"]
-    if not beyond:
-        return False
-    run = line[beyond[0] : beyond[-1] + 1]
-    dense = deep and 3 * len(beyond) > len(run)
+def _may_be_multibyte(runs: str, deep: bool) -> bool:
+    """Whether the runs' bytes under some single-byte encoding are valid in one of several bytes."""
+    dense = deep and 3 * sum(c > "\x7e" for c in runs) > len(runs)
     for wrong, rights in TESTS.items():
-        raw = _encode(run, wrong)
+        raw = _encode(runs, wrong)
         if raw is None or raw.isascii():
             continue
         for right in rights:
@@ -283,29 +307,59 @@ def _best_runs(score: np.ndarray, at: np.ndarray, line_of: np.ndarray, n: int) -
     return best
 
 
-def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", only: str | None = None) -> tuple[str, str, str] | None:
-    """(restored, wrong, right) by the best mapping of a run between two neighbours, None if none holds.
+def whole_words(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first, stop) widened to the ASCII white space around them; those that meet are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        while a > 0 and text[a - 1] not in " \t\r":
+            a -= 1
+        while b < len(text) and text[b] not in " \t\r":
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _joined(text: str, spans: list[tuple[int, int]]) -> str:
+    """The runs as lines of one string, with a space for white space beside them; all encodings
+    leave both as they are."""
+    return "\n".join(" " * (a > 0) + text[a:b] + " " * (b < len(text)) for a, b in spans)
+
+
+def _put_back(text: str, spans: list[tuple[int, int]], runs: str) -> str:
+    n = len(text)
+    for (a, b), run in zip(reversed(spans), reversed(runs.split("\n"))):
+        text = text[:a] + run[int(a > 0) : len(run) - int(b < n)] + text[b:]
+    return text
+
+
+def mappings(run: str, model: PairModel, single: bool = True, only: str | None = None) -> tuple[str, str, str] | None:
+    """(restored, wrong, right) by the best mapping of the runs of a line, None if none holds.
 
     A mapping holds if it saves enough bits and makes hardly any rare pair; one between encodings
-    of single bytes, which never fails by itself, must also save enough per pair.
+    of single bytes, which never fails by itself, must also save enough per pair and is tried with
+    ``single`` alone.
     """
-    clean = run.replace("�", "")
+    clean = run.replace("\ufffd", "")
     lossy = len(clean) < len(run)
-    q = model.of(pair_codes(left + clean + right_of)[1])
+    q = model.of(pair_codes(clean)[1])
     if not len(q):
         return None
     best, gain = None, LEAST_UTF8
     raws = {}
+    lines = clean.count("\n")
     for wrong in TESTS:
         raw = _encode(clean, wrong)
         if raw is None or raw.isascii():
             continue
         raws[wrong] = raw
         out = _decode(raw, "utf-8", lossy)
-        if out is None or out == clean or _PRIVATE.search(out):
+        if out is None or out == clean or out.count("\n") != lines or _PRIVATE.search(out):
             continue
         # Valid sequences of bytes hardly come by chance: a bit for each byte that proves itself.
-        g = float(model.of(pair_codes(left + out + right_of)[1]).sum() - q.sum()) + len(clean) - len(out)
+        g = float(model.of(pair_codes(out)[1]).sum() - q.sum()) + len(clean) - len(out)
         if g > gain:
             best, gain = (out, wrong, "utf-8"), g
     if best is not None or only == "utf-8":
@@ -313,12 +367,12 @@ def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", onl
     gain, bad = LEAST_TOTAL, bool(_BAD.search(run))
     for wrong, raw in raws.items():
         for right in TESTS[wrong]:
-            if right == "utf-8":
+            if right == "utf-8" or not (single or bad or right in _MULTI):
                 continue
             out = _decode(raw, right, lossy)
-            if out is None or out == clean or _PRIVATE.search(out) or (_BAD.search(out) and not bad):
+            if out is None or out == clean or out.count("\n") != lines or _PRIVATE.search(out) or (_BAD.search(out) and not bad):
                 continue
-            r = model.of(pair_codes(left + out + right_of)[1])
+            r = model.of(pair_codes(out)[1])
             g = float(r.sum() - q.sum())
             if bad and wrong == "latin-1" and right == "cp1252" and not _BAD.search(out):
                 g, r = max(g, gain) + 1, q + 9  # what it does is turn controls into signs
@@ -327,59 +381,74 @@ def mappings(run: str, model: PairModel, left: str = "", right_of: str = "", onl
     return best
 
 
-def _restore(run: str, model: PairModel, left: str, right_of: str, only: str | None, used: list | None = None) -> str | None:
-    got = None
-    for _ in range(2):  # text may be damaged twice
-        hit = mappings(run if got is None else got, model, left, right_of, only)
-        if hit is None:
-            break
-        got = hit[0]
-        if used is not None:
-            used.append(hit[1:])
-    return got
+def _restore(run: str, model: PairModel, single: bool, only: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """The runs restored as often as a mapping holds, and the mappings; each saves bits, so it ends."""
+    used: list[tuple[str, str]] = []
+    while (hit := mappings(run, model, single, only)) is not None:
+        run = hit[0]
+        used.append(hit[1:])
+    return run, used
+
 
+def _again(text: str, ways: list[list[tuple[str, str]]], model: PairModel, least: float) -> str | None:
+    """The text with its words beyond ASCII restored by one of the ways that held for other runs, if
+    that saves ``least`` bits; a way is the mappings of one text, one after the other.
 
-def repair_line(line: str, model: PairModel, deep: bool = True, used: list | None = None) -> tuple[str, bool, bool]:
+    Each word is restored or left by itself: damage that is as frequent as sound text makes no run.
+    """
+    spans = whole_words(text, [m.span() for m in _BEYOND.finditer(text)])
+    words = [_joined(text, [x]) for x in spans]
+    before = _word_bits(words, model)
+    best, gain = None, least
+    for way in ways:
+        got = list(words)
+        for wrong, right in way:
+            for i, w in enumerate(got):
+                raw = _encode(w, wrong) if w is not None else None
+                got[i] = _decode(raw, right, False) if raw is not None else None
+        fits = [g if g is not None and "\n" not in g and not _PRIVATE.search(g) else w for g, w in zip(got, words)]
+        saved = _word_bits(fits, model) - before
+        # In another line than the damaged one, words that are made worse speak against the way.
+        total = float(saved.sum() if least > 0 else saved[saved > 0].sum())
+        if total > gain:
+            kept = "\n".join(g if s > 0 else w for g, w, s in zip(fits, words, saved.tolist()))
+            if (model.of(pair_codes(kept)[1]) < model.level - RARE).mean() <= 0.15:
+                best, gain = kept, total
+    return None if best is None else _put_back(text, spans, best)
+
+
+def _word_bits(words: list[str], model: PairModel) -> np.ndarray:
+    """The sum of the scores of each word's pairs."""
+    at, codes = pair_codes("\n".join(words))
+    ends = np.cumsum([len(w) + 1 for w in words])
+    return np.bincount(np.searchsorted(ends, at, "right"), model.of(codes), len(words))
+
+
+def repair_line(line: str, model: PairModel, spans: list[tuple[int, int]], single: bool, only: str | None, used: list | None = None) -> tuple[str, bool, bool]:
     """(text, damaged, whole): the line restored as far as it can be; whole if nothing is lost.
 
-    The suspicious runs are mapped as one stretch with all that lies between them, as one mistake
-    damages all characters of a line; where no mapping serves them all, each run is mapped alone,
-    but only to UTF-8, whose sequences prove themselves.
+    One mistake damages all of a line, so its runs are mapped together first; where no mapping
+    serves them all, each is mapped alone, but only to UTF-8, whose sequences prove themselves.
     """
-    at, codes = pair_codes(line)
-    runs = segments(np.clip((model.level if deep else model.wide) - model.of(codes), -4, 4), at, LEAST_RUN)
-    bad = [m.start() for m in _BAD.finditer(line)]
-    if not runs and not bad:
-        return line, False, True
-    beyond = [i for i, c in enumerate(line) if c > "\x7e"]
-    tries = [(beyond[0], beyond[-1] + 1)] if beyond else []
-    tries += [(a, b + 2) for a, b in reversed(runs)]
+    spans = whole_words(line, spans + [m.span() for m in _BAD.finditer(line)])
     got, seen = line, False
-    for k, (a, b) in enumerate(tries):
-        part = _restore(got[a:b], model, got[max(0, a - 1) : a], got[b : b + 1], "utf-8" if k or not beyond or not (deep or bad) else None, used)
-        if part is not None:
-            got, seen = got[:a] + part + got[b:], True
-            if k == 0:
-                break
-    damaged = seen or bool(bad)
-    return got, damaged, not damaged or (seen and "�" not in line and not _BAD.search(got))
-
-
-def _same_damage(line: str, pairs: set, model: PairModel) -> tuple[str, bool, bool]:
-    """The line by one of the mappings that its neighbours needed, if that saves a few bits."""
-    q = model.of(pair_codes(line)[1])
-    best, gain = None, LEAST_AGAIN
-    for wrong, right in sorted(pairs):
-        raw = _encode(line, wrong)
-        got = _decode(raw, right, False) if raw is not None else None
-        if got is not None and got != line and not _PRIVATE.search(got):
-            r = model.of(pair_codes(got)[1])
-            if float(r.sum() - q.sum()) > gain and (r < model.level - RARE).mean() <= 0.15:
-                best, gain = got, float(r.sum() - q.sum())
-    return (line, False, True) if best is None else (best, True, not _BAD.search(best))
-
-
-def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, bool, bool]]]:
+    if spans:
+        runs, ways = _restore(_joined(line, spans), model, single, only)
+        if ways:
+            got, seen = _put_back(line, spans, runs), True
+            if used is not None:
+                used += ways
+            got = _again(got, [ways], model, 0.0) or got
+        else:
+            for span in reversed(spans) if len(spans) > 1 else ():
+                runs, ways = _restore(_joined(got, [span]), model, False, "utf-8")
+                if ways:
+                    got, seen = _put_back(got, [span], runs), True
+    damaged = seen or bool(_BAD.search(line))
+    return got, damaged, not damaged or (seen and "\ufffd" not in line and not _BAD.search(got))
+
+
+def repair_texts(texts: list[str], model: PairModel) -> list[Lines]:
     """For each text, its lines as (restored, damaged, whole)."""
     out = [[(x, False, True) for x in t.split("\n")] for t in texts]
     joined = "\n".join(texts)
@@ -391,7 +460,7 @@ def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, boo
     ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "u4") == 10)
     line_of = np.searchsorted(ends, at)
     n_lines = len(ends) + 1
-    flat = [(i, j) for i, t in enumerate(out) for j in range(len(t))]
+    start_of = np.cumsum([0, *map(len, out)])
     suspects = np.flatnonzero(_best_runs(wide, at, line_of, n_lines) >= LEAST_RUN)
     is_deep = _best_runs(score, at, line_of, n_lines)[suspects] >= LEAST_RUN
     first = np.searchsorted(line_of, suspects)
@@ -402,26 +471,28 @@ def repair_texts(texts: list[str], model: PairModel) -> list[list[tuple[str, boo
         pick = np.concatenate([np.arange(first[k], last[k]) for k in deep])
         of = np.repeat(np.arange(len(deep)), last[deep] - first[deep])
         passed[deep] = _screen(codes[pick], found[pick], of, len(deep), model)
-    kinds: dict[int, set] = {}
-    for k, n in enumerate(suspects.tolist()):
-        i, j = flat[n]
+    ways: dict[int, list] = {}
+    text_of = np.searchsorted(start_of, suspects, "right") - 1
+    for k, (n, i) in enumerate(zip(suspects.tolist(), text_of.tolist())):
+        j = n - int(start_of[i])
         line = out[i][j][0]
-        if not (passed[k] or _may_be_multibyte(line, bool(is_deep[k]))):
-            base, own = (int(ends[n - 1]) + 1 if n else 0), slice(first[k], last[k])
-            runs = segments(wide[own], at[own], LEAST_RUN)
-            if not any(_may_be_multibyte(line[p - base : q - base + 2], False) for p, q in runs):
+        base, own = (int(ends[n - 1]) + 1 if n else 0), slice(first[k], last[k])
+        spans = [(a - base, b - base + 2) for a, b in segments(wide[own], at[own], LEAST_RUN)]
+        if not passed[k]:
+            whole = whole_words(line, spans)
+            if not (_may_be_multibyte(_joined(line, whole), bool(is_deep[k])) or (len(whole) > 1 and any(_may_be_multibyte(_joined(line, [s]), False) for s in whole))):
                 continue
-        out[i][j] = repair_line(line, model, bool(is_deep[k]), used := [])
-        if len(used) == 1 and used[0][1] not in _MULTI and used[0][0] not in _MULTI:
-            kinds.setdefault(i, set()).add(used[0])
+        out[i][j] = repair_line(line, model, spans, bool(passed[k]), None if is_deep[k] else "utf-8", used := [])
+        if used and not any(x in _MULTI for way in used for x in way) and used not in ways.setdefault(i, []):
+            ways[i].append(used)
     # What damaged one line of a text may have damaged single characters of the others.
-    for i, pairs in kinds.items():
+    for i, known in ways.items():
         for j, (x, d, _) in enumerate(out[i]):
-            if not d and not x.isascii():
-                out[i][j] = _same_damage(x, pairs, model)
+            if not d and not x.isascii() and (got := _again(x, known, model, LEAST_AGAIN)) is not None:
+                out[i][j] = (got, True, not _BAD.search(got))
     if _BAD.search(joined):
         for t in out:
             for j, (x, d, w) in enumerate(t):
                 if not d and w and _BAD.search(x):
-                    t[j] = repair_line(x, model)
+                    t[j] = repair_line(x, model, [], True, None)
     return out

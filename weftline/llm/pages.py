@@ -1,23 +1,41 @@
-"""Records judged line by line: one pass that restores, labels and reports.
+"""Records judged line by line: restored once, then labelled and reported.
 
-``Judge`` counts character pairs, words and line templates over all records, fits the weights of
-the line classifiers on a bounded sample, and gives pairs and weights to every task; both have a
-fixed bound (``encoding.MODEL_PAIRS`` pairs, two weight tables, the words of a share of the records). Each record is then judged by itself, without any
-shuffle.
+``Judge`` counts character pairs over all records, restores every text once into a table of the
+shared folder, counts words and line templates over all of it, and fits the weights of the line
+classifiers on a bounded sample. Every task has the weights, the words of a share of the records,
+and the file of pair scores. Each record is then judged by itself, with the lines that its site
+repeats at hand.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import stage
 from . import body, encoding, templates
 from .repeats import site_of
 
 
-#: Bytes of a text up to which it may be in the sample; with ``body.SAMPLE`` it bounds the sample.
-SAMPLE_BYTES = 60_000
+#: Bytes of a text in the sample, about; of a longer one a stretch chosen by hash is taken. With
+#: ``body.SAMPLE`` it bounds the sample.
+SAMPLE_BYTES = 30_000
+_STAGED = "row bigint, key bigint, site string, title string, whole string, text string, marks binary, place bigint"
+
+
+def stretch(text: str, place: int, most: int = SAMPLE_BYTES) -> str:
+    """The text, or of a longer one a stretch of whole lines of about ``most`` characters that starts
+    at ``place``; of a line longer than that, ``most`` characters."""
+    if len(text) <= most:
+        return text
+    start = place % (len(text) - most + 1)
+    start = text.rfind("\n", max(0, start - most // 4), start) + 1 or start
+    stop = start + most
+    if (end := text.rfind("\n", start + most // 2, stop)) > 0:
+        stop = end
+    return text[start:stop]
 
 
 class Judge:
@@ -30,52 +48,98 @@ class Judge:
     def __init__(self, records: DataFrame, text: str = "text", key: str = "ord", whole: str = "text"):
         self.records, self.text, self.key = records, text, key
         spark = records.sparkSession
-        own = records.where(F.col(whole).isNotNull() & (F.col(whole) != ""))
-        self.pairs = encoding.count_pairs(own, whole)
-        rows = own.count()
-        # Records with the least hashes: the share that gives SAMPLE of them.
-        bound = 2**31 if rows <= body.SAMPLE else int(2**31 * body.SAMPLE / rows)
-        picked = own.where((F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)) < bound) & (F.octet_length(whole) <= SAMPLE_BYTES))
-        sample = picked.select(site_of(F.col("url")).alias("site"), "title", F.col(whole).alias("t")).limit(2 * body.SAMPLE).collect()
-        fixed = encoding.repair_texts([r.t for r in sample], self.pairs)
-        self.sample = [(r.site, r.title, "\n".join(x for x, _, _ in t)) for r, t in zip(sample, fixed)]
-        pages = own.select(F.monotonically_increasing_id().alias("row"), site_of(F.col("url")).alias("site"), "title", F.col(whole).alias("t"))
+        filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+        self.pairs = encoding.count_pairs(records.where(filled(whole)), whole)
         shared = spark.sparkContext.broadcast(self.pairs)
-        self.body = body.fit(self.sample, templates.count(pages, shared, rows, self.sample))
-        self.models = spark.sparkContext.broadcast((self.pairs, self.body))
+        own = records.where(filled(whole) | filled(text)).select(
+            F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), site_of(F.col("url")).alias("site"), "title",
+            F.col(whole).alias("whole"), F.col(text if text != whole else whole).alias("text"), F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)).alias("place"),
+        )
+        self.staged = stage(own.mapInArrow(_restore(shared, text == whole), _STAGED))
+        pages = self.staged.where(filled("whole")).select("row", "site", "title", F.col("whole").alias("t"))
+        rows = pages.count()
+        # Records with the least hashes: the share that gives about twice SAMPLE, and the first of them.
+        bound = 2**31 if rows <= body.SAMPLE else int(2**32 * body.SAMPLE / rows)
+        picked = self.staged.where(filled("whole") & (F.col("place") < bound)).select("place", "row", "site", "title", "whole")
+        sample = picked.mapInArrow(_stretches, picked.schema).orderBy("place", "row").limit(body.SAMPLE).collect()
+        self.sample = [(r.site, r.title, r.whole) for r in sample]
+        corpus, self.repeated = templates.count(pages, rows, self.sample)
+        self.body = body.fit(self.sample, corpus)
+        self.models = spark.sparkContext.broadcast(self.body)
 
     def sample_content(self) -> list[list[str]]:
         """The content lines of the sample's pages."""
-        judged = body.label_texts([t for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body, None)
+        judged = body.label_lines([[(l, False, True) for l in t.split("\n")] for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body)
         return [[x[0] for x in lines if x[0].strip() and not x[3]] for lines in judged]
 
-    def judged(self, emit, schema: str, extra: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
-        """Rows that ``emit(key, lines, *extra)`` yields for each record; key first in ``schema``.
+    def judged(self, emit, schema: str, only: DataFrame | None = None) -> DataFrame:
+        """Rows that ``emit(key, lines)`` yields for each record; key first in ``schema``.
 
         With ``only``, for the records whose key it holds.
 
         lines: (text, damaged, whole, furniture) of each line. Null keys, null and empty texts are
         not judged.
         """
-        models, key, text = self.models, self.key, self.text
+        models = self.models
         names = [c.strip().split()[0] for c in schema.split(",")]
 
         def run(batches):
-            pairs, model = models.value
+            model = models.value
             for b in batches:
-                for start, stop in encoding.portions(b.column(2)):
-                    part = b.slice(start, stop - start)
-                    cols = [c.to_pylist() for c in part.columns]
+                for start, stop in encoding.portions(b.column(3)):
+                    keys, sites, titles, texts, marks, known = (c.to_pylist() for c in b.slice(start, stop - start).columns)
+                    docs = [[(l, m & 1 == 1, m & 2 == 2) for l, m in zip(t.split("\n"), k)] for t, k in zip(texts, marks)]
                     rows = []
-                    for k, lines, more in zip(cols[0], body.label_texts(cols[2], cols[1], model, pairs), zip(*cols[3:]) if extra else [()] * len(cols[0])):
-                        rows.extend(emit(k, lines, *more))
+                    for k, lines in zip(keys, body.label_lines(docs, titles, model, [(s, set(x or ())) for s, x in zip(sites, known)])):
+                        rows.extend(emit(k, lines))
                     yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows))} if rows else {n: [] for n in names}, schema=kinds)
 
         kinds = arrow_schema(schema)
-        own = self.records.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+        own = self.staged.where(F.col("key").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
         if only is not None:
-            own = own.join(only, key, "left_semi")
-        return own.select(key, F.col("title"), F.col(text).alias("_text"), *extra).mapInArrow(run, schema)
+            own = own.join(only.withColumnRenamed(self.key, "key"), "key", "left_semi")
+        own = own.join(self.repeated.where(F.size("keys") > 0), "row", "left")
+        return own.select("key", "site", "title", "text", "marks", "keys").mapInArrow(run, schema)
+
+
+def _restore(pairs, same: bool):
+    """Restores whole and text of each record at once; their equal lines are restored once."""
+
+    def run(batches):
+        for b in batches:
+            for start, stop in encoding.portions(b.column(4)):
+                part = b.slice(start, stop - start)
+                whole, text = part.column(4).to_pylist(), part.column(5).to_pylist()
+                if same:
+                    joined = [w or "" for w in whole]
+                else:
+                    joined = []
+                    for w, t in zip(whole, text):
+                        seen = set(w.split("\n")) if w else set()
+                        more = [l for l in dict.fromkeys((t or "").split("\n")) if l not in seen]
+                        joined.append("\n".join([w or "", *more]))
+                fixed = encoding.repair_texts(joined, pairs.value)
+                wholes, texts, marks = [], [], []
+                for w, t, j, lines in zip(whole, text, joined, fixed):
+                    n = w.count("\n") + 1 if w else 0
+                    wholes.append("\n".join(x[0] for x in lines[:n]) if w else w)
+                    if not same:
+                        by = dict(zip(j.split("\n"), lines))
+                        lines = [by[l] for l in t.split("\n")] if t else []
+                    texts.append("\n".join(x[0] for x in lines) if t else t)
+                    marks.append(bytes([d + 2 * k for _, d, k in lines]) if t else None)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:4], pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.binary()), part.column(6)],
+                    names=["row", "key", "site", "title", "whole", "text", "marks", "place"],
+                )
+
+    return run
+
+
+def _stretches(batches):
+    for b in batches:
+        texts = [stretch(t, p * 2654435761) for t, p in zip(b.column(4).to_pylist(), b.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.string())], names=b.schema.names)
 
 
 def arrow_schema(schema: str) -> pa.Schema:

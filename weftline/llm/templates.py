@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +28,23 @@ _LINE = pa.struct([("c", pa.int64()), ("f", pa.int64()), ("ok", pa.bool_()), ("o
 _PAGE = pa.schema([("row", pa.int64()), ("site", pa.string()), ("longest", pa.int64()), ("hosted", pa.int32()), ("after", pa.int32()), ("start", pa.int64()), ("lines", pa.list_(_LINE))])
 
 
-def _pages(batches, pairs):
-    """(columns, restored texts) of portions of batches of (row, site, title, text)."""
+def _portions(batches):
+    """The columns of portions of batches of (row, site, title, text)."""
     for b in batches:
         for start, stop in encoding.portions(b.column(3)):
-            part = [c.to_pylist() for c in b.slice(start, stop - start).columns]
-            yield part, ["\n".join(x for x, _, _ in t) for t in encoding.repair_texts(part[3], pairs)]
+            yield [c.to_pylist() for c in b.slice(start, stop - start).columns]
 
 
-def known_words(pages: DataFrame, pairs, rows: int) -> dict[str, int]:
-    """The words that templates keep, numbered from 2. pages: (row, site, title, text)."""
+def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
+    """The words that templates keep, numbered from 2. pages: (row, site, title, text), restored."""
 
     def run(batches):
-        for (_, sites, _, _), texts in _pages(batches, pairs.value):
+        for _, sites, _, texts in _portions(batches):
             n, plain = Counter(), Counter()
             for site, text in zip(sites, texts):
                 once, lower = body.words_of(text)
-                n.update((t, site) for t in once)
-                plain.update((t, site) for t in lower)
+                n.update(zip(once, [site] * len(once)))
+                plain.update(zip(lower, [site] * len(lower)))
             keys = list(n)
             yield pa.RecordBatch.from_pydict({
                 "token": pa.array([t for t, _ in keys], pa.string()), "site": pa.array([s for _, s in keys], pa.string()),
@@ -61,13 +61,22 @@ def known_words(pages: DataFrame, pairs, rows: int) -> dict[str, int]:
     return {t: i + 2 for i, t in enumerate(sorted(r.token for r in kept.select("token").collect()))}
 
 
-def page_lines(pages: DataFrame, pairs, words) -> DataFrame:
+def page_lines(pages: DataFrame, words) -> DataFrame:
     """One row per record: keys and form of its non-blank lines."""
 
     def run(batches):
-        for (rows, sites, titles, _), texts in _pages(batches, pairs.value):
+        for rows, sites, titles, texts in _portions(batches):
             out = [body.keyed(site, title, text, words.value) for site, title, text in zip(sites, titles, texts)]
-            yield pa.RecordBatch.from_pylist([{"row": r, "site": s} | k.row() for r, s, k in zip(rows, sites, out)], schema=_PAGE)
+            flat = lambda f, kind: pa.array([v for k in out for v in f(k)], kind)  # noqa: B023, E731
+            ends = np.cumsum([0, *(len(k.toks) for k in out)], dtype="i4")
+            line = pa.StructArray.from_arrays([
+                flat(lambda k: k.cross, pa.int64()), flat(lambda k: k.within, pa.int64()), flat(lambda k: k.counts, pa.bool_()),
+                flat(lambda k: k.own, pa.bool_()), flat(lambda k: map(len, k.toks), pa.int32()), flat(lambda k: k.long, pa.bool_()),
+            ], fields=list(_LINE))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rows, pa.int64()), pa.array(sites, pa.string()), pa.array([k.longest for k in out], pa.int64()), pa.array([k.hosted for k in out], pa.int32()),
+                pa.array([k.after for k in out], pa.int32()), pa.array([k.start for k in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), line),
+            ], schema=_PAGE)
 
     return pages.mapInArrow(run, _LINES)
 
@@ -113,24 +122,27 @@ def _runs(batches):
         })
 
 
-def count(pages: DataFrame, pairs, rows: int, sample: list[tuple]) -> body.Corpus:
-    """The statistics of all ``pages`` (row, site, title, text), as far as the sample's lines need them."""
+def count(pages: DataFrame, rows: int, sample: list[tuple]) -> tuple[body.Corpus, DataFrame]:
+    """The statistics of all ``pages`` (row, site, title, text), texts restored, as far as the
+    sample's lines need them; and (row, keys): for each page the keys of those of its lines that
+    are its site's own furniture by count."""
     spark = pages.sparkSession
-    words = known_words(pages, pairs, rows)
+    words = known_words(pages, rows)
     shared = spark.sparkContext.broadcast(words)
-    lines = cut(page_lines(pages, pairs, shared))
+    lines = cut(page_lines(pages, shared))
     cross, within = (cut(x) for x in _states(lines, rows))
     each = lines.select("row", "after", "start", F.posexplode("lines").alias("i", "l")).select("row", "after", "start", "i", "l.c", "l.f", "l.n", "l.long")
     each = each.join(small(cross.withColumnRenamed("s", "sc")), "c", "left").join(small(within.withColumnRenamed("s", "sf")), "f", "left")
     line = F.struct("i", F.when(F.col("sc").isNotNull(), F.col("c")).otherwise(F.col("f")).alias("key"), "n", "long", F.coalesce("sc", "sf", F.lit(0)).alias("s"))
-    whole = each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines")).select("after", "start", "lines")
-    found = cut(whole.mapInArrow(_runs, "kind int, key bigint, below bigint, follows bigint").groupBy("kind", "key").agg(F.sum("below").alias("below"), F.sum("follows").alias("follows")))
+    own = F.collect_set(F.when(F.col("sf") == 1, F.col("f"))).alias("keys")
+    whole = cut(each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines"), own))
+    found = cut(whole.select("after", "start", "lines").mapInArrow(_runs, "kind int, key bigint, below bigint, follows bigint").groupBy("kind", "key").agg(F.sum("below").alias("below"), F.sum("follows").alias("follows")))
     keyed = [body.keyed(*x, words) for x in sample]
-    own = sorted({v for k in keyed for v in (*k.cross, *k.within, k.start) if v is not None})
-    asked = spark.createDataFrame([(v,) for v in own], "key bigint")
+    mine_ = sorted({v for k in keyed for v in (*k.cross, *k.within, k.start) if v is not None})
+    asked = spark.createDataFrame(pa.table({"key": pa.array(mine_, pa.int64())}))
     mine = lambda df, key: df.join(F.broadcast(asked.withColumnRenamed("key", key)), key, "left_semi").collect()
     state = {r.c: r.s for r in mine(cross, "c")}
     site_state = {r.f: r.s for r in mine(within, "f")}
     heads = {r.key for r in mine(found.where("kind = 0 and follows > 0 and follows >= 0.5 * below"), "key")}
     starts = {r.key for r in mine(found.where((F.col("kind") == 1) & (F.col("below") >= 2 * max(body.MANY, body.MANY_SHARE * rows))), "key")}
-    return body.Corpus(words, state, site_state, heads, starts)
+    return body.Corpus(words, state, site_state, heads, starts), whole.select("row", "keys")
