@@ -385,7 +385,8 @@ def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, s
                     break
         if support is not None and support[d][1]:
             site, known = support[d]
-            for i, key in enumerate(site_keys(site, lines[k:e])):
+            open_ = [i for i in range(len(own)) if cost[i] <= SURE]
+            for i, key in zip(open_, site_keys(site, [lines[k + i] for i in open_])):
                 if key in known:
                     cost[i] += SITE
         if top >= 0:

@@ -344,41 +344,46 @@ def mappings(run: str, model: PairModel, single: bool = True, only: str | None =
     """
     clean = run.replace("\ufffd", "")
     lossy = len(clean) < len(run)
-    q = model.of(pair_codes(clean)[1])
-    if not len(q):
+    (q,), (n,), _ = _bits([clean], model)
+    if not n:
         return None
-    best, gain = None, LEAST_UTF8
-    raws = {}
+    raws = {w: raw for w in TESTS if (raw := _encode(clean, w)) is not None and not raw.isascii()}
     lines = clean.count("\n")
-    for wrong in TESTS:
-        raw = _encode(clean, wrong)
-        if raw is None or raw.isascii():
-            continue
-        raws[wrong] = raw
-        out = _decode(raw, "utf-8", lossy)
-        if out is None or out == clean or out.count("\n") != lines or _PRIVATE.search(out):
-            continue
+
+    def tried(ways):
+        got = [(_decode(raws[w], r, lossy), w, r) for w, r in ways]
+        return [x for x in got if x[0] is not None and x[0] != clean and x[0].count("\n") == lines and not _PRIVATE.search(x[0])]
+
+    found = tried((w, "utf-8") for w in raws)
+    if found:
         # Valid sequences of bytes hardly come by chance: a bit for each byte that proves itself.
-        g = float(model.of(pair_codes(out)[1]).sum() - q.sum()) + len(clean) - len(out)
-        if g > gain:
-            best, gain = (out, wrong, "utf-8"), g
-    if best is not None or only == "utf-8":
-        return best
-    gain, bad = LEAST_TOTAL, bool(_BAD.search(run))
-    for wrong, raw in raws.items():
-        for right in TESTS[wrong]:
-            if right == "utf-8" or not (single or bad or right in _MULTI):
-                continue
-            out = _decode(raw, right, lossy)
-            if out is None or out == clean or out.count("\n") != lines or _PRIVATE.search(out) or (_BAD.search(out) and not bad):
-                continue
-            r = model.of(pair_codes(out)[1])
-            g = float(r.sum() - q.sum())
-            if bad and wrong == "latin-1" and right == "cp1252" and not _BAD.search(out):
-                g, r = max(g, gain) + 1, q + 9  # what it does is turn controls into signs
-            if g > gain and r.mean() >= q.mean() + LEAST_GAIN and (r < model.level - RARE).mean() <= 0.15:
-                best, gain = (out, wrong, right), g
-    return best
+        gain = _bits([x[0] for x in found], model)[0] - q + [len(clean) - len(x[0]) for x in found]
+        if gain.max() > LEAST_UTF8:
+            return found[int(gain.argmax())]
+    if only == "utf-8":
+        return None
+    bad = bool(_BAD.search(run))
+    found = tried((w, r) for w in raws for r in TESTS[w] if r != "utf-8" and (single or bad or r in _MULTI))
+    found = [x for x in found if bad or not _BAD.search(x[0])]
+    if not found:
+        return None
+    bits, size, rare = _bits([x[0] for x in found], model)
+    size = np.maximum(size, 1)
+    gain = bits - q
+    fits = (bits / size >= q / n + LEAST_GAIN) & (rare <= 0.15 * size)
+    for i, (out, wrong, right) in enumerate(found):
+        if bad and wrong == "latin-1" and right == "cp1252" and not _BAD.search(out):
+            gain[i], fits[i] = max(gain[i], LEAST_TOTAL) + 1, True  # what it does is turn controls into signs
+    gain = np.where(fits, gain, -np.inf)
+    return found[int(gain.argmax())] if gain.max() > LEAST_TOTAL else None
+
+
+def _bits(texts: list[str], model: PairModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the scores, number, number of rare ones) of each text's pairs, all texts at once."""
+    at, codes = pair_codes("\n".join(texts))
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, "right")
+    score = model.of(codes)
+    return np.bincount(of, score, len(texts)), np.bincount(of, minlength=len(texts)), np.bincount(of, score < model.level - RARE, len(texts))
 
 
 def _restore(run: str, model: PairModel, single: bool, only: str | None) -> tuple[str, list[tuple[str, str]]]:
@@ -387,6 +392,9 @@ def _restore(run: str, model: PairModel, single: bool, only: str | None) -> tupl
     while (hit := mappings(run, model, single, only)) is not None:
         run = hit[0]
         used.append(hit[1:])
+        at, codes = pair_codes(run)
+        if not _BAD.search(run) and not segments(np.clip(model.wide - model.of(codes), -4, 4), at, LEAST_RUN):
+            break
     return run, used
 
 
@@ -398,7 +406,7 @@ def _again(text: str, ways: list[list[tuple[str, str]]], model: PairModel, least
     """
     spans = whole_words(text, [m.span() for m in _BEYOND.finditer(text)])
     words = [_joined(text, [x]) for x in spans]
-    before = _word_bits(words, model)
+    before = _bits(words, model)[0]
     best, gain = None, least
     for way in ways:
         got = list(words)
@@ -407,7 +415,7 @@ def _again(text: str, ways: list[list[tuple[str, str]]], model: PairModel, least
                 raw = _encode(w, wrong) if w is not None else None
                 got[i] = _decode(raw, right, False) if raw is not None else None
         fits = [g if g is not None and "\n" not in g and not _PRIVATE.search(g) else w for g, w in zip(got, words)]
-        saved = _word_bits(fits, model) - before
+        saved = _bits(fits, model)[0] - before
         # In another line than the damaged one, words that are made worse speak against the way.
         total = float(saved.sum() if least > 0 else saved[saved > 0].sum())
         if total > gain:
@@ -417,13 +425,6 @@ def _again(text: str, ways: list[list[tuple[str, str]]], model: PairModel, least
     return None if best is None else _put_back(text, spans, best)
 
 
-def _word_bits(words: list[str], model: PairModel) -> np.ndarray:
-    """The sum of the scores of each word's pairs."""
-    at, codes = pair_codes("\n".join(words))
-    ends = np.cumsum([len(w) + 1 for w in words])
-    return np.bincount(np.searchsorted(ends, at, "right"), model.of(codes), len(words))
-
-
 def repair_line(line: str, model: PairModel, spans: list[tuple[int, int]], single: bool, only: str | None, used: list | None = None) -> tuple[str, bool, bool]:
     """(text, damaged, whole): the line restored as far as it can be; whole if nothing is lost.
 

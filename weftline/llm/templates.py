@@ -11,6 +11,7 @@ lines of the bounded sample.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ..plans.shared import cut, small
 from . import body, encoding
 
+#: Counts of words a task holds before it sends them on.
+HELD = 200_000
 #: Share of a site's records that must hold a template counted within the site.
 SITE_SHARE = 0.1
 _WORDS = "token string, site string, n bigint, plain bigint"
@@ -39,17 +42,25 @@ def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
     """The words that templates keep, numbered from 2. pages: (row, site, title, text), restored."""
 
     def run(batches):
-        for _, sites, _, texts in _portions(batches):
-            n, plain = Counter(), Counter()
-            for site, text in zip(sites, texts):
-                once, lower = body.words_of(text)
-                n.update(zip(once, [site] * len(once)))
-                plain.update(zip(lower, [site] * len(lower)))
+        n, plain = Counter(), Counter()
+
+        def counted():
             keys = list(n)
-            yield pa.RecordBatch.from_pydict({
+            out = pa.RecordBatch.from_pydict({
                 "token": pa.array([t for t, _ in keys], pa.string()), "site": pa.array([s for _, s in keys], pa.string()),
                 "n": pa.array(list(n.values()), pa.int64()), "plain": pa.array([plain[k] for k in keys], pa.int64()),
             })
+            n.clear(), plain.clear()
+            return out
+
+        for _, sites, _, texts in _portions(batches):
+            for site, text in zip(sites, texts):
+                once, lower = body.words_of(text)
+                n.update(zip(once, repeat(site)))
+                plain.update(zip(lower, repeat(site)))
+            if len(n) > HELD:
+                yield counted()
+        yield counted()
 
     each = pages.mapInArrow(run, _WORDS).groupBy("token", "site").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
     df = each.groupBy("token").agg(F.sum("n").alias("df"), F.sum("plain").alias("plain"), F.max("n").alias("top"))
