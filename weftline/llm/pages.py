@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import stage
+from ..plans.shared import cut, small, stage
 from . import body, encoding, templates
 from .repeats import site_of
 
@@ -22,7 +22,9 @@ from .repeats import site_of
 #: Bytes of a text in the sample, about; of a longer one a stretch chosen by hash is taken. With
 #: ``body.SAMPLE`` it bounds the sample.
 SAMPLE_BYTES = 30_000
-_STAGED = "row bigint, key bigint, site string, title string, whole string, text string, marks binary, place bigint"
+#: Bytes of a short text.
+SHORT_BYTES = 1000
+_STAGED = "row bigint, key bigint, site string, title string, whole string, text string, marks binary, place bigint, hint boolean"
 
 
 def stretch(text: str, place: int, most: int = SAMPLE_BYTES) -> str:
@@ -42,10 +44,11 @@ class Judge:
     """Models for the pages of one table of records (ord, url, title, text column).
 
     ``text`` is the column that is judged, ``whole`` the one with all of a page, from which the
-    models are fitted.
+    models are fitted. ``hint`` tells, unreliably, that a record holds no real content; by default it
+    is what the columns empty_app_root and noscript_hint say, if they are there.
     """
 
-    def __init__(self, records: DataFrame, text: str = "text", key: str = "ord", whole: str = "text"):
+    def __init__(self, records: DataFrame, text: str = "text", key: str = "ord", whole: str = "text", hint: Column | None = None):
         self.records, self.text, self.key = records, text, key
         spark = records.sparkSession
         filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
@@ -54,6 +57,7 @@ class Judge:
         own = records.where(filled(whole) | filled(text)).select(
             F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), site_of(F.col("url")).alias("site"), "title",
             F.col(whole).alias("whole"), F.col(text if text != whole else whole).alias("text"), F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)).alias("place"),
+            F.coalesce(hinted(records) if hint is None else hint, F.lit(False)).alias("hint"),
         )
         self.staged = stage(own.mapInArrow(_restore(shared, text == whole), _STAGED))
         pages = self.staged.where(filled("whole")).select("row", "site", "title", F.col("whole").alias("t"))
@@ -72,6 +76,16 @@ class Judge:
         judged = body.label_lines([[(l, False, True) for l in t.split("\n")] for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body)
         return [[x[0] for x in lines if x[0].strip() and not x[3]] for lines in judged]
 
+    def short_sample(self) -> list[tuple[bool, list[str]]]:
+        """(hint, content lines) of the short judged texts with the least hashes, ``body.SAMPLE`` of
+        them at most; short is what has at most ``SHORT_BYTES``."""
+        short = self.staged.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SHORT_BYTES))
+        n = short.count()
+        bound = 2**31 if n <= body.SAMPLE else int(2**32 * body.SAMPLE / n)
+        rows = short.where(F.col("place") < bound).select("place", "row", "title", "text", "hint").orderBy("place", "row").limit(body.SAMPLE).collect()
+        judged = body.label_lines([[(l, False, True) for l in r.text.split("\n")] for r in rows], [r.title for r in rows], self.body)
+        return [(r.hint, own) for r, lines in zip(rows, judged) if (own := [x[0] for x in lines if x[0].strip() and not x[3]])]
+
     def judged(self, emit, schema: str, only: DataFrame | None = None) -> DataFrame:
         """Rows that ``emit(key, lines)`` yields for each record; key first in ``schema``.
 
@@ -102,6 +116,24 @@ class Judge:
         return own.select("key", "site", "title", "text", "marks", "keys").mapInArrow(run, schema)
 
 
+def hinted(records: DataFrame) -> Column:
+    out = F.lit(False)
+    for c in ("empty_app_root", "noscript_hint"):
+        if c in records.columns:
+            out = out | F.coalesce(F.col(c), F.lit(False))
+    return out
+
+
+def with_status(records: DataFrame, page: DataFrame, key: str = "ord") -> tuple[DataFrame, Column]:
+    """(records, hint): hints by the records' own flags and by a status of 400 or more in ``page``.
+
+    Only the keys of such pages are joined, broadcast if they have been counted as few.
+    """
+    bad = cut(page.where(F.col("status") >= 400).select(F.col(key).alias("_bad")).where("_bad is not null").distinct())
+    both = records.join(small(bad), F.col(key) == F.col("_bad"), "left")
+    return both, hinted(records) | F.col("_bad").isNotNull()
+
+
 def _restore(pairs, same: bool):
     """Restores whole and text of each record at once; their equal lines are restored once."""
 
@@ -129,8 +161,8 @@ def _restore(pairs, same: bool):
                     texts.append("\n".join(x[0] for x in lines) if t else t)
                     marks.append(bytes([d + 2 * k for _, d, k in lines]) if t else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.binary()), part.column(6)],
-                    names=["row", "key", "site", "title", "whole", "text", "marks", "place"],
+                    [*part.columns[:4], pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
+                    names=["row", "key", "site", "title", "whole", "text", "marks", "place", "hint"],
                 )
 
     return run

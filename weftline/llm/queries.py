@@ -116,9 +116,11 @@ def p6_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.found(pages.Judge(table(spark, sf_dir, "extracted"), "main_text"))
+    records, hint = pages.with_status(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
+    return spam.found(pages.Judge(records, "main_text", hint=hint))
 
 
 @query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.found(pages.Judge(table(spark, sf_dir, "extracted"), "main_text"))
+    records, hint = pages.with_status(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
+    return residue.found(pages.Judge(records, "main_text", hint=hint))

@@ -1,11 +1,13 @@
 """Template residue, filler, error pages and demands for scripts, by character n-gram models.
 
 Three models are fitted at run time: filler, notices (errors, blocks, loading and script demands,
-instructions, unfilled templates, traces), and natural prose. Filler and notices are learned from
-the short seed texts below, with slots filled from the corpus's own words, and prose from the
-content of the bounded sample that the line classifiers use. Each character's log-likelihood ratio
-is averaged in a window of words; windows above the threshold localise residue, and a record is
-excluded if they cover at least half of its content's words.
+instructions, unfilled templates, traces), and natural prose. Filler and the forms of placeholders
+begin with the seeds below, notices with a handful of them and with the corpus itself: short pages
+are parted into notices and others by their words, with a hint of each (an error status, an empty
+root, a demand for scripts) that is wrong as often as not, by expectation and maximisation
+(``notices_of``). Prose comes from the other pages of the bounded sample. Each character's log-likelihood ratio is averaged in a window of
+words; windows above the threshold localise residue, and a record is excluded if they cover at least
+half of its content's words.
 """
 
 from __future__ import annotations
@@ -60,107 +62,24 @@ LATIN = (
     "cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 DUMMY = (
-    "asdf qwerty foo bar baz foobar blah blabla bla xxx aaa bbb ccc test dummy sample placeholder text copy words "
-    "headline insert here goes bacon brisket ribeye shank tofu quinoa pudding gravlax pork loin ham hock"
+    "asdf qwerty foo bar baz qux foobar blah blabla xxx aaa bbb test dummy sample placeholder copy text words headline insert here "
+    "bacon brisket ribeye shank pork loin ham hock jowl sirloin pastrami kielbasa"
 ).split()
 
-#: Notices as sites show them in place of content. W stands for a word, N for a name,
-#: P for a path, 0 for a number.
-NOTICES = """Please enable JavaScript to view this site.
-You need to enable JavaScript to run this app.
-JavaScript is disabled in your browser. N does not work without it.
-This page requires scripts. Turn them on and reload.
-This site needs JavaScript. Please turn on scripts and reload the page.
-Loading N | noscript: scripts must be allowed
-Loading...
+#: Seeds of notices, one for each kind. W stands for a word, N for a name, P for a path, 0 for a number.
+NOTICES = """Error 404: page not found
+Access forbidden
+Internal server error
+Service unavailable, try again later
+JavaScript must be turned on
 Loading, please wait
-Please wait while the page is loading
-Your browser is not supported. Switch to a newer one to use N.
-Cookies must be enabled to continue.
-404 Not Found
-Page not found. The address P does not exist.
-Sorry, we could not find P on N.
-The page you requested could not be found.
-This item is no longer available.
-Oops! Nothing here.
-Oops! Something went wrong.
-No results. 0 items match your request.
-Nothing found. Try another search.
-Go back
-Try again
-Retry later
-Code 0
-HTTP Error 403 - Forbidden: access to P is denied.
-403 Forbidden. You do not have permission to access P on this server.
-Access denied. Reference 0
-The requested URL was rejected. Your support id is 0
-Too many requests from your network. Request id 0
-Are you a robot? Tick the box to go on.
-Checking your browser before you enter N. Ray 0
-Verify that you are human to continue
-500 Internal Server Error. Reference 0
-502 Bad Gateway
-503 Service Temporarily Unavailable. Please try again in 0 minutes.
-504 gateway time-out while waiting for N
-Error establishing a database connection
-An error occurred while processing your request.
-We are down for maintenance and will be back in 0 minutes.
-Website coming soon. This domain is parked.
-This site is under construction.
-Unknown host N. Contact the owner of this domain.
-Account suspended. Contact your hosting provider.
-Session expired. Please log in again.
-undefined undefined NaN
-null
-Object object
-[object Object]
-undefined
-NaN
-Bitte aktivieren Sie JavaScript, um N zu nutzen.
-Diese Seite benötigt JavaScript.
-Seite nicht gefunden. Die Adresse P gibt es nicht mehr.
-Ein Fehler ist aufgetreten. Bitte versuchen Sie es später erneut.
-Wird geladen
-Veuillez activer JavaScript pour continuer.
-Page introuvable. Retour à l’accueil de N.
-Une erreur est survenue. Veuillez réessayer plus tard.
-Active JavaScript en su navegador para ver N.
-No se encontró la página solicitada.
-Se ha producido un error. Inténtelo de nuevo más tarde.
-Włącz obsługę JavaScript, aby zobaczyć stronę.
-Nie znaleziono strony P.
-Wystąpił błąd. Spróbuj ponownie później.
-Для работы сайта включите JavaScript.
-Страница не найдена или была удалена.
-Произошла ошибка. Повторите попытку позже.
-JavaScriptを有効にしてください。
-お探しのページは見つかりませんでした。
-エラーが発生しました。もう一度お試しください。
-ただいまメンテナンス中です。
-Your W headline goes here
-Your W text goes here
-Add your W text here
-Insert W here (max. 0 characters)
-Insert your W here
-Enter W title
-Write a short W description here
-Describe W here in 0 words
-TODO: describe N
-TODO: write W
-Untitled W 0
-Replace this text with your own W.
-Click here to edit W
-NException: W W was null
-    at W.W.N.W(N.java:0)
-    at W.W.N.W(N.java:0)
-    at W.W (/srv/W/W.js:0:0)
-Traceback (most recent call last):
-  File "/srv/W/W.py", line 0, in W
-NError: W is not defined
-Fatal error: call to undefined function W_W() in /srv/W/W.php on line 0
-Warning: W_connect(): access denied for user 'W'@'localhost' in /srv/N/W.inc on line 0
-Notice: undefined index W in /srv/W/W.php on line 0
-Segmentation fault (core dumped)""".split("\n")
+Under maintenance
+Put your text here
+TODO W
+Unhandled NError: W in W.js
+  File "P/W.py", line 0, in W
+    at W.W(N.java:0)
+Warning: W in P/W.php on line 0""".split("\n")
 
 #: Forms of unfilled placeholders; V is the word in capitals.
 HOLES = ("{{ W.W }}", "{{W}}", "{{ W }}", "${W}", "[[W]]", "[W here]", "[insert W]", "%V%", "__V__", "<V>", "{0}", "{W}", "<%= W.W %>", "#{W}")
@@ -219,7 +138,7 @@ def seeds(words: list[str], prose: list[str], rng: random.Random) -> tuple[list[
             notices.append(fill(hole))
             notices.append(f"{rng.choice(words)}: {fill(hole)}")
         for _ in range(6 if prose else 0):
-            notices.append(" ".join(fill(hole) if rng.random() < 0.4 else w for w in rng.choice(prose).split()[:25]))
+            notices.append(" ".join(fill(hole) if rng.random() < 0.4 else w for w in rng.choice(prose).split()))
     return filler, notices
 
 
@@ -228,6 +147,36 @@ def is_sentence(toks: list[str]) -> bool:
     return len(toks) >= 14 and sum(t.isalpha() for t in toks) >= 0.75 * len(toks)
 
 
+#: Rounds of the parting; prior share of notices among short pages with and without a hint; and the
+#: probability from which on a page's lines are learned.
+ROUNDS, PRIOR, LEARNED = 12, (0.9, 0.15), 0.9
+
+
+def notices_of(pages: list[tuple[bool, list[str]]]) -> list[str]:
+    """The lines of those short pages (hint, lines) that are notices by their words and the hint.
+
+    Both classes have a probability for each word to stand on a page and for the hint to be given;
+    pages and probabilities are estimated in turn. Without any hint nothing is learned.
+    """
+    docs = [{"0" if t[0].isdigit() else t for x in lines for t in tokens(plain(x))} for _, lines in pages]
+    hint = np.array([bool(h) for h, _ in pages])
+    if not hint.any() or hint.all():
+        return []
+    words = {w: i for i, w in enumerate(sorted({w for d in docs for w in d}))}
+    holds = np.zeros((len(docs), len(words)), "f4")
+    for i, d in enumerate(docs):
+        holds[i, [words[w] for w in d]] = 1
+    root = np.sqrt(np.maximum(holds.sum(1), 1))  # words of a page are not independent
+    p = np.where(hint, *PRIOR)
+    for _ in range(ROUNDS):
+        a, b = ((w @ holds + 0.3) / (w.sum() + 0.6) for w in (p, 1 - p))
+        ha, hb = ((w @ hint + 1) / (w.sum() + 2) for w in (p, 1 - p))
+        share = np.clip(p.mean(), 1e-3, 1 - 1e-3)
+        told = np.where(hint, np.log(ha / hb), np.log((1 - ha) / (1 - hb))) + np.log(share / (1 - share))
+        p = 1 / (1 + np.exp(-np.clip(holds @ np.log(a / b) / root + told, -30, 30)))
+    return [x for (_, lines), v in zip(pages, p) if v > LEARNED for x in lines]
+
+
 class ResidueModel:
     """Log-likelihood ratios of n-grams against prose, one table per order and kind of residue."""
 
@@ -237,15 +186,17 @@ class ResidueModel:
         self.both = [np.stack(kinds, axis=1) for kinds in zip(*tables)]
 
     @staticmethod
-    def fit(prose: list[str], seed: int = 5) -> "ResidueModel":
+    def fit(prose: list[str], learned: list[str] = (), seed: int = 5) -> "ResidueModel":
+        """From prose and the lines of residue that the corpus showed, beside the seeds."""
         rng = random.Random(seed)
         seen: dict[str, int] = {}
         for line in prose:
             for w in re.findall(r"[a-z]{3,}", line):
                 seen[w] = seen.get(w, 0) + 1
-        words = sorted(w for w, n in seen.items() if n >= 3)[:20000]
+        words = sorted(w for w, n in seen.items() if n >= 3)
         ascii_prose = [p for p in prose if p.isascii()]
         filler, notices = seeds(words, ascii_prose, rng)
+        notices = notices + list(learned) * max(1, len(notices) // max(len(learned), 1))
         # Prose by alphabet: a gram is as natural as in the text of the kind where it is most at home.
         natural = [_counts(part) for part in (ascii_prose, [p for p in prose if not p.isascii()]) if part] or [_counts(["."])]
         tables = []
@@ -264,14 +215,15 @@ class ResidueModel:
         return ResidueModel(tables)
 
     @staticmethod
-    def fit_twice(pages: list[list[str]]) -> "ResidueModel":
+    def fit_twice(pages: list[list[str]], learned: list[str] = ()) -> "ResidueModel":
         """A first model takes long lines for prose; the second all pages without signs of residue.
 
         Longer pages may be unlike prose (lists, keywords) if they are far from the seeds and hold
         few placeholders; short ones must be prose.
         """
-        long = [x for page in pages for x in page if len(x) >= 36 and is_sentence(tokens(x))]
-        first = ResidueModel.fit(long)
+        told = set(learned)
+        long = [x for page in pages for x in page if len(x) >= 36 and x not in told and is_sentence(tokens(x))]
+        first = ResidueModel.fit(long, learned)
         clean = []
         for page in pages:
             s = [v for v in first.word_scores(page) if len(v)]
@@ -281,7 +233,7 @@ class ResidueModel:
             holes = sum(len(_HOLE.findall(x)) for x in page)
             if (s.mean() < UNLIKE and 12 * holes < len(s)) if len(s) >= 40 else (s.mean() < PROSE and not holes):
                 clean += page
-        return ResidueModel.fit(clean or long)
+        return ResidueModel.fit(clean or long, learned)
 
     def word_scores(self, lines: list[str]) -> list[np.ndarray]:
         """For each line, each word's ratio in its window: the larger of filler and notices."""
@@ -337,7 +289,7 @@ def found(judge, empty_root: str = "empty_app_root") -> DataFrame:
     true; repeated rows are found once.
     """
     records, key, text = judge.records, judge.key, judge.text
-    model = records.sparkSession.sparkContext.broadcast(ResidueModel.fit_twice(judge.sample_content()))
+    model = records.sparkSession.sparkContext.broadcast(ResidueModel.fit_twice(judge.sample_content(), notices_of(judge.short_sample())))
 
     def emit(k, lines):
         hit, n = coverage([x[0] for x in lines if not x[3] and x[0]], model.value)
