@@ -47,6 +47,30 @@ def test_near_duplicates_equal_brute_force(spark, t):
     assert len({groups[500 + i].rep for i in range(12)}) == 1
 
 
+def test_groups_need_no_pairs_of_a_group(spark, monkeypatch):
+    """Variants of one page in a ring of edits: the comparisons grow with their number alone."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    compared = {}
+    plain_verify = neardup.verify
+
+    def counted(pairs, signed, t):
+        compared[n] = compared.get(n, 0) + pairs.count()
+        return plain_verify(pairs, signed, t)
+
+    monkeypatch.setattr(neardup, "verify", counted)
+    for n in (60, 240):
+        rows = []
+        for i in range(n):
+            x = list(base)
+            x[rng.randrange(120)], x[rng.randrange(120)] = f"a{i}", f"b{i}"
+            rows.append((i, " ".join(x), "u", "c", 1))
+        rows += [(10_000 + i, " ".join(rng.choices([f"v{k}" for k in range(900)], k=60)), "u", "c", 1) for i in range(20)]
+        got = neardup.NearDuplicates(spark.createDataFrame(rows, ROW)).groups().collect()
+        assert sorted(r.id for r in got) == list(range(n)) and {r.grp for r in got} == {0}
+    assert compared[240] < 6 * compared[60], compared
+
+
 def test_near_duplicates_of_nothing(spark):
     near = neardup.NearDuplicates(spark.createDataFrame([], ROW))
     assert near.pairs().count() == 0 and near.groups().count() == 0
@@ -84,6 +108,9 @@ def test_repeated_lines(spark):
     clean = {r.ord: r.clean for r in repeats.remove_lines(df, pg).collect()}
     assert clean[0] == "\nOwn text a\n" and clean[9] is None and clean[99] == "Legal notice 1\nShare me" and clean[50] == ""
     assert repeats.found_lines(df.limit(0), pg).count() == 0
+    hot = {(r.ord, r.line_no, r.block) for r in repeats.found_lines(df, pg, hot=3).collect()}
+    assert hot == {(r.ord, r.line_no, r.block) for r in repeats.found_lines(df, pg).collect()}, "hot lines are dealt, not dropped"
+    assert {(r.site, r.line, r.support, r.block) for r in repeats.site_blocks(df, pg).collect()} == {("site.example", "legal notice 0", 9, "legal notice 0"), ("site.example", "share me", 10, "legal notice 0")}
     # Without page rows each record counts for the host of its own address.
     assert {r.ord for r in repeats.found_lines(df, pg.limit(0)).collect()} == set(range(9))
 

@@ -37,12 +37,14 @@ KNOWN_SHARE = 0.002
 HOSTED = 0.72
 _SLOTS = 1 << 18
 _CJK = "぀-ヿ㐀-鿿ｦ-ﾝ"
-_tokens = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+|\d+|[^\w\s]|_").findall
+_any_tokens = re.compile(rf"[^\W\d_{_CJK}]+|\d+|[^\w\s]|_|[{_CJK}]").findall
+_ascii_tokens = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]").findall
 _END = re.compile(r"[.!?。！？…:;][\"'”’»)\]]*\s*$")
 
 
 def tokens(line: str) -> list[str]:
-    return _tokens(line.lower())
+    line = line.lower()
+    return _ascii_tokens(line) if line.isascii() else _any_tokens(line)
 
 
 @dataclass
@@ -105,7 +107,10 @@ def is_long(toks: list[str], line: str) -> bool:
 
 def words_of(text: str) -> tuple[set[str], set[str]]:
     """(words, words that stand in lower case) of a text; digits do not count."""
-    seen = {t for t in set(_tokens(text)) if not t[0].isdigit()}
+    every: set[str] = set()
+    for l in text.split("\n"):
+        every.update(_ascii_tokens(l) if l.isascii() else _any_tokens(l))
+    seen = {t for t in every if not t[0].isdigit()}
     once = {t.lower() for t in seen}
     return once, once & seen
 

@@ -17,7 +17,8 @@ similarity of at least ``t`` are found, exactly up to 58-bit hashes of the seque
    sets of one leader is derived from their differences alone. Only pairs across leaders compare
    whole sets.
 
-Nothing is capped: every pair that could reach ``t`` is compared.
+Nothing is capped: every pair that could reach ``t`` is compared. Groups need no pairs: sets that are
+linked already are not compared with each other again (``linked``).
 """
 
 from __future__ import annotations
@@ -161,8 +162,12 @@ def _ceil(x: Fraction) -> int:
     return -(-x.numerator // x.denominator)
 
 
-def candidates(signed: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): pairs of sets that share a prefix sequence at positions from which ``t`` is in reach."""
+def buckets(signed: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(probe, index): the entries of the sets' first sequences, by sequence and size block.
+
+    index: (tok, block, b, nb, rb); probe: (tok, block, a, na, ra), one entry for each block that
+    can hold partners from the probe's position on.
+    """
     num, den = t.numerator, t.denominator
     step = float(np.log(BLOCK))
 
@@ -193,13 +198,51 @@ def candidates(signed: DataFrame, t: Fraction) -> DataFrame:
         .where("hi >= lo")
         .select("tok", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))).alias("block"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     )
+    return probe, index
+
+
+def _fits(t: Fraction):
+    """Whether a probe and an index entry of one bucket can reach ``t``; the probe is the larger set."""
+    num, den = t.numerator, t.denominator
     need = (F.col("na") + F.col("nb")) * F.lit(num) <= F.least("ra", "rb") * F.lit(num + den)
     smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
     near = F.col("nb") * F.lit(den) >= F.col("na") * F.lit(num)
-    pairs = probe.join(index, ["tok", "block"]).where(smaller & near & need)
+    return smaller & near & need
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def candidates(signed: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): pairs of sets that share a prefix sequence at positions from which ``t`` is in reach."""
+    probe, index = buckets(signed, t)
+    return _ordered(probe.join(index, ["tok", "block"]).where(_fits(t)))
+
+
+def linked(signed: DataFrame, t: Fraction) -> DataFrame:
+    """(key, block): each set that has a link, with the least set of those it hangs together with.
+
+    Exact, without all pairs of a group: each entry of a bucket is first compared with the bucket's
+    smallest set alone, which joins variants of one page in as many comparisons as they have
+    entries. Pairs of a bucket are then compared only across the parts this leaves.
+    """
+    probe, index = (cut(x) for x in buckets(signed, t))
+    head = index.groupBy("tok", "block").agg(F.min(F.struct("nb", "b", "rb")).alias("h")).select("tok", "block", "h.*")
+    star = verify(_ordered(probe.join(head, ["tok", "block"]).where(_fits(t))), signed, t).select("a", "b")
+    star = cut(star)
+    part = cut(components(star))
+    of = lambda df, id_, name: df.join(small(part.select(F.col("key").alias(id_), F.col("block").alias("_p"))), id_, "left").withColumn(name, F.coalesce("_p", id_)).drop("_p")
+    probe, index = of(probe, "a", "pa"), of(index, "b", "pb")
+    both = probe.select("tok", "block", F.col("pa").alias("p")).unionByName(index.select("tok", "block", F.col("pb").alias("p")))
+    mixed = cut(both.groupBy("tok", "block").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("tok", "block"))
+    probe, index = (cut(x.join(small(mixed), ["tok", "block"], "left_semi")) for x in (probe, index))
+    across = probe.select("tok", "block", "pa").distinct().join(index.select("tok", "block", "pb").distinct(), ["tok", "block"]).where("pa <> pb")
+    rest = probe.join(across, ["tok", "block", "pa"]).join(index, ["tok", "block", "pb"]).where(_fits(t))
+    more = verify(_ordered(rest), signed, t).select("a", "b")
+    return components(star.unionByName(more))
+
+
 def _enough(o, n, m, t: Fraction):
     return o * t.denominator >= t.numerator * (n + m - o)
 
@@ -259,30 +302,37 @@ def verify(pairs: DataFrame, signed: DataFrame, t: Fraction) -> DataFrame:
 class NearDuplicates:
     """All near-duplicates among records.
 
-    ``links``: (a, b, overlap, na, nb) between class representatives; ``members``: (id, rep) of all
-    records in a class of several or with a link. Records with a null key or text, or fewer than
-    ``least_words`` words, take no part; a key that is repeated with different texts is several
-    records of one id, of which pairs with itself are dropped.
+    ``members``: (id, rep) of all records that may have partners, with the first record of their
+    set. Records with a null key or text, or fewer than ``least_words`` words, take no part; a key
+    that is repeated with different texts is several records of one id, of which pairs with itself
+    are dropped. Pairs are only found where they are asked for.
     """
 
     def __init__(self, records: DataFrame, key: str = "ord", text: str = "main_text", k: int = 4, threshold: float = 0.6, least_words: int = 25):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must lie in (0, 1]")
-        t = Fraction(str(threshold))
-        signed = signatures(records, key, text, k, t, least_words)
+        self.threshold = Fraction(str(threshold))
+        signed = signatures(records, key, text, k, self.threshold, least_words)
         self.members = cut(
             signed.select("id", "cls").join(signed.groupBy("cls").agg(F.min("id").alias("rep")), "cls").select("id", "rep").distinct()
         )
         others = small(cut(self.members.where("id <> rep").select("id")))
-        first = signed.join(others, "id", "left_anti")
-        self.links = cut(verify(candidates(first, t), first, t))
+        self.first = signed.join(others, "id", "left_anti")
+        self._links: DataFrame | None = None
+
+    @property
+    def links(self) -> DataFrame:
+        """(a, b, overlap, na, nb): all pairs of class representatives."""
+        if self._links is None:
+            self._links = cut(verify(candidates(self.first, self.threshold), self.first, self.threshold))
+        return self._links
 
     def pairs(self) -> DataFrame:
         """(a, b) with a < b: all pairs of records, those of equal sets too."""
         # Only classes that have a link or several members take part in the joins below.
         many = self.members.where("id <> rep").select("rep").distinct()
-        linked = self.links.select(F.col("a").alias("rep")).unionByName(self.links.select(F.col("b").alias("rep"))).distinct()
-        own = self.members.join(small(cut(many.unionByName(linked).distinct())), "rep", "left_semi")
+        linked_ = self.links.select(F.col("a").alias("rep")).unionByName(self.links.select(F.col("b").alias("rep"))).distinct()
+        own = self.members.join(small(cut(many.unionByName(linked_).distinct())), "rep", "left_semi")
         x, y = own.select(F.col("rep").alias("ra"), F.col("id").alias("x")), own.select(F.col("rep").alias("rb"), F.col("id").alias("y"))
         across = self.links.select(F.col("a").alias("ra"), F.col("b").alias("rb")).join(x, "ra").join(y, "rb")
         within = own.join(cut(many), "rep", "left_semi")
@@ -294,13 +344,9 @@ class NearDuplicates:
         )
 
     def groups(self) -> DataFrame:
-        """(id, rep, grp, n_links): each record's class, group and its class's number of links."""
-        edges = self.links.select("a", "b")
-        comp = components(edges)
-        ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep")))
-        deg = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-        kept = self.members.join(comp.select(F.col("key").alias("rep"), F.col("block").alias("grp")), "rep", "left").join(deg, "rep", "left")
+        """(id, rep, grp): each record with a partner, its class and its group; both are named by the
+        least record among their classes' first ones. One row per record, whatever the groups' size."""
+        comp = linked(self.first, self.threshold)
+        kept = self.members.join(comp.select(F.col("key").alias("rep"), F.col("block").alias("grp")), "rep", "left")
         many = self.members.where("id <> rep").select("rep").distinct().withColumn("_many", F.lit(True))
-        return kept.join(many, "rep", "left").where("grp is not null or _many").select(
-            "id", "rep", F.coalesce("grp", "rep").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-        )
+        return kept.join(many, "rep", "left").where("grp is not null or _many").select("id", "rep", F.coalesce("grp", "rep").alias("grp"))

@@ -86,8 +86,9 @@ class Judge:
         judged = body.label_lines([[(l, False, True) for l in r.text.split("\n")] for r in rows], [r.title for r in rows], self.body)
         return [(r.hint, own) for r, lines in zip(rows, judged) if (own := [x[0] for x in lines if x[0].strip() and not x[3]])]
 
-    def judged(self, emit, schema: str, only: DataFrame | None = None) -> DataFrame:
-        """Rows that ``emit(key, lines)`` yields for each record; key first in ``schema``.
+    def judged(self, emit, schema: str, only: DataFrame | None = None, together: bool = False) -> DataFrame:
+        """Rows that ``emit(key, lines)`` yields for each record; key first in ``schema``. With
+        ``together``, that ``emit(keys, lines of each)`` yields for some records at once.
 
         With ``only``, for the records whose key it holds.
 
@@ -103,9 +104,8 @@ class Judge:
                 for start, stop in encoding.portions(b.column(3)):
                     keys, sites, titles, texts, marks, known = (c.to_pylist() for c in b.slice(start, stop - start).columns)
                     docs = [[(l, m & 1 == 1, m & 2 == 2) for l, m in zip(t.split("\n"), k)] for t, k in zip(texts, marks)]
-                    rows = []
-                    for k, lines in zip(keys, body.label_lines(docs, titles, model, [(s, set(x or ())) for s, x in zip(sites, known)])):
-                        rows.extend(emit(k, lines))
+                    labelled = body.label_lines(docs, titles, model, [(s, set(x or ())) for s, x in zip(sites, known)])
+                    rows = list(emit(keys, labelled)) if together else [r for k, lines in zip(keys, labelled) for r in emit(k, lines)]
                     yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows))} if rows else {n: [] for n in names}, schema=kinds)
 
         kinds = arrow_schema(schema)

@@ -53,6 +53,19 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_lines(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
 
 
+@query(f"""WITH RECURSIVE {_LINES}, n AS (SELECT site, key, count(DISTINCT ord) AS support FROM keyed JOIN kept USING (site, key) GROUP BY site, key),
+    seq AS (SELECT ord, site, key, row_number() OVER (PARTITION BY ord ORDER BY line_no) AS i FROM keyed WHERE key <> ''),
+    pair AS (SELECT DISTINCT a.ord, a.site, a.key AS a, b.key AS b FROM seq a JOIN seq b ON a.ord = b.ord AND b.i = a.i + 1 AND a.key <> b.key),
+    edge AS (SELECT site, a, b FROM pair JOIN kept x ON x.site = pair.site AND x.key = a JOIN kept y ON y.site = pair.site AND y.key = b GROUP BY pair.site, a, b HAVING count(*) >= 8),
+    both_ AS (SELECT site, a, b FROM edge UNION SELECT site, b, a FROM edge),
+    reach(site, key, other) AS (SELECT site, key, key FROM n UNION SELECT r.site, r.key, e.b FROM reach r JOIN both_ e ON e.site = r.site AND e.a = r.other),
+    least AS (SELECT site, key, min(other) AS block FROM reach GROUP BY site, key)
+    SELECT n.site, n.key AS line, n.support, l.block FROM n JOIN least l ON n.site = l.site AND n.key = l.key""".replace("SELECT site, a, b FROM pair JOIN", "SELECT pair.site, a, b FROM pair JOIN"))
+def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boilerplate blocks of each site: their lines with support."""
+    return repeats.site_blocks(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
+
+
 @query()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
@@ -68,6 +81,26 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
 
 
+@query("""WITH here AS (SELECT source, count(*) AS n FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY source)
+    SELECT t.source, true AS within_cap, true AS even_copies, CASE WHEN h.n IS NOT NULL AND target_share > 0 AND max_repeats > 0 THEN true END AS share_met
+    FROM (SELECT source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY source) t LEFT JOIN here h ON h.source = t.source""")
+def p9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: whether its repeats stay within the cap, no document has two copies more than
+    another, and its share is met (to less than one document; null where it has none or no share)."""
+    mix = mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    every = mix.sized.select("source", "doc_id").join(mix.taken().groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")), ["source", "doc_id"], "left")
+    copies = every.groupBy("source").agg(F.max(F.coalesce("n", F.lit(0))).alias("hi"), F.min(F.coalesce("n", F.lit(0))).alias("lo"))
+    cap = spark.createDataFrame([(s, c, float(mix.quotas.get(s, 0.0))) for s, (_, c) in mix.targets.items()], "source string, cap int, quota double")
+    largest = mix.sized.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    lacks = F.col("quota") - F.col("tokens_taken")
+    met = (lacks > -1) & (lacks <= F.col("largest"))
+    rows = mix.shares().join(cap, "source").join(copies, "source", "left").join(largest, "source", "left")
+    return rows.select(
+        "source", (F.col("most_copies") <= F.col("cap")).alias("within_cap"), (F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)) <= 1).alias("even_copies"),
+        F.when((F.col("tokens_available") > 0) & (F.col("target_share") > 0) & (F.col("cap") > 0), met).alias("share_met"),
+    )
+
+
 @query()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "documents"), with_text=False).where("piece_no = 1").select("doc_id")
@@ -78,20 +111,26 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "documents"))
 
 
-@query(r"""WITH w AS (SELECT ord, regexp_extract_all(lower(main_text), '[\p{L}\p{N}_]+') AS w FROM extracted WHERE main_text IS NOT NULL),
+_NEAR = r"""w AS (SELECT ord, regexp_extract_all(lower(main_text), '[\p{L}\p{N}_]+') AS w FROM extracted WHERE main_text IS NOT NULL),
     g AS (SELECT DISTINCT ord, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w WHERE len(w) >= 25),
     n AS (SELECT ord, count(*) AS n FROM g GROUP BY ord),
-    p AS (SELECT a.ord AS a, b.ord AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY a.ord, b.ord)
-    SELECT p.a AS ord_a, p.b AS ord_b FROM p JOIN n x ON x.ord = p.a JOIN n y ON y.ord = p.b WHERE 10 * p.c >= 6 * (x.n + y.n - p.c)""")
+    p AS (SELECT a.ord AS a, b.ord AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY a.ord, b.ord),
+    pairs AS (SELECT p.a AS ord_a, p.b AS ord_b FROM p JOIN n x ON x.ord = p.a JOIN n y ON y.ord = p.b WHERE 10 * p.c >= 6 * (x.n + y.n - p.c))"""
+
+
+@query(f"WITH {_NEAR} SELECT ord_a, ord_b FROM pairs")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neardup.NearDuplicates(table(spark, sf_dir, "extracted"))
     return near.pairs().select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, sets AS (SELECT ord, md5(string_agg(g, '|' ORDER BY g)) AS h FROM g GROUP BY ord), cls AS (SELECT ord, min(ord) OVER (PARTITION BY h) AS rep FROM sets),
+    both_ AS (SELECT ord_a AS a, ord_b AS b FROM pairs UNION SELECT ord_b, ord_a FROM pairs),
+    reach(ord, other) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT r.ord, e.b FROM reach r JOIN both_ e ON e.a = r.other)
+    SELECT r.ord, any_value(c.rep) AS class_ord, min(r.other) AS group_ord FROM reach r JOIN cls c ON c.ord = r.ord GROUP BY r.ord""")
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neardup.NearDuplicates(table(spark, sf_dir, "extracted"))
-    return near.groups().select(F.col("id").alias("ord"), F.col("rep").alias("class_ord"), F.col("grp").alias("group_ord"), "n_links")
+    return near.groups().select(F.col("id").alias("ord"), F.col("rep").alias("class_ord"), F.col("grp").alias("group_ord"))
 
 
 @query()

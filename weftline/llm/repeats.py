@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.shared import cut, small
 
 #: White space as in Unicode's and Python's reading, for both regex dialects in use.
 SPACE = "[\\t\\n\\u000b\\f\\r\\u001c-\\u001f \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -127,16 +127,51 @@ def blocks(keyed: DataFrame, support: int) -> DataFrame:
     return nodes.join(found, "key", "left").select("key", F.coalesce("block", "key").alias("block"), "n")
 
 
-def found_lines(records: DataFrame, page: DataFrame, support: int = 8, text: str = "main_text") -> DataFrame:
-    """(ord, line_no, block): occurrences of boilerplate lines, counted from 1.
+#: Records of one line from which on its occurrences are spread over several tasks.
+HOT = 1_000_000
+
+
+def occurrences(keyed: DataFrame, kept: DataFrame, hot: int = HOT) -> DataFrame:
+    """(ord, p, key, block): where the kept lines (key, block, n) stand, p counted from 0.
+
+    A footer stands in every record of its site: the occurrences of a line of more than ``hot``
+    records are dealt to several copies of its row. Such lines are few, at most one for ``hot``
+    lines of the corpus.
+    """
+    kept = cut(kept)
+    each = keyed.select("ord", F.posexplode("keys").alias("p", "key")).where("key <> 0")
+    parts = F.ceil(F.col("n") / F.lit(float(hot))).cast("int")
+    many = kept.where(F.col("n") > hot).select("key", parts.alias("_parts"))
+    if not many.limit(1).count():
+        return each.join(small(kept.select("key", "block")), "key")
+    each = each.join(small(many), "key", "left").withColumn("_part", F.pmod(F.xxhash64("ord"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    rows = kept.select("key", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return each.join(rows, ["key", "_part"]).drop("_part")
+
+
+def found_lines(records: DataFrame, page: DataFrame, support: int = 8, text: str = "main_text", hot: int = HOT) -> DataFrame:
+    """(ord, line_no, block): occurrences of the blocks' lines, counted from 1.
 
     Null and empty texts, blank lines and repetition within one record count for nothing; a record
     without any host is left alone; further columns are ignored.
     """
     keyed = cut(lines(records, sites(page), text))  # read four times below; 8 bytes a line
-    kept = blocks(keyed, support)
-    each = keyed.select("ord", F.posexplode("keys").alias("p", "key")).where("key <> 0")
-    return each.join(kept.select("key", "block"), "key").select("ord", (F.col("p") + 1).cast("int").alias("line_no"), "block")
+    return occurrences(keyed, blocks(keyed, support), hot).select("ord", (F.col("p") + 1).cast("int").alias("line_no"), "block")
+
+
+def site_blocks(records: DataFrame, page: DataFrame, support: int = 8, text: str = "main_text") -> DataFrame:
+    """(site, line, support, block): the kept lines of each site with the records they stand in, and
+    the least line of their block; lines are as ``line_key`` gives them."""
+    site = sites(page)
+    keyed = cut(lines(records, site, text))
+    kept = cut(blocks(keyed, support))
+    own = records.where(F.col("ord").isNotNull() & F.col(text).isNotNull()).select("ord", site_of(F.col("url")).alias("_own"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("_l"))
+    named = own.join(site, "ord", "left").select(F.coalesce("site", "_own").alias("site"), line_key(F.col("_l")).alias("line")).where("line <> ''")
+    named = named.withColumn("key", F.xxhash64("site", "line")).join(small(kept), "key").groupBy("key").agg(
+        F.min("site").alias("site"), F.min("line").alias("line"), F.min("n").alias("support"), F.min("block").alias("_b")
+    )
+    least = named.groupBy("_b").agg(F.min("line").alias("block"))
+    return named.join(least, "_b").select("site", "line", "support", "block")
 
 
 def remove_lines(records: DataFrame, page: DataFrame, support: int = 8, text: str = "main_text") -> DataFrame:

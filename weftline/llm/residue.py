@@ -237,6 +237,11 @@ class ResidueModel:
 
     def word_scores(self, lines: list[str]) -> list[np.ndarray]:
         """For each line, each word's ratio in its window: the larger of filler and notices."""
+        best, edge = self.windows(lines)
+        return [best[edge[i] : edge[i + 1]] for i in range(len(lines))]
+
+    def windows(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(each word's ratio in its window, the words of all lines in a row; where each line starts)."""
         text = "\n".join(f" {plain(x)} " for x in lines)
         score = None
         for table, slot in zip(self.both, hashes(text)):
@@ -252,7 +257,7 @@ class ResidueModel:
         line = np.searchsorted(ends, start)
         edge = np.searchsorted(line, np.arange(len(lines) + 1))
         if not len(start):
-            return [np.zeros(0)] * len(lines)
+            return np.zeros(0), np.zeros(len(lines) + 1, "i8")
         # A word's stretch runs to the start of the next one, so that signs count with it; a line's
         # first one takes in what stands before it.
         open_ = np.concatenate([[0], ends + 1])[line]
@@ -263,7 +268,7 @@ class ResidueModel:
         at = np.arange(len(start))
         lo, hi = np.maximum(at - REACH, edge[line]), np.minimum(at + REACH, edge[line + 1] - 1)
         best = ((sums[b[hi]] - sums[a[lo]]) / np.maximum(b[hi] - a[lo], 1)[:, None]).max(axis=1)
-        return [best[edge[i] : edge[i + 1]] for i in range(len(lines))]
+        return best, edge
 
 
 @functools.lru_cache(maxsize=1)
@@ -277,8 +282,35 @@ def _kinds() -> np.ndarray:
 
 def coverage(lines: list[str], model: ResidueModel) -> tuple[int, int]:
     """(words in residue windows, all words) of content lines."""
-    scores = model.word_scores(lines)
-    return int(sum((s > THRESHOLD).sum() for s in scores)), sum(len(s) for s in scores)
+    return coverages([lines], model)[0]
+
+
+#: Characters of texts that are scored at once.
+AT_ONCE = 200_000
+
+
+def coverages(pages: list[list[str]], model: ResidueModel) -> list[tuple[int, int]]:
+    """``coverage`` of each of several pages."""
+    out: list[tuple[int, int]] = []
+    held: list[list[str]] = []
+    size = 0
+
+    def score() -> None:
+        best, edge = model.windows([x for page in held for x in page])
+        above = np.concatenate([[0], np.cumsum(best > THRESHOLD)])
+        ends = edge[np.cumsum([0, *map(len, held)])]
+        out.extend(zip((above[ends[1:]] - above[ends[:-1]]).tolist(), (ends[1:] - ends[:-1]).tolist()))
+        held.clear()
+
+    for page in pages:
+        held.append(page)
+        size += sum(map(len, page))
+        if size > AT_ONCE:
+            score()
+            size = 0
+    if held:
+        score()
+    return out
 
 
 def found(judge, empty_root: str = "empty_app_root") -> DataFrame:
@@ -291,11 +323,13 @@ def found(judge, empty_root: str = "empty_app_root") -> DataFrame:
     records, key, text = judge.records, judge.key, judge.text
     model = records.sparkSession.sparkContext.broadcast(ResidueModel.fit_twice(judge.sample_content(), notices_of(judge.short_sample())))
 
-    def emit(k, lines):
-        hit, n = coverage([x[0] for x in lines if not x[3] and x[0]], model.value)
-        if not n:
-            hit, n = coverage([x[0] for x in lines if x[0]], model.value)
-        return [(k,)] if n and hit >= COVERAGE * n else []
+    def emit(keys, pages):
+        got = coverages([[x[0] for x in lines if not x[3] and x[0]] for lines in pages], model.value)
+        for k, lines, (hit, n) in zip(keys, pages, got):
+            if not n:
+                hit, n = coverage([x[0] for x in lines if x[0]], model.value)
+            if n and hit >= COVERAGE * n:
+                yield (k,)
 
     wordless = records.where(F.col(empty_root) & ~F.coalesce(F.col(text), F.lit("")).rlike("[\\p{L}\\p{N}]")).select(key)
-    return judge.judged(emit, f"{key} bigint").unionByName(wordless).where(F.col(key).isNotNull()).distinct()
+    return judge.judged(emit, f"{key} bigint", together=True).unionByName(wordless).where(F.col(key).isNotNull()).distinct()

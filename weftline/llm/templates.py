@@ -42,30 +42,32 @@ def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
     """The words that templates keep, numbered from 2. pages: (row, site, title, text), restored."""
 
     def run(batches):
-        n, plain = Counter(), Counter()
+        n, plain, capital = Counter(), Counter(), Counter()
 
         def counted():
-            keys = list(n)
-            out = pa.RecordBatch.from_pydict({
-                "token": pa.array([t for t, _ in keys], pa.string()), "site": pa.array([s for _, s in keys], pa.string()),
-                "n": pa.array(list(n.values()), pa.int64()), "plain": pa.array([plain[k] for k in keys], pa.int64()),
-            })
-            n.clear(), plain.clear()
+            cols = [*n, *(t for t, _ in capital)], [None] * len(n) + [s for _, s in capital], [*n.values(), *capital.values()], [plain[t] for t in n] + [0] * len(capital)
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["token", "site", "n", "plain"])
+            n.clear(), plain.clear(), capital.clear()
             return out
 
         for _, sites, _, texts in _portions(batches):
             for site, text in zip(sites, texts):
                 once, lower = body.words_of(text)
-                n.update(zip(once, repeat(site)))
-                plain.update(zip(lower, repeat(site)))
-            if len(n) > HELD:
+                n.update(once)
+                plain.update(lower)
+                if site is not None:
+                    capital.update(zip((t for t in once - lower if len(t) > 1), repeat(site)))
+            if len(n) + len(capital) > HELD:
                 yield counted()
         yield counted()
 
+    # Rows without a site count a word in all records, those with one the records of that site in
+    # which it is always written with a capital.
     each = pages.mapInArrow(run, _WORDS).groupBy("token", "site").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
-    df = each.groupBy("token").agg(F.sum("n").alias("df"), F.sum("plain").alias("plain"), F.max("n").alias("top"))
+    all_, own = F.col("site").isNull(), F.col("site").isNotNull()
+    df = each.groupBy("token").agg(F.sum(F.when(all_, F.col("n"))).alias("df"), F.sum(F.when(all_, F.col("plain"))).alias("plain"), F.max(F.when(own, F.col("n"))).alias("top"))
     # Words of one site that are written with a capital are its names; templates hold on many sites.
-    name = (F.length("token") > 1) & (F.col("plain") < 0.2 * F.col("df")) & (F.col("top") > 0.7 * F.col("df"))
+    name = (F.length("token") > 1) & (F.col("plain") < 0.2 * F.col("df")) & (F.coalesce("top", F.lit(0)) > 0.7 * F.col("df"))
     alone = pages.select(F.coalesce("site", F.lit(""))).distinct().limit(3).count() < 3
     kept = df.where(F.col("df") >= max(3, body.KNOWN_SHARE * rows))
     kept = kept if alone else kept.where(~name)
