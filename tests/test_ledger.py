@@ -72,6 +72,66 @@ def test_one_of_two_writers_wins_and_a_retry_meets_its_own_work(spark, tmp_path)
     assert led.head() == 1 and states(led) == [("a", "1", "pending")]
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", ["data", "marker", "number"])
+def test_a_step_that_dies_leaves_the_ledger_as_it_was(spark, tmp_path, monkeypatch, at):
+    led = L.WorkLedger(spark, "file://" + str(tmp_path / "ledger"))
+    assert led.sync(wanted(spark, ("a", "1"), ("b", "1")), "w1")
+
+    def die(*a, **k):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        if at == "data":  # the changes are written, nothing else
+            m.setattr(led, "_number", die)
+        elif at == "marker":  # the marker is there, half written
+            m.setattr(L.json, "dumps", die)
+        else:  # the marker is whole but has no number
+            m.setattr(L.os, "link", die)
+        with pytest.raises(Killed):
+            led.lease("w1", 0.0, 10.0)
+    again = L.WorkLedger(spark, led.folder)
+    assert again.head() == 1 and {s for _, _, s in states(again)} == {"pending"}
+    assert again.lease("w2", 1.0, 10.0).count() == 2
+    assert led.lease("w1", 2.0, 10.0).count() == 0, "no item is given twice"
+
+
+def test_a_lease_that_dies_after_its_commit_is_given_again(spark, tmp_path):
+    led = L.WorkLedger(spark, "file://" + str(tmp_path / "ledger"))
+    led.sync(wanted(spark, ("a", "1")), "w1")
+    first, head = led.lease("w1", 5.0, 10.0).collect(), led.head()
+    assert led.lease("w1", 5.0, 10.0).collect() == first and led.head() == head
+
+
+def test_an_error_is_not_taken_for_another_writer(spark, tmp_path, monkeypatch):
+    led = L.WorkLedger(spark, "file://" + str(tmp_path / "ledger"))
+
+    def full(*a):
+        raise OSError(28, "No space left on device")
+
+    monkeypatch.setattr(L.os, "link", full)
+    with pytest.raises(OSError):
+        led.sync(wanted(spark, ("a", "1")), "w1")
+
+
+def test_changes_are_compacted_and_versions_take_leases_away(spark, tmp_path):
+    led = L.WorkLedger(spark, "file://" + str(tmp_path / "ledger"))
+    led.sync(wanted(spark, ("a", "0"), ("b", None)), "w")
+    for k in range(1, L.COMPACT + 2):
+        led.sync(wanted(spark, ("a", str(k)), ("b", None)), "w")
+    assert states(led) == [("a", str(L.COMPACT + 1), "pending"), ("b", None, "pending")]
+    assert len(led._marker(led.head())["tables"]) <= L.COMPACT
+    held = led.lease("w", 0.0, 100.0)
+    led.sync(wanted(spark, ("a", "new")), "w")
+    assert led.complete(held, "w")
+    assert states(led) == [("a", "new", "pending"), ("b", None, "done")]
+    again = led.lease("w", 1.0, 100.0)
+    assert led.release(again, "w") and states(led)[0] == ("a", "new", "pending")
+
+
 @pytest.mark.parametrize("bad", [None, 0.0])
 def test_null_last_checked_is_never_younger(spark, bad):
     got = run(spark, [(1, "u", 5.0, "n", None)], [("u", 1, "o", bad, None)], [(1, "freshness", "ok")])

@@ -73,10 +73,41 @@ def test_bm25_equals_brute_force(spark):
 
 def test_ngrams(spark):
     docs = spark.createDataFrame([(1, "", "redirects"), (2, "", "crawler"), (3, "", "redirect " * 50)], "doc_id bigint, title string, text string")
-    got = {r.doc_id: r.score for r in S.gram_search(S.gram_vectors(docs), spark.createDataFrame([(1, "redirect")], "query_id int, query string")).collect()}
+    got = {r.doc_id: r.score for r in S.Search(S.Index(docs, url=None), {1: "redirect"}, grams=True).cosine().collect()}
     assert got[3] == 1.0 and 0.8 < got[1] < 1 and 2 not in got
 
 
+def test_verdicts_equal_a_pass_in_order(spark):
+    """Random fingerprints with near and equal ones among them, against the pass itself."""
+    rng = random.Random(8)
+    fps = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 5)):
+            x = base
+            for b in rng.sample(range(64), rng.choice([0, 0, 2, 4, 5, 7])):
+                x ^= 1 << b
+            fps.append(x)
+    rng.shuffle(fps)
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    records = spark.createDataFrame([(i, f"u{i}", text(i), None) for i in range(len(fps))], "ord bigint, url string, text string, canonical string")
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = {r.ord: (r.verdict, r.duplicate_of, r.distance) for r in D.verdicts(records, spark.createDataFrame(list(enumerate(signed)), "ord bigint, fp bigint")).collect()}
+    kept, want = [], {}
+    for i, x in enumerate(fps):
+        near = [(next(b for b in range(8) if not ((x ^ y) >> 8 * b) & 255), j, (x ^ y).bit_count()) for j, y in kept if (x ^ y).bit_count() <= 6]
+        want[i] = ("near_duplicate", f"u{min(near)[1]}", min(near)[2]) if near else ("new", None, None)
+        if not near:
+            kept.append((i, x))
+    assert got == want
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    for n in (10, 10_000, 10**6, 10**9):
+        m = D.blocks_for(n)
+        assert (m - 6) * (64 // m) >= __import__("math").log2(n)
+
+
 def test_fusion(spark):
     r = lambda ids: spark.createDataFrame([(1, k + 1, d) for k, d in enumerate(ids)], "query_id int, rank int, doc_id bigint")
     out = sorted(S.fused({"a": r([1, 2]), "b": r([2, 3])}).collect(), key=lambda x: x.rank)
@@ -87,6 +118,7 @@ def test_greedy_near_duplicates_are_not_components(spark):
     fp = spark.createDataFrame([(1, 0x00), (2, 0x0F), (3, 0xFF)], "ord bigint, fp bigint")
     pairs = D.near_pairs(fp)
     assert sorted((r.a, r.b, r.distance, r.band) for r in pairs.collect()) == [(1, 2, 4, 1), (2, 3, 4, 1)]
+    assert {r.ord: r.rep for r in D.classes(fp.union(fp.selectExpr("ord + 10", "fp"))).collect()} == {1: 1, 2: 2, 3: 3, 11: 1, 12: 2, 13: 3}
     assert {r.ord: r.kept for r in D.kept_first(pairs).collect()} == {1: True, 2: False, 3: True}
 
 
@@ -96,7 +128,7 @@ def test_pairs_within_six_bits_are_all_found(spark):
     prints = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 8))) for b in base]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     got = {(r.a, r.b) for r in D.near_pairs(spark.createDataFrame(list(enumerate(signed)), "ord bigint, fp bigint")).collect()}
-    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if (prints[i] ^ prints[j]).bit_count() <= 6}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if 0 < (prints[i] ^ prints[j]).bit_count() <= 6}
 
 
 def test_verdicts(spark):
@@ -314,6 +346,30 @@ def test_crawl(spark):
     assert few.count() == 3
 
 
+def test_folding_is_exact_in_the_index(spark):
+    ix = index(spark, (None, "the \ufb01le \uff26ull width and \u00bd of it"), ("Stra\u00dfe", "other"))
+    found = lambda q: [r.doc_id for r in ix.search({1: q}).collect()]
+    assert found("file") == [0] and found("full") == [0] and found("STRASSE") == [1] and found("\ufb01le") == [0]
+
+
+def test_a_batch_too_large_to_send_is_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(None, " ".join(rng.choices([f"w{i}" for i in range(12)], k=20))) for _ in range(40)]
+    ix = index(spark, *docs)
+    asked = spark.createDataFrame([(1, "w0 w5"), (2, '"w1 w2" w3'), (3, None), (4, ""), (None, "w1"), (1, "w7")], "query_id int, query string")
+    sent = sorted(map(tuple, ix.search(asked, 5).collect()))
+    assert {q for q, *_ in sent} == {1, 2}
+    monkeypatch.setattr(S, "ASKED_ROWS", 1)
+    assert sorted(map(tuple, ix.search(asked, 5).collect())) == sent
+
+
+def test_search_of_nothing(spark):
+    ix = index(spark, ("", ""), (None, None))
+    one = S.Search(ix, {1: '"a b" c'}, grams=True)
+    assert one.bm25().count() == 0 and one.cosine().count() == 0 and one.phrase_hits().count() == 0
+    assert S.Search(index(spark, ("a", "b")), {}).bm25().count() == 0
+
+
 def test_saved_index_searches_alike(spark, tmp_path):
     ix = index(spark, ("Web Crawler", "the quick brown fox"), (None, "brown quick the fox fox"), ("A", "quick quick"))
     ix.save(str(tmp_path / "ix"))

@@ -7,14 +7,16 @@ function of the same name with the suffix ``_exact`` is there too.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 TERM = "[\\p{L}\\p{N}]+(?:['’][\\p{L}\\p{N}]+)*"
 WORD = "[\\p{L}\\p{N}_]+"
@@ -34,6 +36,53 @@ def fold_exact(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in text.to_pylist()], pa.string())
 
 
+_term = re.compile(r"[^\W_]+(?:['’][^\W_]+)*").findall
+
+
+def term_list(text: str | None) -> list[str]:
+    """Search terms in order under NFKC and full case folding, without those over 64 characters."""
+    if not text:
+        return []
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    out = _term(text.casefold())
+    return out if max(map(len, out), default=0) <= LONGEST_TERM else [t for t in out if len(t) <= LONGEST_TERM]
+
+
+def lists(rows: list[list], kind: pa.DataType) -> pa.Array:
+    """An Arrow array of lists from Python's."""
+    ends = np.cumsum([0, *map(len, rows)], dtype="i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for r in rows for x in r], kind))
+
+
+@arrow_udf(ArrayType(StringType()))
+def terms_exact(text: pa.Array) -> pa.Array:
+    return lists([term_list(t) for t in text.to_pylist()], pa.string())
+
+
+class Grams(dict):
+    """The character n-grams of terms, between boundary marks, remembered while they fit."""
+
+    def __init__(self, n: int = 3, most: int = 200_000):
+        self.n, self.most = n, most
+
+    def __missing__(self, term: str) -> list[str]:
+        p = f"^{term}$"
+        if len(self) >= self.most:
+            self.clear()
+        self[term] = out = [p[i : i + self.n] for i in range(len(p) - self.n + 1)] if len(p) > self.n else [p]
+        return out
+
+
+def gram_counts(terms: list[str], grams: Grams) -> Counter:
+    """How often each n-gram stands in the terms."""
+    out: Counter = Counter()
+    for term, k in Counter(terms).items():
+        for g in grams[term]:
+            out[g] += k
+    return out
+
+
 def terms(text: Column, folded: bool = False) -> Column:
     """Search terms in order; those of more than 64 characters are dropped; null gives none."""
     source = F.coalesce(text if folded else fold(text), F.lit(""))
@@ -87,24 +136,31 @@ def simhash(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 0, print_)
 
 
+_word = re.compile(r"\w+").findall
+
+
 @arrow_udf(LongType())
 def simhash_exact(text: pa.Array) -> pa.Array:
-    """64-bit fingerprint by BLAKE2b over 4-word shingles of the lower-cased words; null if none."""
-    import re
+    """64-bit fingerprint by BLAKE2b over 4-word shingles of the lower-cased words; null if none.
 
-    find = re.compile(r"\w+").findall
-    out = []
+    The hashes of a batch are unpacked to bits once, and summed by record.
+    """
+    runs = []
     for t in text.to_pylist():
-        w = find(t.lower()) if t else []
-        if not w:
-            out.append(None)
-            continue
-        runs = [" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
-        h = np.frombuffer(b"".join(hashlib.blake2b(r.encode(), digest_size=8).digest() for r in runs), ">u8")
-        ones = np.array([int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)])
-        value = sum(1 << b for b in range(64) if 2 * ones[b] > len(runs))
-        out.append(value - (1 << 64) if value >> 63 else value)
-    return pa.array(out, pa.int64())
+        w = _word(t.lower()) if t else []
+        runs.append([" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))] if w else [])
+    n = np.array([len(r) for r in runs], "i8")
+    out = np.zeros(len(runs), ">u8")
+    some = np.flatnonzero(n)
+    starts = np.concatenate([[0], np.cumsum(n[some])])
+    step = max(1, len(some) // max(1, int(starts[-1]) // 200_000))
+    for k in range(0, len(some), step):  # bits of some hundred thousand hashes at a time
+        part = some[k : k + step]
+        own = b"".join(hashlib.blake2b(r.encode("utf-8", "replace"), digest_size=8).digest() for i in part for r in runs[i])
+        bits = np.unpackbits(np.frombuffer(own, "u1").reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, starts[k : k + len(part)] - starts[k], axis=0, dtype="i8")
+        out[part] = np.packbits(2 * ones > n[part, None], axis=1).view(">u8")[:, 0]
+    return pa.array(out.astype("i8"), pa.int64(), mask=n == 0)
 
 
 def hamming(a: Column, b: Column) -> Column:

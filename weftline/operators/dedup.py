@@ -5,15 +5,21 @@ The verdicts are those of a sequential pass that keeps what it has seen. In batc
 1. a record whose canonical address is another one is an alias and takes no further part;
 2. of equal content the first record holds; the others are copies of it, or seen already;
 3. holders with enough words and shingles get a 64-bit fingerprint;
-4. pairs within ``RADIUS`` bits are found by pairs of bytes: six different bits leave at least two
-   of eight bytes equal, so each pair of records within the radius shares one of 28 keys of 16 bits,
-   256 times more selective than single bytes;
+4. records of one fingerprint are one class. Pairs of classes within ``RADIUS`` bits are found by
+   blocks: of m blocks of a fingerprint, six different bits leave at least m - 6 equal, so two
+   classes within the radius share one of the combinations of m - 6 blocks. There are as many blocks
+   as it takes for a combination to have the logarithm of the number of classes in bits, so a
+   key is shared by chance about once per class, at any size;
 5. a record is a near copy if an earlier kept one lies within the radius, else it is kept. This is
-   decided in rounds: a record whose earlier neighbours are all decided is decided.
+   decided class by class in rounds: a class whose earlier neighbours are all decided is decided. A
+   later record of a class is never kept.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,23 +62,44 @@ def fingerprints(records: DataFrame) -> DataFrame:
     return votes.select("ord", fp.alias("fp"))
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(ord, fp, rep): each record with the first record of its fingerprint."""
+    return prints.join(prints.groupBy("fp").agg(F.min("ord").alias("rep")), "fp").select("ord", "fp", "rep")
+
+
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """The least number of blocks, of which ``radius`` may differ, whose rest has log2(n) bits."""
+    m = radius + 2
+    while m < 64 and (m - radius) * (64 // m) < log2(max(n, 2)):
+        m += 1
+    return m
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance, band): records a < b within the radius, with the first byte they share.
+    """(a, b, distance, band): first records a < b of different fingerprints within the radius, with
+    the first byte they share (null if there is none, for a radius above 7).
 
-    Exact for a radius of at most 6.
+    prints: (ord, fp); further records of a fingerprint are left to ``classes``.
     """
-    if radius > 6:
-        raise ValueError("two of eight bytes are equal only up to six different bits")
-    byte = lambda i: F.call_function("shiftrightunsigned", F.col("fp"), F.lit(8 * i)).bitwiseAND(F.lit(255))
-    keys = [((i * 8 + j) * 65536 + byte(i) * 256 + byte(j)) for i in range(8) for j in range(i + 1, 8)]
-    side = prints.select("ord", "fp", F.explode(F.array(*keys)).alias("key"))
-    a, b = side.select(F.col("ord").alias("a"), F.col("fp").alias("fa"), "key"), side.select(F.col("ord").alias("b"), F.col("fp").alias("fb"), "key")
+    heads = cut(prints.groupBy("fp").agg(F.min("ord").alias("ord")))
+    m = blocks_for(heads.count(), radius)
+    shift = lambda x, k: F.call_function("shiftrightunsigned", x, F.lit(k))
+    edges = [round(i * 64 / m) for i in range(m + 1)]
+    masks = []
+    for c in combinations(range(m), m - radius):
+        value = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in c)
+        masks.append(value - (1 << 64) if value >> 63 else value)
+    # A key is the bits of some blocks in place, and which blocks they are.
+    keys = F.transform(F.array(*[F.lit(x).cast("bigint") for x in masks]), lambda x, i: F.struct(i.alias("k"), F.col("fp").bitwiseAND(x).alias("v")))
+    side = heads.select("ord", "fp", F.explode(keys).alias("key")).select("ord", "fp", "key.k", "key.v")
+    # The join's rows are those of one key; the first key two classes share reports them.
+    a, b = side.select(F.col("ord").alias("oa"), F.col("fp").alias("fa"), "k", "v"), side.select(F.col("ord").alias("ob"), F.col("fp").alias("fb"), "k", "v")
     x = F.col("fa").bitwiseXOR(F.col("fb"))
+    hit = a.join(b, ["k", "v"]).where("oa < ob").where(F.bit_count(x) <= radius).select(F.col("oa").alias("a"), F.col("ob").alias("b"), x.alias("x")).distinct()
     band: Column = F.lit(None)
     for i in reversed(range(8)):
-        band = F.when(F.call_function("shiftrightunsigned", x, F.lit(8 * i)).bitwiseAND(F.lit(255)) == 0, F.lit(i)).otherwise(band)
-    hit = a.join(b, "key").where("a < b").where(F.bit_count(x) <= radius)
-    return hit.select("a", "b", F.bit_count(x).alias("distance"), band.alias("band")).distinct()
+        band = F.when(shift(F.col("x"), 8 * i).bitwiseAND(F.lit(255)) == 0, F.lit(i)).otherwise(band)
+    return hit.select("a", "b", F.bit_count("x").alias("distance"), band.alias("band"))
 
 
 def kept_first(pairs: DataFrame) -> DataFrame:
@@ -110,12 +137,20 @@ def verdicts(records: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     holders = cut(seen.where("ord = ford").select("ord", "url", "n_words", "n_shingles"))
     able = eligible(holders).select("ord")
     fp = prints.join(able, "ord", "left_semi") if prints is not None else fingerprints(rest.join(able, "ord", "left_semi"))
-    pairs = cut(near_pairs(fp))
+    cls_ = cut(classes(fp))
+    pairs = cut(near_pairs(cls_.select("ord", "fp")))
     state = kept_first(pairs)
-    of = pairs.join(state.where("kept").select(F.col("ord").alias("a")), "a").groupBy("b").agg(F.min(F.struct("band", "a", "distance")).alias("o"))
-    gone = state.where(~F.col("kept")).join(of.withColumnRenamed("b", "ord"), "ord")
+    # The first records that a pass keeps: those without neighbours, and those kept among the others.
+    free = cls_.where("ord = rep").select("ord").join(state.select("ord"), "ord", "left_anti").withColumn("kept", F.lit(True))
+    kept = cut(state.unionByName(free).where("kept").select("ord"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance", "band"))
+    same = cls_.where("ord = rep").select(F.col("ord").alias("a"), F.col("ord").alias("b"), F.lit(0).alias("distance"), F.lit(0).alias("band"))
+    near_of = both.unionByName(same).join(kept.select(F.col("ord").alias("a")), "a").withColumnRenamed("b", "rep")
+    # Of a record: the kept ones before it within the radius of its fingerprint.
+    lost = cls_.join(kept, "ord", "left_anti").select("ord", "rep")
+    of = lost.join(near_of, "rep").where("a < ord").groupBy("ord").agg(F.min(F.struct("band", "a", "distance")).alias("o"))
     urls = holders.select(F.col("ord").alias("_a"), F.col("url").alias("_of"))
-    near = gone.select("ord", F.col("o.a").alias("_a"), F.col("o.distance").alias("_d")).join(urls, "_a")
+    near = of.select("ord", F.col("o.a").alias("_a"), F.col("o.distance").alias("_d")).join(urls, "_a")
     held = holders.join(near, "ord", "left").select(
         "ord", "url", F.when(F.col("_a").isNull(), "new").otherwise("near_duplicate").alias("verdict"), F.col("_of").alias("duplicate_of"), F.col("_d").alias("distance")
     )

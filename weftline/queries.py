@@ -45,6 +45,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH ran AS (SELECT run_id, bool_or(status = 'ok') AS ok FROM crawl_runs WHERE job = 'freshness' GROUP BY run_id),
+    one AS (SELECT f.url, f.run_id, coalesce(r.ok, false) AS ok, max(f.content_hash) AS h FROM freshness f JOIN ran r ON f.run_id = r.run_id WHERE f.url IS NOT NULL GROUP BY ALL),
+    step AS (SELECT *, CASE WHEN h IS NOT DISTINCT FROM lag(h) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM one WINDOW w AS (PARTITION BY url ORDER BY run_id)),
+    part AS (SELECT *, sum(new) OVER (PARTITION BY url ORDER BY run_id ROWS UNBOUNDED PRECEDING) AS k FROM step),
+    last AS (SELECT url, max(k) AS k FROM part GROUP BY url)
+    SELECT p.url, any_value(p.h) AS content_hash, CASE WHEN bool_or(p.ok) THEN 'done' ELSE 'pending' END AS state
+    FROM part p JOIN last l ON p.url = l.url AND p.k = l.k GROUP BY p.url
+    """
+)
+def p2_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after all runs, failed and unfinished ones too: leases, tokens, commits."""
+    return ledger.replay(table(spark, sf_dir, "freshness"), table(spark, sf_dir, "crawl_runs"))
+
+
 from . import queries_search, queries_web  # noqa: E402
 
 for _more in (queries_search, queries_web):

@@ -297,20 +297,53 @@ def simhash_md5(spark, d):
 _ABLE = "able AS (SELECT f.ord, f.fp FROM fp f JOIN m ON f.ord = m.ord WHERE len(m.w) >= 25 AND len(list_distinct(m.s)) >= 20)"
 
 
-@query(f"""WITH {_PRINTS}, {_ABLE} SELECT a.ord AS a, b.ord AS b, bit_count(xor(a.fp, b.fp))::INTEGER AS distance,
-  list_min(list_filter(range(8), lambda i: ((xor(a.fp, b.fp) >> (8 * i)::UBIGINT) & 255) = 0))::INTEGER AS band
-  FROM able a JOIN able b ON a.ord < b.ord WHERE bit_count(xor(a.fp, b.fp)) <= 6""")
-def near_dup_pairs(spark, d):
+def _able(spark, d):
     r = _records(spark, d)
-    return D.near_pairs(D.fingerprints(r.join(D.eligible(D.measured(r)).select("ord"), "ord", "left_semi")))
+    return D.fingerprints(r.join(D.eligible(D.measured(r)).select("ord"), "ord", "left_semi"))
 
 
-@query()
+_HEADS = f"{_PRINTS}, {_ABLE}, heads AS (SELECT min(ord) AS ord, fp FROM able GROUP BY fp)"
+
+
+@query(f"""WITH {_HEADS} SELECT a.ord AS a, b.ord AS b, bit_count(xor(a.fp, b.fp))::INTEGER AS distance,
+  list_min(list_filter(range(8), lambda i: ((xor(a.fp, b.fp) >> (8 * i)::UBIGINT) & 255) = 0))::INTEGER AS band
+  FROM heads a JOIN heads b ON a.ord < b.ord WHERE bit_count(xor(a.fp, b.fp)) <= 6""")
+def near_dup_pairs(spark, d):
+    """Pairs between the first records of different fingerprints; near_dup_classes has the others."""
+    return D.near_pairs(_able(spark, d))
+
+
+@query(f"WITH {_HEADS} SELECT a.ord, h.ord AS rep, (SELECT count(*) FROM heads o WHERE o.ord <> h.ord AND bit_count(xor(o.fp, h.fp)) <= 6) AS n_links FROM able a JOIN heads h ON a.fp = h.fp")
+def near_dup_classes(spark, d):
+    """Each record with the first one of its fingerprint and that one's number of links."""
+    own = cut(_able(spark, d))
+    p = D.near_pairs(own).select("a", "b")
+    links = p.select(F.col("a").alias("rep")).unionByName(p.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return D.classes(own).join(links, "rep", "left").select("ord", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+#: The pass in order, one holder after the other, with the list of those it kept.
+_VERDICTS = f"""RECURSIVE {_PRINTS}, own AS (SELECT m.*, canonical IS NOT NULL AND canonical <> url AS alias FROM m),
+ firsts AS (SELECT content_hash, min(ord) AS ford FROM own WHERE NOT alias GROUP BY content_hash),
+ rest AS (SELECT o.ord, o.url, f.ford, h.url AS furl, len(o.w) >= 25 AND len(list_distinct(o.s)) >= 20 AS able FROM own o JOIN firsts f ON o.content_hash = f.content_hash JOIN own h ON h.ord = f.ford WHERE NOT o.alias),
+ held AS (SELECT r.ord, r.url, fp.fp, row_number() OVER (ORDER BY r.ord) AS k FROM rest r JOIN fp ON fp.ord = r.ord WHERE r.ord = r.ford AND r.able),
+ pass(k, kept, ord, o) AS (
+   SELECT 0::BIGINT, []::STRUCT(ord BIGINT, fp UBIGINT)[], NULL::BIGINT, NULL::STRUCT(band INTEGER, a BIGINT, distance INTEGER)
+   UNION ALL
+   SELECT h.k, CASE WHEN len(n.l) = 0 THEN list_append(p.kept, {{'ord': h.ord, 'fp': h.fp}}) ELSE p.kept END, h.ord, list_min(n.l)
+   FROM pass p JOIN held h ON h.k = p.k + 1, LATERAL (SELECT list_transform(list_filter(p.kept, lambda x: bit_count(xor(x.fp, h.fp)) <= 6),
+     lambda x: {{'band': list_min(list_filter(range(8), lambda i: ((xor(x.fp, h.fp) >> (8 * i)::UBIGINT) & 255) = 0))::INTEGER, 'a': x.ord, 'distance': bit_count(xor(x.fp, h.fp))::INTEGER}}) AS l) n),
+ verdicts AS (SELECT ord, url, 'canonical_alias' AS verdict, canonical AS duplicate_of, NULL::INTEGER AS distance FROM own WHERE alias
+   UNION ALL SELECT ord, url, CASE WHEN url IS NOT DISTINCT FROM furl THEN 'already_seen' ELSE 'exact_duplicate' END, furl, NULL FROM rest WHERE ord <> ford
+   UNION ALL SELECT r.ord, r.url, CASE WHEN p.o IS NULL THEN 'new' ELSE 'near_duplicate' END, h.url, p.o.distance FROM rest r LEFT JOIN pass p ON p.ord = r.ord LEFT JOIN own h ON h.ord = p.o.a WHERE r.ord = r.ford)"""
+
+
+@query(f"WITH {_VERDICTS} SELECT ord, url, verdict, duplicate_of, distance FROM verdicts")
 def dedup_verdicts(spark, d):
     return D.verdicts(_records(spark, d))
 
 
-@query()
+@query(f"WITH {_VERDICTS} SELECT verdict, count(*) AS n FROM verdicts GROUP BY verdict")
 def verdict_counts(spark, d):
     return D.verdicts(_records(spark, d)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 

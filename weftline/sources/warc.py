@@ -1,9 +1,9 @@
 """WARC files as a Spark data source: ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
-Each record is one gzip member, so a record can be read alone from its offset. Reading makes one
+Each record is one gzip member, so a record can be read alone from its offset. Plain files are read as well. Reading makes one
 partition per file, or per list of (file, offset, length) given as the option ``records``; writing
 makes one file per task, named by the task, and reports where each record landed in ``index`` files
-beside them. Paths are local or mounted paths that all executors share.
+beside them. A broken record is passed over, or raises with the option ``strict``. Paths are local or mounted paths that all executors share.
 """
 
 from __future__ import annotations
@@ -59,28 +59,102 @@ def parse_record(raw: bytes, filename: str = "", offset: int = 0, length: int =
     return out
 
 
-def members(path: str):
-    """(offset, length, bytes) of each gzip member of a file; a broken tail ends the file."""
+class Damaged(ValueError):
+    """A file that cannot be read to its end."""
+
+
+class _Window:
+    """A file read forward through a buffer, at known offsets."""
+
+    def __init__(self, f, step: int = 1 << 20):
+        self.f, self.step, self.data, self.at = f, step, b"", 0
+
+    def more(self) -> bool:
+        new = self.f.read(self.step)
+        self.data += new
+        return bool(new)
+
+    def find(self, mark: bytes, start: int) -> int:
+        """Place of a mark from ``start`` on, -1 at the end of the file; what lies before may be dropped."""
+        while (k := self.data.find(mark, start)) < 0:
+            start = max(start, len(self.data) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return k
+
+    def drop(self, n: int) -> None:
+        self.data, self.at = self.data[n:], self.at + n
+
+
+_GZIP, _RECORD = b"\x1f\x8b\x08", b"WARC/"
+
+
+def members(path: str, strict: bool = False):
+    """(offset, length, bytes) of each record of a file, gzipped or plain.
+
+    A broken record is passed over: reading goes on at the next one that can be told, and with
+    ``strict`` it raises instead. A cut-off last record is broken as well.
+    """
     with open(path, "rb") as f:
-        data = f.read(1 << 20)
-        at = 0
-        while data:
-            d, parts, used = zlib.decompressobj(31), [], 0
-            try:
-                while True:
-                    parts.append(d.decompress(data))
-                    if d.eof:
-                        used += len(data) - len(d.unused_data)
-                        data = d.unused_data or f.read(1 << 20)
-                        break
-                    used += len(data)
-                    data = f.read(1 << 20)
-                    if not data:
-                        return
-            except zlib.error:
+        w = _Window(f)
+        while True:
+            if not w.data and not w.more():
+                return
+            zipped = w.data[:3] == _GZIP[: len(w.data[:3])]
+            got = _unzipped(w) if zipped else _plain(w)
+            if got is not None:
+                raw, used = got
+                yield w.at, used, raw
+                w.drop(used)
+                continue
+            if strict:
+                raise Damaged(f"{path}: no record at {w.at}")
+            gz, plain = w.find(_GZIP, 1), w.find(b"\n" + _RECORD, 1)
+            nxt = min((k for k in (gz, plain + 1 if plain >= 0 else -1) if k > 0), default=-1)
+            if nxt < 0:
                 return
-            yield at, used, b"".join(parts)
-            at += used
+            w.drop(nxt)
+
+
+def _unzipped(w: _Window) -> tuple[bytes, int] | None:
+    """(bytes, length) of the gzip member at the window's start."""
+    d, parts, fed = zlib.decompressobj(31), [], 0
+    while True:
+        try:
+            parts.append(d.decompress(w.data[fed:]))
+        except zlib.error:
+            return None
+        if d.eof:
+            return b"".join(parts), len(w.data) - len(d.unused_data)
+        fed = len(w.data)
+        if not w.more():
+            return None
+
+
+def _plain(w: _Window) -> tuple[bytes, int] | None:
+    """(bytes, length) of the plain record at the window's start, with the empty lines after it."""
+    lead = 0
+    while True:  # empty lines between records
+        if len(w.data) < lead + 2 and not w.more():
+            return None
+        if w.data[lead : lead + 2] != _EOL:
+            break
+        lead += 2
+    end = w.find(_EOL + _EOL, lead)
+    if end < 0 or not w.data[lead:].startswith(_RECORD):
+        return None
+    size = {k.lower(): v for k, v in headers_of(w.data[lead : end + 4])[1]}.get("content-length", "")
+    if not size.isdigit():
+        return None
+    stop = end + 4 + int(size)
+    while len(w.data) < stop + 4:
+        if not w.more():
+            break
+    if len(w.data) < stop:
+        return None
+    while w.data[stop : stop + 2] == _EOL:
+        stop += 2
+    return w.data[lead:stop], stop
 
 
 def http_block(version: str, status: int, reason: str, headers: list[tuple[str, str]], body: bytes) -> bytes:
@@ -113,6 +187,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = local_path(options.get("path", ""))
         self.records = options.get("records")
+        self.strict = str(options.get("strict", "false")).lower() == "true"
 
     def partitions(self):
         if self.records:  # JSON: [[file, offset, length], ...]
@@ -127,7 +202,7 @@ class WarcReader(DataSourceReader):
     def read(self, part):
         name = os.path.basename(part.path)
         if part.spots is None:
-            found = members(part.path)
+            found = members(part.path, self.strict)
         else:
             found = self._at(part)
         order = [c.strip().split()[0] for c in SCHEMA.replace("map<string,string>", "m").split(",")]
@@ -141,7 +216,8 @@ class WarcReader(DataSourceReader):
         with open(part.path, "rb") as f:
             for offset, length in part.spots:
                 f.seek(offset)
-                yield offset, length, gzip.decompress(f.read(length))
+                raw = f.read(length)
+                yield offset, length, gzip.decompress(raw) if raw.startswith(_GZIP) else raw
 
 
 class _Written(WriterCommitMessage):
