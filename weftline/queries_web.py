@@ -323,10 +323,10 @@ def near_dup_classes(spark, d):
 
 
 #: The pass in order, one holder after the other, with the list of those it kept.
-_VERDICTS = f"""RECURSIVE {_PRINTS}, own AS (SELECT m.*, canonical IS NOT NULL AND canonical <> url AS alias FROM m),
+_VERDICTS = f"""RECURSIVE {_PRINTS}, own AS MATERIALIZED (SELECT m.*, canonical IS NOT NULL AND canonical <> url AS alias FROM m),
  firsts AS (SELECT content_hash, min(ord) AS ford FROM own WHERE NOT alias GROUP BY content_hash),
- rest AS (SELECT o.ord, o.url, f.ford, h.url AS furl, len(o.w) >= 25 AND len(list_distinct(o.s)) >= 20 AS able FROM own o JOIN firsts f ON o.content_hash = f.content_hash JOIN own h ON h.ord = f.ford WHERE NOT o.alias),
- held AS (SELECT r.ord, r.url, fp.fp, row_number() OVER (ORDER BY r.ord) AS k FROM rest r JOIN fp ON fp.ord = r.ord WHERE r.ord = r.ford AND r.able),
+ rest AS MATERIALIZED (SELECT o.ord, o.url, f.ford, h.url AS furl, len(o.w) >= 25 AND len(list_distinct(o.s)) >= 20 AS able FROM own o JOIN firsts f ON o.content_hash = f.content_hash JOIN own h ON h.ord = f.ford WHERE NOT o.alias),
+ held AS MATERIALIZED (SELECT r.ord, r.url, fp.fp, row_number() OVER (ORDER BY r.ord) AS k FROM rest r JOIN fp ON fp.ord = r.ord WHERE r.ord = r.ford AND r.able),
  pass(k, kept, ord, o) AS (
    SELECT 0::BIGINT, []::STRUCT(ord BIGINT, fp UBIGINT)[], NULL::BIGINT, NULL::STRUCT(band INTEGER, a BIGINT, distance INTEGER)
    UNION ALL
