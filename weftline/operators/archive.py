@@ -96,6 +96,43 @@ def crawl_summary(page: DataFrame) -> DataFrame:
     )
 
 
+def page_event(page: DataFrame) -> DataFrame:
+    """The thirteen fields of each page that a viewer gets, with the host it ended on."""
+    host = U.authority(F.coalesce(F.nullif("final_url", F.lit("")), "url"))
+    same = ["url", "final_url", "status", "depth", "title", "error", "verdict", "duplicate_of", "words", "from_cache"]
+    return page.select(*same, F.col("n_links").alias("links"), F.round("elapsed", 3).alias("elapsed"), host.alias("host")).distinct()
+
+
+def summary_event(pages: DataFrame, rejected: DataFrame | None = None, seeds: list[str] | None = None, objects: int = 0, records: int = 0) -> DataFrame:
+    """One row of all totals of a crawl: counts of pages, errors, hosts, verdicts, refusals by reason,
+    bytes, revalidated pages, the busiest host, the span of time, and what was stored.
+
+    pages: (url, status, error, verdict) and, where known, (fetched_at, elapsed, body_bytes, from_cache);
+    rejected: (url, reason).
+    """
+    has = lambda c, kind: F.col(c) if c in pages.columns else F.lit(None).cast(kind)
+    p = pages.select("url", "status", "error", "verdict", has("fetched_at", "timestamp").alias("at"), has("elapsed", "double").alias("took"), has("body_bytes", "bigint").alias("size"), has("from_cache", "boolean").alias("cached"))
+    count_of = lambda df, c: df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(c).cast("string"), F.col("n"))))).alias("m"))
+    none = F.create_map().cast("map<string,bigint>")
+    yes = lambda c: F.count(F.when(c, 1))
+    begin = F.unix_micros(F.col("at").cast("timestamp"))
+    total = p.agg(
+        yes(F.col("error").isNull()).alias("pages"), yes(F.col("error").isNotNull()).alias("errors"), F.countDistinct(U.authority(F.col("url"))).alias("hosts_seen"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_downloaded"), yes((F.col("status") == 304) | F.coalesce("cached", F.lit(False))).alias("not_modified"),
+        F.round((F.max(begin + F.coalesce("took", F.lit(0.0)) * 1_000_000) - F.min(begin)) / 1_000_000, 2).alias("duration"), F.round(F.sum("took"), 1).alias("worker_seconds"),
+    )
+    out = total.crossJoin(F.broadcast(count_of(p, "verdict").withColumnRenamed("m", "dedup")))  # one row each
+    if rejected is not None:
+        traps, robots = rejected.where("reason <> 'robots'"), rejected.where("reason = 'robots'").agg(F.count(F.lit(1)).alias("blocked_by_robots"))
+        out = out.crossJoin(F.broadcast(count_of(traps, "reason").withColumnRenamed("m", "rejected_by_traps"))).crossJoin(F.broadcast(robots))
+    else:
+        out = out.withColumn("rejected_by_traps", none).withColumn("blocked_by_robots", F.lit(0).cast("bigint"))
+    return out.withColumns({
+        "dedup": F.coalesce("dedup", none), "rejected_by_traps": F.coalesce("rejected_by_traps", none), "generated": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm"),
+        "seeds": F.array(*[F.lit(s) for s in seeds or []]).cast("array<string>"), "stored_objects": F.lit(objects), "warc_records": F.lit(records),
+    })
+
+
 def triage_reasons(found: DataFrame) -> DataFrame:
     """(ord, reasons): why a browser would add something; from extraction alone.
 

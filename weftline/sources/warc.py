@@ -59,6 +59,15 @@ def parse_record(raw: bytes, filename: str = "", offset: int = 0, length: int =
     return out
 
 
+def record_at(raw: bytes, filename: str, offset: int, length: int) -> dict | None:
+    """One record from the bytes at its offset, gzipped or plain; None if they are none."""
+    try:
+        whole = gzip.decompress(raw) if raw.startswith(_GZIP) else raw
+    except (OSError, EOFError, zlib.error):
+        return None
+    return parse_record(whole, filename, offset, length)
+
+
 class Damaged(ValueError):
     """A file that cannot be read to its end."""
 
