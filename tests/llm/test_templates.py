@@ -15,11 +15,11 @@ def test_furniture_of_a_small_site_is_counted_over_all_records(spark):
         site = "small.example" if i < 8 else f"site{i % 20}.example"
         menu = "Guides › Tarifs › Contact" if i < 8 else f"Menu of {site.split('.')[0]} here"
         once = "Only here" if i == 0 else "Other"
-        rows.append((i, site, f"Title {i}", "\n".join([menu, f"Title {i}", *(long_line(i + 40 * k) for k in range(5)), once])))
+        rows.append((i, site, f"Title {i}", body.pack("\n".join([menu, f"Title {i}", *(long_line(i + 40 * k) for k in range(5)), once]))))
     pages = spark.createDataFrame(rows, "row bigint, site string, title string, t string")
-    one = [rows[0][1:]]
+    one = [(rows[0][1], rows[0][2], "\n".join(["Guides › Tarifs › Contact", "Title 0", *(long_line(40 * k) for k in range(5)), "Only here"]))]
     corpus, repeated = templates.count(pages, len(rows), one)
-    k = body.keyed(*one[0], corpus.words)
+    k = body.keyed(one[0][0], one[0][1], body.pack(one[0][2]), corpus.words)
     assert corpus.within.get(k.within[0]) == 1, "eight records of 300, one of them in the sample"
     assert k.within[-1] not in corpus.within and k.cross[-1] not in corpus.cross
     assert {r.row for r in repeated.collect() if k.within[0] in r["keys"]} == set(range(8))

@@ -102,15 +102,28 @@ def _fit(slots, rows, y, weight, steps: int = 60) -> np.ndarray:
 
 
 def is_long(toks: list[str], line: str) -> bool:
-    return len(toks) >= 14 and len(line) >= 36
+    return len(toks) >= 14 and len(line) >= WIDE
 
 
-def words_of(text: str) -> tuple[set[str], set[str]]:
-    """(words, words that stand in lower case) of a text; digits do not count."""
-    every: set[str] = set()
-    for l in text.split("\n"):
-        every.update(_ascii_tokens(l) if l.isascii() else _any_tokens(l))
-    seen = {t for t in every if not t[0].isdigit()}
+#: Characters of a long line, and what stands after the tokens of a packed line that has as many.
+WIDE, _WIDE_MARK = 36, "\x01"
+
+
+def pack_line(line: str) -> str:
+    """A line's tokens as they are written, with spaces between."""
+    out = " ".join(_ascii_tokens(line) if line.isascii() else _any_tokens(line))
+    return f"{out} {_WIDE_MARK}" if len(line) >= WIDE else out
+
+
+def pack(text: str) -> str:
+    """The non-blank lines of a text, packed: tokens are found once and then only split."""
+    return "\n".join([pack_line(x) for l in text.split("\n") if (x := l.strip())])
+
+
+def words_of(packed: str) -> tuple[set[str], set[str]]:
+    """(words, words that stand in lower case) of a packed text; digits do not count."""
+    seen = {t for t in set(packed.replace("\n", " ").split(" ")) if t and not t[0].isdigit()}
+    seen.discard(_WIDE_MARK)
     once = {t.lower() for t in seen}
     return once, once & seen
 
@@ -120,7 +133,6 @@ class Keyed:
     """The lines of one page: ``cross`` and ``within`` are the keys of their templates, across sites
     and within one; ``counts`` and ``own`` tell which of them count."""
 
-    own_lines: list[str]
     toks: list[list[str]]
     cross: list[int]
     within: list[int]
@@ -146,20 +158,22 @@ def site_keys(site: str | None, toks: list[list[str]]) -> list[int]:
     return [xxhash.xxh3_64_intdigest((head + _digits("0", " ".join(t))).encode("utf-8", "replace")) - (1 << 63) for t in toks]
 
 
-def keyed(site: str | None, title: str | None, text: str, words: dict[str, int]) -> Keyed:
-    """The keys of a restored text's lines; ``words`` are those that templates keep."""
-    own = [x for l in text.split("\n") if (x := l.strip())]
-    toks = [tokens(l) for l in own]
+def keyed(site: str | None, title: str | None, packed: str, words: dict[str, int]) -> Keyed:
+    """The keys of a restored and packed text's lines; ``words`` are those that templates keep."""
+    lines = packed.split("\n") if packed else []
+    toks = [l.split(" ") for l in packed.lower().split("\n")] if packed else []
+    wide = [t[-1] == _WIDE_MARK for t in toks]
+    toks = [t[:-1] if w else t for t, w in zip(toks, wide)]
     get = words.get
     keys = [tuple([get(t) or (1 if t[0].isdigit() else 0) for t in l]) for l in toks]
-    long = [is_long(t, l) for t, l in zip(toks, own)]
+    long = [w and len(t) >= 14 for t, w in zip(toks, wide)]
     # long text besides the line itself
     hosted = int(sum(len(t) for t, lg in zip(toks, long) if lg) >= 60)
-    title = title.strip() if title else None
-    after = own.index(title) + 1 if title in own else None
-    start = hash(keys[after][:2]) if after is not None and after < len(own) and max(keys[after][:2], default=0) > 1 else None
+    title = pack_line(title.strip()) if title else None
+    after = lines.index(title) + 1 if title and title in lines else None
+    start = hash(keys[after][:2]) if after is not None and after < len(lines) and max(keys[after][:2], default=0) > 1 else None
     return Keyed(
-        own, toks, [hash(k) for k in keys], site_keys(site, toks), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
+        toks, [hash(k) for k in keys], site_keys(site, toks), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
         [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start,
     )
 
@@ -193,6 +207,8 @@ class Corpus:
     within: dict[int, int]
     heads: set[int]
     starts: set[int]
+    #: The sample's pages, if their keys are known already.
+    docs: list[Keyed] | None = None
 
 
 def fit(records: list[tuple[str | None, str | None, str]], corpus: Corpus) -> BodyModel:
@@ -200,7 +216,7 @@ def fit(records: list[tuple[str | None, str | None, str]], corpus: Corpus) -> Bo
     corpus shows of their lines. Empty: no furniture."""
     if not records:
         return BodyModel()
-    docs = [keyed(*r, corpus.words) for r in records]
+    docs = corpus.docs if corpus.docs is not None else [keyed(site, title, pack(text), corpus.words) for site, title, text in records]
     state = [[corpus.cross.get(c) or corpus.within.get(f, 0) for c, f in zip(d.cross, d.within)] for d in docs]
     keys = [[c if c in corpus.cross else f for c, f in zip(d.cross, d.within)] for d in docs]
     long = [[lg and s != 1 for lg, s in zip(d.long, st)] for d, st in zip(docs, state)]
@@ -231,7 +247,7 @@ def fit(records: list[tuple[str | None, str | None, str]], corpus: Corpus) -> Bo
             elif i == doc.after and doc.start in corpus.starts:
                 y[d][i] = 1.0
     lines = [t for d in docs for t in d.toks]
-    ends = [bool(_END.search(l)) for d in docs for l in d.own_lines]
+    ends = [bool(_END.search(l)) for _, _, text in records for l in text.split("\n") if l.strip()]
     label = np.array([v for row in y for v in row])
     slots, rows = _features(lines, ends, corpus.words)
     use = label != 0

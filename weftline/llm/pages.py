@@ -24,7 +24,7 @@ from .repeats import site_of
 SAMPLE_BYTES = 30_000
 #: Bytes of a short text.
 SHORT_BYTES = 1000
-_STAGED = "row bigint, key bigint, site string, title string, whole string, text string, marks binary, place bigint, hint boolean"
+_STAGED = "row bigint, key bigint, site string, title string, packed string, whole string, text string, marks binary, place bigint, hint boolean"
 
 
 def stretch(text: str, place: int, most: int = SAMPLE_BYTES) -> str:
@@ -60,11 +60,13 @@ class Judge:
             F.coalesce(hinted(records) if hint is None else hint, F.lit(False)).alias("hint"),
         )
         self.staged = stage(own.mapInArrow(_restore(shared, text == whole), _STAGED))
-        pages = self.staged.where(filled("whole")).select("row", "site", "title", F.col("whole").alias("t"))
+        # Where the whole text is the one that is judged, it is there once.
+        raw = "text" if text == whole else "whole"
+        pages = self.staged.where(filled("packed")).select("row", "site", "title", F.col("packed").alias("t"))
         rows = pages.count()
         # Records with the least hashes: the share that gives about twice SAMPLE, and the first of them.
         bound = 2**31 if rows <= body.SAMPLE else int(2**32 * body.SAMPLE / rows)
-        picked = self.staged.where(filled("whole") & (F.col("place") < bound)).select("place", "row", "site", "title", "whole")
+        picked = self.staged.where(filled("packed") & (F.col("place") < bound)).select("place", "row", "site", "title", F.col(raw).alias("whole"))
         sample = picked.mapInArrow(_stretches, picked.schema).orderBy("place", "row").limit(body.SAMPLE).collect()
         self.sample = [(r.site, r.title, r.whole) for r in sample]
         corpus, self.repeated = templates.count(pages, rows, self.sample)
@@ -151,18 +153,20 @@ def _restore(pairs, same: bool):
                         more = [l for l in dict.fromkeys((t or "").split("\n")) if l not in seen]
                         joined.append("\n".join([w or "", *more]))
                 fixed = encoding.repair_texts(joined, pairs.value)
-                wholes, texts, marks = [], [], []
+                packed, wholes, texts, marks = [], [], [], []
                 for w, t, j, lines in zip(whole, text, joined, fixed):
                     n = w.count("\n") + 1 if w else 0
-                    wholes.append("\n".join(x[0] for x in lines[:n]) if w else w)
+                    restored = "\n".join(x[0] for x in lines[:n]) if w else w
+                    packed.append(body.pack(restored) if w else w)
+                    wholes.append(None if same else restored)
                     if not same:
                         by = dict(zip(j.split("\n"), lines))
                         lines = [by[l] for l in t.split("\n")] if t else []
                     texts.append("\n".join(x[0] for x in lines) if t else t)
                     marks.append(bytes([d + 2 * k for _, d, k in lines]) if t else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
-                    names=["row", "key", "site", "title", "whole", "text", "marks", "place", "hint"],
+                    [*part.columns[:4], pa.array(packed, pa.string()), pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
+                    names=["row", "key", "site", "title", "packed", "whole", "text", "marks", "place", "hint"],
                 )
 
     return run

@@ -39,7 +39,7 @@ def _portions(batches):
 
 
 def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
-    """The words that templates keep, numbered from 2. pages: (row, site, title, text), restored."""
+    """The words that templates keep, numbered from 2. pages: (row, site, title, text), restored and packed."""
 
     def run(batches):
         n, plain, capital = Counter(), Counter(), Counter()
@@ -136,7 +136,7 @@ def _runs(batches):
 
 
 def count(pages: DataFrame, rows: int, sample: list[tuple]) -> tuple[body.Corpus, DataFrame]:
-    """The statistics of all ``pages`` (row, site, title, text), texts restored, as far as the
+    """The statistics of all ``pages`` (row, site, title, text), texts restored and packed, as far as the
     sample's lines need them; and (row, keys): for each page the keys of those of its lines that
     are its site's own furniture by count."""
     spark = pages.sparkSession
@@ -150,7 +150,7 @@ def count(pages: DataFrame, rows: int, sample: list[tuple]) -> tuple[body.Corpus
     own = F.collect_set(F.when(F.col("sf") == 1, F.col("f"))).alias("keys")
     whole = cut(each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines"), own))
     found = cut(whole.select("after", "start", "lines").mapInArrow(_runs, "kind int, key bigint, below bigint, follows bigint").groupBy("kind", "key").agg(F.sum("below").alias("below"), F.sum("follows").alias("follows")))
-    keyed = [body.keyed(*x, words) for x in sample]
+    keyed = [body.keyed(site, title, body.pack(text), words) for site, title, text in sample]
     mine_ = sorted({v for k in keyed for v in (*k.cross, *k.within, k.start) if v is not None})
     asked = spark.createDataFrame(pa.table({"key": pa.array(mine_, pa.int64())}))
     mine = lambda df, key: df.join(F.broadcast(asked.withColumnRenamed("key", key)), key, "left_semi").collect()
@@ -158,4 +158,4 @@ def count(pages: DataFrame, rows: int, sample: list[tuple]) -> tuple[body.Corpus
     site_state = {r.f: r.s for r in mine(within, "f")}
     heads = {r.key for r in mine(found.where("kind = 0 and follows > 0 and follows >= 0.5 * below"), "key")}
     starts = {r.key for r in mine(found.where((F.col("kind") == 1) & (F.col("below") >= 2 * max(body.MANY, body.MANY_SHARE * rows))), "key")}
-    return body.Corpus(words, state, site_state, heads, starts), whole.select("row", "keys")
+    return body.Corpus(words, state, site_state, heads, starts, keyed), whole.select("row", "keys")
