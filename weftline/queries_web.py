@@ -92,8 +92,11 @@ def surt_prefix_scan(spark, d):
 _TRAP = f"""CASE WHEN length(url) > 2000 THEN 'url_too_long' WHEN len({_SEGS}) > 12 THEN 'path_too_deep'
  WHEN list_max(list_transform(list_distinct({_SEGS}), lambda x: len(list_filter({_SEGS}, lambda y: y = x)))) > 3 THEN 'repeated_segment'
  WHEN {_part('url', 4)} <> '' AND len(string_split({_part('url', 4)}, '&')) > 12 THEN 'too_many_params' END"""
-#: Addresses under a directory are one shape here, so that the budget binds.
-_FOUND = f"""found AS (SELECT min(ord) AS ord, regexp_replace(url, '[^/]+$', '') || (min(ord) % 100) AS url FROM page WHERE url IS NOT NULL GROUP BY url),
+#: Addresses of a crawl into traps: some of them deep, with a segment that comes back, with many
+#: parameters or very long; the others under a directory are one shape, so that the budget binds.
+_DEEP, _AGAIN, _MANY = "/".join(f"d{i}" for i in range(13)), "/".join(["same"] * 4), "&".join(f"p{i}={i}" for i in range(13))
+_FOUND = f"""found0 AS (SELECT min(ord) AS ord, url AS u FROM page WHERE url IS NOT NULL GROUP BY url),
+ found AS (SELECT ord, regexp_replace(u, '[^/]+$', '') || CASE ord % 20 WHEN 1 THEN '{_DEEP}' WHEN 2 THEN '{_AGAIN}' WHEN 3 THEN 'list?{_MANY}' WHEN 4 THEN repeat('long', 500) ELSE CAST(ord % 100 AS VARCHAR) END AS url FROM found0),
  own AS (SELECT ord, url, {_TRAP} AS r, {_SHAPE} AS s FROM found),
  num AS (SELECT ord, url, r, s, row_number() OVER (PARTITION BY s, r IS NULL ORDER BY ord, url) AS k FROM own),
  adm AS (SELECT ord, url, coalesce(r, CASE WHEN k > 5 THEN 'shape_budget' END) AS reason FROM num)"""
@@ -101,7 +104,9 @@ _FOUND = f"""found AS (SELECT min(ord) AS ord, regexp_replace(url, '[^/]+$', '')
 
 def _found(spark, d):
     first = table(spark, d, "page").where(F.col("url").isNotNull()).groupBy("url").agg(F.min("ord").alias("ord"))
-    return first.select("ord", F.concat(F.regexp_replace("url", "[^/]+$", ""), F.pmod("ord", F.lit(100)).cast("string")).alias("url"))
+    k = F.pmod("ord", F.lit(20))
+    tail = F.when(k == 1, _DEEP).when(k == 2, _AGAIN).when(k == 3, f"list?{_MANY}").when(k == 4, "long" * 500).otherwise(F.pmod("ord", F.lit(100)).cast("string"))
+    return first.select("ord", F.concat(F.regexp_replace("url", "[^/]+$", ""), tail).alias("url"))
 
 
 @query(f"WITH {_FOUND} SELECT ord, url, reason FROM adm")
@@ -237,19 +242,32 @@ def redirect_targets(spark, d):
     return FN.resolve_redirects(hops)
 
 
-SITEMAPS = {
-    "http://maps.example/main.xml": "<sitemapindex xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><sitemap><loc>http://maps.example/a.xml</loc></sitemap><sitemap><loc> http://maps.example/main.xml </loc></sitemap><sitemap><loc>http://maps.example/broken.xml</loc></sitemap></sitemapindex>",
-    "http://maps.example/a.xml": "<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc>http://h.example/1</loc><lastmod>2026-01-02</lastmod></url><url><loc>http://h.example/2</loc></url></urlset>",
-    "http://maps.example/broken.xml": "<urlset><url><loc>http://h.example/3</loc>",
-}
-
-
-@query("SELECT * FROM (VALUES ('http://h.example/1', '2026-01-02'), ('http://h.example/2', NULL)) t(url, lastmod)")
+def _sitemap_files(spark, d):
+    """(url, body): for each host an index, which names itself and one that is broken too, and sitemaps of a
+    part of its pages each, with the day of their last fetch."""
+    p = table(spark, d, "page").where(F.col("url").isNotNull()).groupBy("url").agg(F.max("fetched_at").alias("at"))
+    host, part = U.authority(F.col("url")), F.pmod(F.xxhash64("url"), F.lit(16))
+    safe = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    mod = F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format("at", "yyyy-MM-dd"), F.lit("</lastmod>")), F.lit(""))
+    entry = F.concat(F.lit("<url><loc> "), safe, F.lit(" </loc>"), mod, F.lit("</url>"))
+    name = F.concat(F.lit("http://"), host, F.lit("/sitemap-"), part.cast("string"), F.lit(".xml"))
+    ns = "xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'"
+    wrap = lambda tag, items: F.concat(F.lit(f"<{tag} {ns}>"), F.array_join(F.collect_list(items), ""), F.lit(f"</{tag}>"))
+    maps = p.select(host.alias("host"), name.alias("url"), entry.alias("e")).groupBy("host", "url").agg(wrap("urlset", F.col("e")).alias("body"))
+    at = lambda c: F.concat(F.lit("<sitemap><loc>"), c, F.lit("</loc></sitemap>"))
+    index = F.concat(F.lit("http://"), "host", F.lit("/sitemap.xml"))
+    own = maps.groupBy("host").agg(wrap("sitemapindex", at(F.col("url"))).alias("b"))
+    more = F.concat(at(index), at(F.concat(F.lit("http://"), "host", F.lit("/broken.xml"))), F.lit("</sitemapindex>"))
+    heads = own.select(index.alias("url"), F.concat(F.substring_index("b", "</sitemapindex>", 1), more).alias("body"))
+    broken = own.select(F.concat(F.lit("http://"), "host", F.lit("/broken.xml")).alias("url"), F.lit("<urlset><url><loc>http://no.example/").alias("body"))
+    return maps.select("url", "body").unionByName(heads).unionByName(broken)
+
+
+@query("SELECT url, strftime(max(fetched_at), '%Y-%m-%d') AS lastmod FROM page WHERE url IS NOT NULL GROUP BY url")
 def sitemap_expand(spark, d):
-    rules = FN.robots_rules(_robots(spark, d).where("status = 200"), AGENT)
-    seeds = rules.select(F.explode("sitemaps").alias("url")).distinct()
-    files = spark.createDataFrame(sorted(SITEMAPS.items()), "url string, body string")
-    return FN.expand_sitemaps(seeds, files)
+    """All pages by the sitemaps of their hosts."""
+    files = cut(_sitemap_files(spark, d))
+    return FN.expand_sitemaps(files.where("url like '%/sitemap.xml'").select("url"), files)
 
 
 # -- duplicates ----------------------------------------------------------------
@@ -531,23 +549,16 @@ def page_markdown(spark, d):
     return _html(spark, d).select("ord", html.to_markdown("body", "url", F.lit("text/html")).alias("markdown"))
 
 
-@query("SELECT ord, CASE WHEN ord % 2 = 0 THEN 'utf-8' ELSE 'windows-1252' END AS encoding, CASE WHEN ord % 2 = 0 THEN 'utf-8 decoded cleanly' ELSE 'fallback' END AS source FROM extracted")
-def charset_detect(spark, d):
-    from .functions import charset
-
-    e = table(spark, d, "extracted").select("ord", F.concat(F.lit("p ").cast("binary"), F.when(F.pmod("ord", F.lit(2)) == 0, F.unhex(F.lit("C3A9"))).otherwise(F.unhex(F.lit("E9")))).alias("body"))
-    return e.select("ord", charset.decoded("body", F.lit("text/html; charset=utf-8x")).alias("x")).select("ord", "x.encoding", "x.source")
-
-
 def _encoded(spark, d):
-    """(ord, text, sent, kind, body, content_type): whole texts in several encodings; the text's hash chooses.
+    """(ord, text, sent, kind, body, content_type): whole texts in several encodings, by turns.
 
     kind: 0 bare UTF-8, 1 to 4 with a mark (UTF-8, UTF-16 of both orders, UTF-32), 5 UTF-8 by header,
     6 UTF-8 by meta tag, 7 ISO 8859-1 by header, 8 the same bytes with a header that names nothing.
-    A text that ISO 8859-1 cannot hold is UTF-8 there. ``sent`` is the text with its meta tag.
+    A text that ISO 8859-1 cannot hold is UTF-8 there, and so is one whose bytes then look like UTF-8.
+    ``sent`` is the text with its meta tag.
     """
-    e = table(spark, d, "extracted").where("text is not null").select("ord", "text", F.pmod(F.xxhash64("text"), F.lit(9)).cast("int").alias("kind"))
-    k, narrow = F.col("kind"), ~F.col("text").rlike("[^\\x00-\\xff]")
+    e = table(spark, d, "extracted").where("text is not null").select("ord", "text", F.pmod("ord", F.lit(9)).cast("int").alias("kind"))
+    k, narrow = F.col("kind"), ~F.col("text").rlike("[^\\x00-\\xff]|[\\xc2-\\xf4][\\x80-\\xbf]")
     e = e.withColumn("kind", F.when((k >= 7) & ~narrow, 5).otherwise(k))
     e = e.withColumn("sent", F.when(k == 6, F.concat(F.lit('<html><meta charset="utf-8">'), "text")).otherwise(F.col("text")))
     mark = lambda h, c: F.concat(F.unhex(F.lit(h)), F.encode("sent", c))
@@ -559,12 +570,20 @@ def _encoded(spark, d):
     return e.select("ord", "text", "sent", "kind", body.alias("body"), header.alias("content_type"))
 
 
-@query()
+#: What windows-1252 makes of the bytes between 0x80 and 0x9f.
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("windows-1252", "replace")
+
+
+@query(f"""WITH e AS (SELECT ord, text, CAST(ord % 9 AS INTEGER) AS k, NOT regexp_matches(text, '[^\\x00-\\x{{ff}}]|[\\x{{c2}}-\\x{{f4}}][\\x{{80}}-\\x{{bf}}]') AS narrow, regexp_full_match(text, '(?s)[\\x00-\\x7f]*') AS plain FROM extracted WHERE text IS NOT NULL),
+ s AS (SELECT ord, text, CASE WHEN k >= 7 AND NOT narrow THEN 5 ELSE k END AS k, plain FROM e)
+ SELECT ord, CASE k WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16-le' WHEN 3 THEN 'utf-16-be' WHEN 4 THEN 'utf-32-be' WHEN 7 THEN 'iso-8859-1' WHEN 8 THEN CASE WHEN plain THEN 'utf-8' ELSE 'windows-1252' END ELSE 'utf-8' END AS encoding,
+  CASE WHEN k BETWEEN 1 AND 4 THEN 'bom' WHEN k IN (5, 7) THEN 'http header' WHEN k = 6 THEN 'meta tag' WHEN k = 8 AND NOT plain THEN 'fallback' ELSE 'utf-8 decoded cleanly' END AS source,
+  CASE WHEN k = 6 THEN '<html><meta charset="utf-8">' || text WHEN k IN (2, 3, 4) THEN chr(65279) || text WHEN k = 8 AND NOT plain THEN translate(text, array_to_string(list_transform(range(128, 160), lambda i: chr(CAST(i AS INTEGER))), ''), '{_WINDOWS}') ELSE text END AS text FROM s""")
 def charset_texts(spark, d):
     """Whole texts of the records, encoded in several ways and decoded again."""
     from .functions import charset
 
-    e = _encoded(spark, d).select("ord", charset.decoded("body", "content_type").alias("x"))
+    e = _encoded(spark, d).select("ord", charset.decoded_body(F.col("body"), F.col("content_type")).alias("x"))
     return e.select("ord", "x.encoding", "x.source", "x.text")
 
 
