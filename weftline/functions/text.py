@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType
 
 TERM = "[\\p{L}\\p{N}]+(?:['’][\\p{L}\\p{N}]+)*"
@@ -139,28 +140,57 @@ def simhash(hashes: Column) -> Column:
 _word = re.compile(r"\w+").findall
 
 
-@arrow_udf(LongType())
-def simhash_exact(text: pa.Array) -> pa.Array:
-    """64-bit fingerprint by BLAKE2b over 4-word shingles of the lower-cased words; null if none.
+def word_runs(text: str | None) -> tuple[int, list[str]]:
+    """(number of words, all runs of SHINGLE words in order) of the lower-cased text."""
+    w = _word(text.lower()) if text else []
+    return len(w), [" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))] if w else []
+
+
+def fingerprints(runs: list[list[str]], digest) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, whether there is none) of the runs of each record, repeats counted.
 
     The hashes of a batch are unpacked to bits once, and summed by record.
     """
-    runs = []
-    for t in text.to_pylist():
-        w = _word(t.lower()) if t else []
-        runs.append([" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))] if w else [])
     n = np.array([len(r) for r in runs], "i8")
     out = np.zeros(len(runs), ">u8")
     some = np.flatnonzero(n)
     starts = np.concatenate([[0], np.cumsum(n[some])])
-    step = max(1, len(some) // max(1, int(starts[-1]) // 200_000))
+    step = max(1, int(len(some) * 200_000 // max(1, int(starts[-1]))))
     for k in range(0, len(some), step):  # bits of some hundred thousand hashes at a time
         part = some[k : k + step]
-        own = b"".join(hashlib.blake2b(r.encode("utf-8", "replace"), digest_size=8).digest() for i in part for r in runs[i])
+        own = b"".join([digest(r.encode("utf-8", "replace")) for i in part for r in runs[i]])
         bits = np.unpackbits(np.frombuffer(own, "u1").reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, starts[k : k + len(part)] - starts[k], axis=0, dtype="i8")
         out[part] = np.packbits(2 * ones > n[part, None], axis=1).view(">u8")[:, 0]
-    return pa.array(out.astype("i8"), pa.int64(), mask=n == 0)
+    return out.astype("u8").view("i8"), n == 0
+
+
+def _md5(raw: bytes) -> bytes:
+    return hashlib.md5(raw, usedforsecurity=False).digest()[:8]
+
+
+def _blake(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=8).digest()
+
+
+@arrow_udf(LongType())
+def simhash_exact(text: pa.Array) -> pa.Array:
+    """64-bit fingerprint by BLAKE2b over 4-word shingles of the lower-cased words; null if none."""
+    out, none = fingerprints([word_runs(t)[1] for t in text.to_pylist()], _blake)
+    return pa.array(out, pa.int64(), mask=none)
+
+
+MEASURES = pa.struct([("n_words", pa.int32()), ("n_shingles", pa.int32()), ("fp", pa.int64())])
+
+
+@arrow_udf(from_arrow_type(MEASURES))
+def measures(text: pa.Array) -> pa.Array:
+    """(words, distinct shingles, 64-bit fingerprint by MD5 over all shingles; null if none), in one pass."""
+    n, runs = zip(*map(word_runs, text.to_pylist())) if len(text) else ((), ())
+    fp, none = fingerprints(list(runs), _md5)
+    return pa.StructArray.from_arrays(
+        [pa.array(n, pa.int32()), pa.array([len(set(r)) for r in runs], pa.int32()), pa.array(fp, pa.int64(), mask=none)], fields=list(MEASURES)
+    )
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -30,13 +30,12 @@ LEAST_WORDS, LEAST_SHINGLES, RADIUS = 25, 20, 6
 
 
 def measured(records: DataFrame) -> DataFrame:
-    """(ord, url, content_hash, n_words, n_shingles): per record; null text counts as empty."""
-    w = T.words(F.col("text"))
-    return (
-        records.select("ord", "url", "text", w.alias("_w"))
-        .withColumn("_s", T.shingles(F.col("_w")))
-        .select("ord", "url", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.size("_w").alias("n_words"), F.size(F.array_distinct("_s")).alias("n_shingles"))
-    )
+    """(ord, url, content_hash, n_words, n_shingles, fp): per record; null text counts as empty.
+
+    fp is the fingerprint by MD5 of all shingles, repeats counted; null where there is none.
+    """
+    m = records.select("ord", "url", T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), T.measures("text").alias("m"))
+    return m.select("ord", "url", "content_hash", "m.*")
 
 
 def eligible(measures: DataFrame) -> DataFrame:
@@ -44,22 +43,8 @@ def eligible(measures: DataFrame) -> DataFrame:
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """(ord, fp): fingerprints by MD5 of all shingles of ``text``, repeats counted.
-
-    Each shingle is one row with its hash; 32 sums of two bits each, 32 places apart, count the
-    votes of all 64 bits, so the work stays in generated code and a record shuffles as one row.
-    """
-    each = records.select("ord", F.explode(T.shingles(T.words(F.col("text")))).alias("s")).select("ord", T.hash64(F.col("s")).alias("h"))
-    mask = F.lit((1 << 32) | 1)
-    lanes = [F.sum(F.call_function("shiftrightunsigned", F.col("h"), F.lit(k)).bitwiseAND(mask)).alias(f"_v{k}") for k in range(32)]
-    votes = each.groupBy("ord").agg(F.count(F.lit(1)).alias("_n"), *lanes)
-    fp: Column = F.lit(0).cast("bigint")
-    for k in range(32):
-        low, high = F.col(f"_v{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.call_function("shiftrightunsigned", F.col(f"_v{k}"), F.lit(32))
-        for bit, ones in ((k, low), (k + 32, high)):
-            value = (1 << bit) if bit < 63 else -(1 << 63)
-            fp = fp + F.when(ones * 2 > F.col("_n"), F.lit(value)).otherwise(F.lit(0).cast("bigint"))
-    return votes.select("ord", fp.alias("fp"))
+    """(ord, fp): fingerprints by MD5 of all shingles of ``text``; records without words have none."""
+    return records.select("ord", T.measures("text").alias("m")).select("ord", "m.fp").where("fp is not null")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -134,9 +119,9 @@ def verdicts(records: DataFrame, prints: DataFrame | None = None) -> DataFrame:
         "ord", "url", F.when(F.col("url").eqNullSafe(F.col("furl")), "already_seen").otherwise("exact_duplicate").alias("verdict"),
         F.col("furl").alias("duplicate_of"), F.lit(None).cast("int").alias("distance"),
     )
-    holders = cut(seen.where("ord = ford").select("ord", "url", "n_words", "n_shingles"))
-    able = eligible(holders).select("ord")
-    fp = prints.join(able, "ord", "left_semi") if prints is not None else fingerprints(rest.join(able, "ord", "left_semi"))
+    holders = cut(seen.where("ord = ford").select("ord", "url", "n_words", "n_shingles", "fp"))
+    able = eligible(holders).select("ord", "fp")
+    fp = able if prints is None else prints.join(able.select("ord"), "ord", "left_semi")
     cls_ = cut(classes(fp))
     pairs = cut(near_pairs(cls_.select("ord", "fp")))
     state = kept_first(pairs)

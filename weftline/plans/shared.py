@@ -90,6 +90,15 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is scanned by fewer tasks than there are.
+
+    For costly work per row over files of few row groups; a table of many files is left as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.toJavaRDD().getNumPartitions() < n else df
+
+
 def local_path(uri: str) -> str:
     return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else os.fspath(uri)
 

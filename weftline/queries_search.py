@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from .operators import search as S
-from .plans.shared import table
+from .plans.shared import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -78,7 +78,7 @@ _SUM = "scored AS (SELECT query_id, doc_id, sum(part) AS score FROM parts GROUP
 
 
 def _index(spark, d):
-    return S.Index(table(spark, d, "documents"))
+    return S.Index(spread(table(spark, d, "documents")))
 
 
 def _titles(spark, d):

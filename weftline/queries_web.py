@@ -12,7 +12,7 @@ from .operators import crawl as C
 from .operators import dedup as D
 from .operators import freshness as FR
 from .operators import frontier as FN
-from .plans.shared import cut, table
+from .plans.shared import cut, spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -149,12 +149,13 @@ _HOSTS = f"""e AS (SELECT DISTINCT regexp_extract(url, {_SPLIT}, 2) AS src, rege
  s AS (SELECT min(regexp_extract(url, {_SPLIT}, 2)) AS node FROM extracted)"""
 
 
-@query(f"""WITH RECURSIVE {_HOSTS}, r(node, depth) AS (SELECT node, 0 FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4)
+@query(f"""WITH RECURSIVE {_HOSTS}, r(node, depth) AS (SELECT node, 0 FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 40)
  SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def bfs_levels(spark, d):
+    """Levels of all hosts from the first one, to the end of the graph."""
     x = table(spark, d, "extracted")
     edges = x.select(U.authority(F.col("url")).alias("src"), F.explode("links").alias("l")).select("src", U.authority(F.col("l")).alias("dst")).distinct()
-    return FN.levels(edges, x.agg(F.min(U.authority(F.col("url"))).alias("node")), 4)
+    return FN.levels(edges, x.agg(F.min(U.authority(F.col("url"))).alias("node")), None)
 
 
 @query()
@@ -279,7 +280,7 @@ _MEASURE = f"""m0 AS (SELECT ord, url, main_text, canonical, sha256(trim(regexp_
 
 
 def _records(spark, d):
-    return table(spark, d, "extracted").select("ord", "url", F.col("main_text").alias("text"), "canonical")
+    return spread(table(spark, d, "extracted")).select("ord", "url", F.col("main_text").alias("text"), "canonical")
 
 
 @query(f"WITH {_MEASURE} SELECT ord, content_hash FROM m")
@@ -289,7 +290,7 @@ def content_hash(spark, d):
 
 @query(f"WITH {_MEASURE} SELECT ord, url, content_hash, len(w)::INTEGER AS n_words, len(list_distinct(s))::INTEGER AS n_shingles FROM m")
 def shingle_counts(spark, d):
-    return D.measured(_records(spark, d))
+    return D.measured(_records(spark, d)).drop("fp")
 
 
 @query(f"WITH {_MEASURE} SELECT ord FROM m WHERE len(w) >= 25 AND len(list_distinct(s)) >= 20")
@@ -309,15 +310,14 @@ _PRINTS = f"""{_MEASURE}, sh AS (SELECT ord, ('0x' || substr(md5(x), 1, 16))::UB
 
 @query(f"WITH {_PRINTS} SELECT ord, CASE WHEN fp >= 9223372036854775808 THEN (fp::HUGEINT - 18446744073709551616)::BIGINT ELSE fp::BIGINT END AS fp FROM fp")
 def simhash_md5(spark, d):
-    return D.fingerprints(_records(spark, d).where(F.size(T.words(F.col("text"))) > 0))
+    return D.fingerprints(_records(spark, d))
 
 
 _ABLE = "able AS (SELECT f.ord, f.fp FROM fp f JOIN m ON f.ord = m.ord WHERE len(m.w) >= 25 AND len(list_distinct(m.s)) >= 20)"
 
 
 def _able(spark, d):
-    r = _records(spark, d)
-    return D.fingerprints(r.join(D.eligible(D.measured(r)).select("ord"), "ord", "left_semi"))
+    return D.eligible(D.measured(_records(spark, d))).select("ord", "fp")
 
 
 _HEADS = f"{_PRINTS}, {_ABLE}, heads AS (SELECT min(ord) AS ord, fp FROM able GROUP BY fp)"
@@ -511,7 +511,7 @@ def revalidation_headers(spark, d):
 def _html(spark, d):
     """Pages written from the extracted records, with furniture around the text."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    e = table(spark, d, "extracted")
+    e = spread(table(spark, d, "extracted"))
     title, main = esc(F.coalesce("title", F.lit(""))), esc(F.coalesce("main_text", F.lit("")))
     anchors = F.array_join(F.transform("links", lambda u: F.concat(F.lit('<a href="'), esc(u), F.lit('#x">l</a>'))), " ")
     canonical = F.when(F.col("canonical").isNotNull(), F.concat(F.lit('<link rel="canonical" href="'), esc(F.col("canonical")), F.lit('">'))).otherwise("")
