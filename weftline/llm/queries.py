@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import table
+from ..plans.shared import spread, table
 from . import mixture, neardup, pages, pieces, repeats, residue, spam, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,17 +68,17 @@ def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(table(spark, sf_dir, "documents"))
+    return tokens.encode(spread(table(spark, sf_dir, "documents")))
 
 
 @query()
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).taken()
+    return mixture.Mixture(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")).taken()
 
 
 @query()
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+    return mixture.Mixture(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")).shares()
 
 
 @query("""WITH here AS (SELECT source, count(*) AS n FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY source)
@@ -87,7 +87,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source: whether its repeats stay within the cap, no document has two copies more than
     another, and its share is met (to less than one document; null where it has none or no share)."""
-    mix = mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    mix = mixture.Mixture(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
     every = mix.sized.select("source", "doc_id").join(mix.taken().groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")), ["source", "doc_id"], "left")
     copies = every.groupBy("source").agg(F.max(F.coalesce("n", F.lit(0))).alias("hi"), F.min(F.coalesce("n", F.lit(0))).alias("lo"))
     cap = spark.createDataFrame([(s, c, float(mix.quotas.get(s, 0.0))) for s, (_, c) in mix.targets.items()], "source string, cap int, quota double")
@@ -103,12 +103,12 @@ def p9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.pieces(table(spark, sf_dir, "documents"), with_text=False).where("piece_no = 1").select("doc_id")
+    return pieces.pieces(spread(table(spark, sf_dir, "documents")), with_text=False).where("piece_no = 1").select("doc_id")
 
 
 @query()
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.pieces(table(spark, sf_dir, "documents"))
+    return pieces.pieces(spread(table(spark, sf_dir, "documents")))
 
 
 _NEAR = r"""w AS (SELECT ord, regexp_extract_all(lower(main_text), '[\p{L}\p{N}_]+') AS w FROM extracted WHERE main_text IS NOT NULL),
@@ -135,31 +135,31 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.damaged_records(table(spark, sf_dir, "extracted"))
+    return pages.damaged_records(spread(table(spark, sf_dir, "extracted")))
 
 
 @query()
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.restored_lines(table(spark, sf_dir, "extracted"))
+    return pages.restored_lines(spread(table(spark, sf_dir, "extracted")))
 
 
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.dropped_lines(table(spark, sf_dir, "extracted"))
+    return pages.dropped_lines(spread(table(spark, sf_dir, "extracted")))
 
 
 @query()
 def p6_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.main_body(table(spark, sf_dir, "extracted"))
+    return pages.main_body(spread(table(spark, sf_dir, "extracted")))
 
 
 @query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, hint = pages.with_status(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
+    records, hint = pages.with_status(spread(table(spark, sf_dir, "extracted")), table(spark, sf_dir, "page"))
     return spam.found(pages.Judge(records, "main_text", hint=hint))
 
 
 @query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, hint = pages.with_status(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "page"))
+    records, hint = pages.with_status(spread(table(spark, sf_dir, "extracted")), table(spark, sf_dir, "page"))
     return residue.found(pages.Judge(records, "main_text", hint=hint))
