@@ -89,16 +89,25 @@ def _scores(slots: np.ndarray, rows: np.ndarray, n: int, *weights: np.ndarray) -
 
 def _fit(slots, rows, y, weight, steps: int = 60) -> np.ndarray:
     """Logistic regression by AdaGrad over all rows at once; weights are per slot."""
+    out = np.zeros(_SLOTS, "f4")
     n = len(y)
-    norm = 3 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    w, g2 = np.zeros(_SLOTS), np.full(_SLOTS, 1e-3)
+    if not len(slots):
+        return out
+    used, at = np.unique(slots, return_inverse=True)  # the weights of all others stay 0
+    order = np.argsort(rows, kind="stable")
+    at, rows = at[order], rows[order]
+    lines, first, size = np.unique(rows, return_index=True, return_counts=True)
+    norm, y, weight = 3 / np.sqrt(size), y[lines], weight[lines]
+    place = np.repeat(np.arange(len(lines)), size)
+    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-3)
     for _ in range(steps):
-        z = norm * np.bincount(rows, w[slots], n)
+        z = norm * np.add.reduceat(w[at], first)
         err = weight * (1 / (1 + np.exp(-z)) - y) * norm
-        g = np.bincount(slots, err[rows], _SLOTS) / n + 2e-7 * w
+        g = np.bincount(at, err[place], len(used)) / n + 2e-7 * w
         g2 += (g * 1e3) ** 2
         w -= 0.5 * g * 1e3 / np.sqrt(g2)
-    return w.astype("f4")
+    out[used] = w
+    return out
 
 
 def is_long(toks: list[str], line: str) -> bool:
@@ -367,21 +376,24 @@ def cut_page(cost: list[float], edges: list[tuple[int, int, float]]) -> list[boo
 SITE = 2.0
 
 
-def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, support: list[tuple[str | None, set[int]]] | None = None) -> list[list[tuple[str, bool, bool, bool]]]:
+def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, support: list[tuple[str | None, set[int]]] | None = None, packed: list[str] | None = None) -> list[list[tuple[str, bool, bool, bool]]]:
     """For each text its lines as (restored, damaged, whole, furniture); blank lines are content.
 
     ``support`` holds for each text its site and the keys of lines that are the site's own
-    furniture by count.
+    furniture by count, ``packed`` the packed text, if they are known.
     """
     out = [[(*x, False) for x in doc] for doc in docs]
     lines, ends, where = [], [], []
     for d, doc in enumerate(docs):
         for i, (l, _, _) in enumerate(doc):
             if l and not l.isspace():
-                lines.append(tokens(l))
+                if packed is None:
+                    lines.append(tokens(l))
                 ends.append(bool(_END.search(l)))
                 where.append((d, i))
-    if not lines:
+    if packed is not None:
+        lines = [t[:-1] if t[-1] == _WIDE_MARK else t for p in packed if p for t in [l.split(" ") for l in p.lower().split("\n")]]
+    if not where:
         return out
     slots, rows = _features(lines, ends, model.words)
     furn, head = _scores(slots, rows, len(lines), model.furniture, model.heading)

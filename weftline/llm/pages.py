@@ -24,7 +24,7 @@ from .repeats import site_of
 SAMPLE_BYTES = 30_000
 #: Bytes of a short text.
 SHORT_BYTES = 1000
-_STAGED = "row bigint, key bigint, site string, title string, packed string, whole string, text string, marks binary, place bigint, hint boolean"
+_STAGED = "row bigint, key bigint, site string, title string, packed string, whole string, text string, tokens string, marks binary, place bigint, hint boolean"
 
 
 def stretch(text: str, place: int, most: int = SAMPLE_BYTES) -> str:
@@ -61,7 +61,8 @@ class Judge:
         )
         self.staged = stage(own.mapInArrow(_restore(shared, text == whole), _STAGED))
         # Where the whole text is the one that is judged, it is there once.
-        raw = "text" if text == whole else "whole"
+        self.same = text == whole
+        raw = "text" if self.same else "whole"
         pages = self.staged.where(filled("packed")).select("row", "site", "title", F.col("packed").alias("t"))
         rows = pages.count()
         # Records with the least hashes: the share that gives about twice SAMPLE, and the first of them.
@@ -104,9 +105,9 @@ class Judge:
             model = models.value
             for b in batches:
                 for start, stop in encoding.portions(b.column(3)):
-                    keys, sites, titles, texts, marks, known = (c.to_pylist() for c in b.slice(start, stop - start).columns)
+                    keys, sites, titles, texts, tokens, marks, known = (c.to_pylist() for c in b.slice(start, stop - start).columns)
                     docs = [[(l, m & 1 == 1, m & 2 == 2) for l, m in zip(t.split("\n"), k)] for t, k in zip(texts, marks)]
-                    labelled = body.label_lines(docs, titles, model, [(s, set(x or ())) for s, x in zip(sites, known)])
+                    labelled = body.label_lines(docs, titles, model, [(s, set(x or ())) for s, x in zip(sites, known)], tokens)
                     rows = list(emit(keys, labelled)) if together else [r for k, lines in zip(keys, labelled) for r in emit(k, lines)]
                     yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows))} if rows else {n: [] for n in names}, schema=kinds)
 
@@ -115,7 +116,8 @@ class Judge:
         if only is not None:
             own = own.join(only.withColumnRenamed(self.key, "key"), "key", "left_semi")
         own = own.join(self.repeated.where(F.size("keys") > 0), "row", "left")
-        return own.select("key", "site", "title", "text", "marks", "keys").mapInArrow(run, schema)
+        packed = "packed" if self.same else "tokens"
+        return own.select("key", "site", "title", "text", packed, "marks", "keys").mapInArrow(run, schema)
 
 
 def hinted(records: DataFrame) -> Column:
@@ -153,7 +155,7 @@ def _restore(pairs, same: bool):
                         more = [l for l in dict.fromkeys((t or "").split("\n")) if l not in seen]
                         joined.append("\n".join([w or "", *more]))
                 fixed = encoding.repair_texts(joined, pairs.value)
-                packed, wholes, texts, marks = [], [], [], []
+                packed, wholes, texts, toks, marks = [], [], [], [], []
                 for w, t, j, lines in zip(whole, text, joined, fixed):
                     n = w.count("\n") + 1 if w else 0
                     restored = "\n".join(x[0] for x in lines[:n]) if w else w
@@ -163,10 +165,11 @@ def _restore(pairs, same: bool):
                         by = dict(zip(j.split("\n"), lines))
                         lines = [by[l] for l in t.split("\n")] if t else []
                     texts.append("\n".join(x[0] for x in lines) if t else t)
+                    toks.append(None if same or not t else body.pack(texts[-1]))
                     marks.append(bytes([d + 2 * k for _, d, k in lines]) if t else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array(packed, pa.string()), pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
-                    names=["row", "key", "site", "title", "packed", "whole", "text", "marks", "place", "hint"],
+                    [*part.columns[:4], pa.array(packed, pa.string()), pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(toks, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
+                    names=["row", "key", "site", "title", "packed", "whole", "text", "tokens", "marks", "place", "hint"],
                 )
 
     return run

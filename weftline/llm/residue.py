@@ -144,7 +144,7 @@ def seeds(words: list[str], prose: list[str], rng: random.Random) -> tuple[list[
 
 def is_sentence(toks: list[str]) -> bool:
     """Long, and words rather than signs."""
-    return len(toks) >= 14 and sum(t.isalpha() for t in toks) >= 0.75 * len(toks)
+    return len(toks) >= 14 and sum(map(str.isalpha, toks)) >= 0.75 * len(toks)
 
 
 #: Rounds of the parting; prior share of notices among short pages with and without a hint; and the
@@ -225,11 +225,9 @@ class ResidueModel:
         long = [x for page in pages for x in page if len(x) >= 36 and x not in told and is_sentence(tokens(x))]
         first = ResidueModel.fit(long, learned)
         clean = []
-        for page in pages:
-            s = [v for v in first.word_scores(page) if len(v)]
-            if not s:
+        for page, s in zip(pages, first.page_scores(pages)):
+            if not len(s):
                 continue
-            s = np.concatenate(s)
             holes = sum(len(_HOLE.findall(x)) for x in page)
             if (s.mean() < UNLIKE and 12 * holes < len(s)) if len(s) >= 40 else (s.mean() < PROSE and not holes):
                 clean += page
@@ -240,6 +238,14 @@ class ResidueModel:
         best, edge = self.windows(lines)
         return [best[edge[i] : edge[i + 1]] for i in range(len(lines))]
 
+    def page_scores(self, pages: list[list[str]]):
+        """Each page's words' ratios, for some pages at a time."""
+        for start in range(0, len(pages), 64):
+            part = pages[start : start + 64]
+            best, edge = self.windows([x for page in part for x in page])
+            ends = edge[np.cumsum([0, *map(len, part)])]
+            yield from (best[a:b] for a, b in zip(ends[:-1], ends[1:]))
+
     def windows(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(each word's ratio in its window, the words of all lines in a row; where each line starts)."""
         text = "\n".join(f" {plain(x)} " for x in lines)
