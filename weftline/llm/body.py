@@ -118,8 +118,25 @@ def is_long(toks: list[str], line: str) -> bool:
 WIDE, _WIDE_MARK = 36, "\x01"
 
 
+class _Packs(dict):
+    """Packed short lines, remembered: furniture comes again and again."""
+
+    def __missing__(self, line: str) -> str:
+        if len(self) >= 50_000:
+            self.clear()
+        out = self[line] = _pack_line(line)
+        return out
+
+
+_packs = _Packs()
+
+
 def pack_line(line: str) -> str:
     """A line's tokens as they are written, with spaces between."""
+    return _packs[line] if len(line) < 64 else _pack_line(line)
+
+
+def _pack_line(line: str) -> str:
     out = " ".join(_ascii_tokens(line) if line.isascii() else _any_tokens(line))
     return f"{out} {_WIDE_MARK}" if len(line) >= WIDE else out
 

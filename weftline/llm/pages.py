@@ -9,7 +9,6 @@ repeats at hand.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,14 +157,17 @@ def _restore(pairs, same: bool):
                 packed, wholes, texts, toks, marks = [], [], [], [], []
                 for w, t, j, lines in zip(whole, text, joined, fixed):
                     n = w.count("\n") + 1 if w else 0
-                    restored = "\n".join(x[0] for x in lines[:n]) if w else w
-                    packed.append(body.pack(restored) if w else w)
-                    wholes.append(None if same else restored)
+                    tokens = [body.pack_line(y) if (y := x[0].strip()) else "" for x in lines]
+                    packed.append("\n".join(filter(None, tokens[:n])) if w else w)
+                    wholes.append(None if same or not w else "\n".join(x[0] for x in lines[:n]))
                     if not same:
-                        by = dict(zip(j.split("\n"), lines))
-                        lines = [by[l] for l in t.split("\n")] if t else []
+                        by = dict(zip(j.split("\n"), zip(lines, tokens)))
+                        own = [by[l] for l in t.split("\n")] if t else []
+                        lines = [x for x, _ in own]
+                        toks.append("\n".join(filter(None, (k for _, k in own))) if t else None)
+                    else:
+                        toks.append(None)
                     texts.append("\n".join(x[0] for x in lines) if t else t)
-                    toks.append(None if same or not t else body.pack(texts[-1]))
                     marks.append(bytes([d + 2 * k for _, d, k in lines]) if t else None)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:4], pa.array(packed, pa.string()), pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(toks, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
