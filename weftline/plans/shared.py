@@ -68,7 +68,7 @@ def clean(spark: SparkSession) -> None:
 def stage(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table of the shared folder, for what is read several times by columns."""
     at = made(df.sparkSession, "tables")
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", "snappy").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
