@@ -131,23 +131,27 @@ def portions(column: pa.Array, most: int = PORTION, rows: int = 500):
         yield start, len(size)
 
 
-def count_pairs(texts: DataFrame, column: str) -> PairModel:
-    """The model of all texts of a column; counting is a sum with partial sums in each batch."""
+def count_pairs(texts: DataFrame, column: str) -> tuple[PairModel, int]:
+    """(the model of all texts of a column, the number of texts); counting is a sum with partial sums
+    in each batch."""
 
     def run(batches):
         for b in batches:
             for start, stop in portions(b.column(0), rows=5000):
-                text = "\n".join(t for t in b.column(0).slice(start, stop - start).to_pylist() if t)
-                codes, n = np.unique(pair_codes(text)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes.astype("i8")), pa.array(n.astype("i8"))], names=["pair", "n"])
+                own = [t for t in b.column(0).slice(start, stop - start).to_pylist() if t]
+                codes, n = np.unique(pair_codes("\n".join(own))[1], return_counts=True)
+                # -1 stands for the texts themselves.
+                codes, n = np.append(codes.astype("i8"), -1), np.append(n.astype("i8"), len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["pair", "n"])
 
     counts = texts.select(column).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     # As many rows as there are pairs of characters in use, whatever the number of texts.
     got = counts.toArrow()
-    model = PairModel(got["pair"].to_numpy().astype("u8"), got["n"].to_numpy(), f"pairs-{os.urandom(6).hex()}.bin")
+    pair, n = got["pair"].to_numpy(), got["n"].to_numpy()
+    model = PairModel(pair[pair >= 0].astype("u8"), n[pair >= 0], f"pairs-{os.urandom(6).hex()}.bin")
     spark = texts.sparkSession
     spark.sparkContext.addFile(put_file(spark, model.to_bytes(), model.file))
-    return model
+    return model, int(n[pair < 0].sum())
 
 
 def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:

@@ -51,21 +51,20 @@ class Judge:
         self.records, self.text, self.key = records, text, key
         spark = records.sparkSession
         filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-        self.pairs = encoding.count_pairs(records.where(filled(whole)), whole)
+        self.pairs, rows = encoding.count_pairs(records.where(filled(whole)), whole)
+        # Records with the least hashes: the share that gives about twice SAMPLE.
+        bound = 2**31 if rows <= body.SAMPLE else int(2**32 * body.SAMPLE / rows)
         shared = spark.sparkContext.broadcast(self.pairs)
         own = records.where(filled(whole) | filled(text)).select(
             F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), site_of(F.col("url")).alias("site"), "title",
             F.col(whole).alias("whole"), F.col(text if text != whole else whole).alias("text"), F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)).alias("place"),
             F.coalesce(hinted(records) if hint is None else hint, F.lit(False)).alias("hint"),
         )
-        self.staged = stage(own.mapInArrow(_restore(shared, text == whole), _STAGED))
-        # Where the whole text is the one that is judged, it is there once.
+        self.staged = stage(own.mapInArrow(_restore(shared, text == whole, bound), _STAGED))
+        # Where the whole text is the one that is judged, it is there once; else only of the sample.
         self.same = text == whole
         raw = "text" if self.same else "whole"
         pages = self.staged.where(filled("packed")).select("row", "site", "title", F.col("packed").alias("t"))
-        rows = pages.count()
-        # Records with the least hashes: the share that gives about twice SAMPLE, and the first of them.
-        bound = 2**31 if rows <= body.SAMPLE else int(2**32 * body.SAMPLE / rows)
         picked = self.staged.where(filled("packed") & (F.col("place") < bound)).select("place", "row", "site", "title", F.col(raw).alias("whole"))
         sample = picked.mapInArrow(_stretches, picked.schema).orderBy("place", "row").limit(body.SAMPLE).collect()
         self.sample = [(r.site, r.title, r.whole) for r in sample]
@@ -137,7 +136,7 @@ def with_status(records: DataFrame, page: DataFrame, key: str = "ord") -> tuple[
     return both, hinted(records) | F.col("_bad").isNotNull()
 
 
-def _restore(pairs, same: bool):
+def _restore(pairs, same: bool, bound: int):
     """Restores whole and text of each record at once; their equal lines are restored once."""
 
     def run(batches):
@@ -155,11 +154,11 @@ def _restore(pairs, same: bool):
                         joined.append("\n".join([w or "", *more]))
                 fixed = encoding.repair_texts(joined, pairs.value)
                 packed, wholes, texts, toks, marks = [], [], [], [], []
-                for w, t, j, lines in zip(whole, text, joined, fixed):
+                for w, t, j, lines, place in zip(whole, text, joined, fixed, part.column(6).to_pylist()):
                     n = w.count("\n") + 1 if w else 0
                     tokens = [body.pack_line(y) if (y := x[0].strip()) else "" for x in lines]
                     packed.append("\n".join(filter(None, tokens[:n])) if w else w)
-                    wholes.append(None if same or not w else "\n".join(x[0] for x in lines[:n]))
+                    wholes.append(None if same or not w or place >= bound else "\n".join(x[0] for x in lines[:n]))
                     if not same:
                         by = dict(zip(j.split("\n"), zip(lines, tokens)))
                         own = [by[l] for l in t.split("\n")] if t else []
