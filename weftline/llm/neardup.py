@@ -4,14 +4,14 @@ A record is the set of its distinct runs of ``k`` words. All pairs of sets with
 similarity of at least ``t`` are found, exactly up to 58-bit hashes of the sequences:
 
 1. *Global order.* Batches of records send their distinct sequences, packed, to hash buckets, which
-   count in how many batches and records each stands and send the counts of those that are not
-   unique back. Sequences are ordered from rare to common. One that stands in a third of all
-   records is one entry per batch.
+   count in how many batches and records each stands and send one byte for each back. Sequences are
+   ordered from rare to common. One that stands in a third of all records is one entry per batch.
 2. *Classes.* Equal sets are one class; only its first record goes on.
-3. *Index with skipping.* A set can only match sets with which it shares one of its first
-   ``n - ceil(t n) + 1`` sequences. The lists of the index are cut into blocks by set size; a probe
-   skips each block whose smallest set could not reach the overlap needed from the probe's position
-   on, and within a block the positions of both sides bound the overlap again.
+3. *Index with skipping.* Sets that need an overlap of ``o`` share ``l`` of their first
+   ``n - o + l`` sequences, for any ``l`` up to ``o`` (``SHARED``). The lists of the index are sorted
+   by set size; a set skips those entries that are too small for it, and those too large for what it
+   holds from this sequence on. What pairs are found is counted, and only those that share enough
+   are compared: one rare sequence in common is chance, and such pairs grow with the square of the data.
 4. *Answers from answers.* Each set of a candidate pair gets a leader, the first set among its
    candidates, and is compared with it once, which leaves two short differences. The overlap of two
    sets of one leader is derived from their differences alone. Only pairs across leaders compare
@@ -39,6 +39,8 @@ from .repeats import components
 BATCH_BYTES, BUCKET_ITEMS = 8 << 20, 1 << 20
 #: Ratio between the set sizes that bound an index block.
 BLOCK = 1.3
+#: Sequences that a pair must share among the first ones, and pairs that are looked at at once.
+SHARED, AT_ONCE = 8, 1 << 20
 
 _words = re.compile(r"\w+").findall
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "u8")
@@ -82,6 +84,28 @@ def _array(x) -> np.ndarray:
     return np.frombuffer(x, "u8") if x is not None else np.zeros(0, "u8")
 
 
+def _dealt(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct items, in how many sets each stands, order by bucket, bucket of each in that order)."""
+    flat, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, "u8"), np.zeros(0, "i8"))
+    to = (flat % np.uint64(buckets)).astype("i8")
+    order = np.argsort(to, kind="stable")
+    return flat, n, order, to[order]
+
+
+def _pack(items: np.ndarray, buckets: int) -> bytes:
+    """Sorted items of one bucket by their differences, byte by byte, without the bytes that are all 0."""
+    d = np.diff(items // np.uint64(buckets), prepend=np.uint64(0))
+    planes = d.astype("<u8").view("u1").reshape(-1, 8).T
+    return planes[: (int(d.max()).bit_length() + 7) // 8].tobytes() if len(d) else b""
+
+
+def _unpack(packed: bytes, n: int, bucket: int, buckets: int) -> np.ndarray:
+    each = np.zeros((n, 8), "u1")
+    planes = np.frombuffer(packed, "u1").reshape(-1, n)
+    each[:, : len(planes)] = planes.T
+    return np.cumsum(each.view("<u8").ravel(), dtype="u8") * np.uint64(buckets) + np.uint64(bucket)
+
+
 def signatures(records: DataFrame, key: str, text: str, k: int, t: Fraction, least_words: int) -> DataFrame:
     """(id, cls, n, w): the sets that may have partners.
 
@@ -103,57 +127,52 @@ def signatures(records: DataFrame, key: str, text: str, k: int, t: Fraction, lea
                 yield i, x
 
     def distinct(grp, table):
-        got = [x for _, x in sets(table)]
-        flat, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, "u8"), np.zeros(0, "i8"))
-        to = (flat % np.uint64(buckets)).astype("i8")
-        order = np.argsort(to, kind="stable")
-        flat, n, to = flat[order], np.minimum(n[order], 255).astype("u1"), to[order]
+        flat, n, order, to = _dealt([x for _, x in sets(table)], buckets)
+        flat, n = flat[order], np.minimum(n[order], 255).astype("u1")
         names, start = np.unique(to, return_index=True)
         ends = [*start[1:], len(to)]
         return pa.table(
             {
                 "bucket": pa.array(names, pa.int64()), "batch": pa.array([grp[0].as_py()] * len(names), pa.int64()),
-                "items": pa.array([flat[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()),
+                "items": pa.array([_pack(flat[a:b], buckets) for a, b in zip(start, ends)], pa.binary()),
                 "counts": pa.array([n[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()),
             }
         )
 
     def count(grp, table):
-        batch = table.column("batch").to_pylist()
-        items = [_array(x) for x in table.column("items").to_pylist()]
+        bucket = grp[0].as_py()
         counts = [np.frombuffer(x, "u1") for x in table.column("counts").to_pylist()]
+        items = [_unpack(x, len(n), bucket, buckets) for x, n in zip(table.column("items").to_pylist(), counts)]
         every, at = np.unique(np.concatenate(items), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every))
-        rank = np.minimum(np.ceil(2 * np.log2(total)), 63).astype("u1")  # 0: unique
-        out, a = [], 0
-        for b, x in zip(batch, items):
-            r = rank[at[a : a + len(x)]]
-            a += len(x)
-            if r.any():
-                out.append((b, x[r > 0].tobytes(), r[r > 0].tobytes()))
-        b, x, r = map(list, zip(*out)) if out else ([], [], [])
-        return pa.table({"batch": pa.array(b, pa.int64()), "items": pa.array(x, pa.binary()), "ranks": pa.array(r, pa.binary())})
+        rank = np.minimum(np.ceil(2 * np.log2(total)), 63).astype("u1")[at]  # 0: unique
+        ends = np.cumsum([0, *map(len, counts)])
+        return pa.table({
+            "batch": table.column("batch"), "bucket": pa.array([bucket] * len(counts), pa.int64()),
+            "ranks": pa.array([rank[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+        })
 
     def sign(grp, left, right):
-        known = np.concatenate([_array(x) for x in right.column("items").to_pylist()] or [np.zeros(0, "u8")])
-        rank = np.concatenate([np.frombuffer(x, "u1") for x in right.column("ranks").to_pylist()] or [np.zeros(0, "u1")])
-        order = np.argsort(known)
-        known, rank = known[order], rank[order].astype("u8")
+        # The ranks come in the order in which the items went.
+        own = list(sets(left))
+        known, _, order, _ = _dealt([x for _, x in own], buckets)
+        got = [x for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("ranks").to_pylist()))]
+        rank = np.empty(len(known), "u8")
+        rank[order] = np.frombuffer(b"".join(got), "u1")
         rows = []
-        if len(known):
-            for i, x in sets(left):
-                p = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                hit = known[p] == x
-                w = np.sort((rank[p[hit]] << np.uint64(58)) | x[hit])
-                n = len(x)
-                if n - len(w) < n - _ceil(t * n) + 1:
-                    rows.append((i, xxhash.xxh3_128_digest(x.tobytes()), n, w.tobytes()))
+        for i, x in own:
+            r = rank[np.searchsorted(known, x)]
+            hit = r > 0
+            w = np.sort((r[hit] << np.uint64(58)) | x[hit])
+            n = len(x)
+            if n - len(w) < n - _ceil(t * n) + 1:
+                rows.append((i, xxhash.xxh3_128_digest(x.tobytes()), n, w.tobytes()))
         i, c, n, w = map(list, zip(*rows)) if rows else ([], [], [], [])
         return pa.table({"id": pa.array(i, pa.int64()), "cls": pa.array(c, pa.binary()), "n": pa.array(n, pa.int32()), "w": pa.array(w, pa.binary())})
 
     shared = base.repartition("batch")
     packed = shared.groupBy("batch").applyInArrow(distinct, "bucket bigint, batch bigint, items binary, counts binary")
-    ranks = packed.groupBy("bucket").applyInArrow(count, "batch bigint, items binary, ranks binary")
+    ranks = packed.groupBy("bucket").applyInArrow(count, "batch bigint, bucket bigint, ranks binary")
     both = shared.groupBy("batch").cogroup(ranks.groupBy("batch"))
     return cut(both.applyInArrow(sign, "id bigint, cls binary, n int, w binary"))
 
@@ -162,21 +181,16 @@ def _ceil(x: Fraction) -> int:
     return -(-x.numerator // x.denominator)
 
 
-def buckets(signed: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(probe, index): the entries of the sets' first sequences, by sequence and size block.
-
-    index: (tok, block, b, nb, rb); probe: (tok, block, a, na, ra), one entry for each block that
-    can hold partners from the probe's position on.
-    """
-    num, den = t.numerator, t.denominator
-    step = float(np.log(BLOCK))
+def postings(signed: DataFrame, t: Fraction, shared: int) -> DataFrame:
+    """(id, tok, n, rest): the sets' first sequences, as many as partners must share ``shared`` of;
+    rest is how many sequences the set has from this one on, itself included."""
 
     def prefix(batches):
         for b in batches:
             ids, toks, ns, rests = [], [], [], []
             for i, n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 w = _array(w)
-                m = n - _ceil(t * n) + 1 - (n - len(w))
+                m = min(len(w) - _ceil(t * n) + shared, len(w))
                 ids.append(np.full(m, i, "i8"))
                 toks.append(w[:m].astype("i8"))
                 ns.append(np.full(m, n, "i4"))
@@ -186,8 +200,18 @@ def buckets(signed: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
                     [pa.array(np.concatenate(x)) for x in (ids, toks, ns, rests)], names=["id", "tok", "n", "rest"]
                 )
 
-    # rest: how many sequences the set has from this one on, itself included.
-    posts = signed.select("id", "n", "w").mapInArrow(prefix, "id bigint, tok bigint, n int, rest int")
+    return signed.select("id", "n", "w").mapInArrow(prefix, "id bigint, tok bigint, n int, rest int")
+
+
+def buckets(signed: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(probe, index): the entries of the sets' first sequences, by sequence and size block.
+
+    index: (tok, block, b, nb, rb); probe: (tok, block, a, na, ra), one entry for each block that
+    can hold partners from the probe's position on.
+    """
+    num, den = t.numerator, t.denominator
+    step = float(np.log(BLOCK))
+    posts = postings(signed, t, 1)
     block = lambda size: F.floor(F.log(size.cast("double")) / F.lit(step)).cast("int")
     index = posts.select("tok", block(F.col("n")).alias("block"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     # A partner of size m needs overlap >= t / (1 + t) (n + m), so m is at most rest (1 + t) / t - n.
@@ -215,9 +239,50 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): pairs of sets that share a prefix sequence at positions from which ``t`` is in reach."""
-    probe, index = buckets(signed, t)
-    return _ordered(probe.join(index, ["tok", "block"]).where(_fits(t)))
+    """(a, b): pairs of sets that share enough of their first sequences, at positions from which ``t``
+    is in reach; a < b."""
+    num, den = t.numerator, t.denominator
+
+    def match(batches):
+        held = [np.zeros(0, k) for k in ("i8", "i8", "i8", "i8")]
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False).astype("i8") for c in batch.columns]
+            tok, n, rest, ids = (np.concatenate(x) for x in zip(held, new))
+            if not len(tok):
+                continue
+            at = np.arange(len(held[0]), len(tok))
+            run = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]]))
+            wide = int(n.max()) + 2
+            place = run * wide + n  # in order: entries are sorted by sequence and size
+            least = -(-n[at] * num // den)
+            # A partner of size m needs overlap >= t / (1 + t) (n + m), all but SHARED - 1 of it from here on.
+            most = np.minimum(n[at], (rest[at] + SHARED - 1) * (num + den) // num - n[at])
+            lo = np.searchsorted(place, run[at] * wide + least)
+            hi = np.minimum(np.searchsorted(place, run[at] * wide + np.maximum(most, least - 1), "right"), at)
+            count = np.maximum(hi - lo, 0)
+            ends = np.cumsum(count)
+            done, total = 0, int(ends[-1]) if len(ends) else 0
+            while done < total:  # pairs by number, so that a long list is looked at in parts
+                k = np.arange(done, min(done + AT_ONCE, total))
+                done += len(k)
+                i = np.searchsorted(ends, k, "right")
+                a, b = at[i], lo[i] + k - (ends[i] - count[i])
+                need = -(-(n[a] + n[b]) * num // (num + den))
+                shared = np.minimum(need, SHARED)
+                fits = np.minimum(rest[a], rest[b]) + shared - 1 >= need
+                a, b, shared = ids[a[fits]], ids[b[fits]], shared[fits]
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                order = np.lexsort((b, a))
+                a, b, shared = a[order], b[order], shared[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, "i8")
+                times = np.diff(np.append(first, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(times.astype("i4")), pa.array(shared[first].astype("i4"))], names=["a", "b", "times", "shared"])
+            keep = (tok == tok[-1]) & (n * den >= n[-1] * num)
+            held = [x[keep] for x in (tok, n, rest, ids)]
+
+    posts = postings(signed, t, SHARED).select("tok", "n", "rest", "id").repartition("tok").sortWithinPartitions("tok", "n", "id")
+    found = posts.mapInArrow(match, "a bigint, b bigint, times int, shared int").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("shared").alias("shared"))
+    return found.where("a <> b and times >= shared").select("a", "b")
 
 
 def linked(signed: DataFrame, t: Fraction) -> DataFrame:

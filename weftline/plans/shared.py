@@ -34,14 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written reliably to the shared folder and read back, without its lineage.
 
     The files are deleted once nothing in the session refers to the result any more, so rounds of an
-    iteration don't pile up.
+    iteration don't pile up; what was shuffled for it is deleted as soon as it is written.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+    return out
 
 
 #: Folders and files of this session in the shared folder, until ``clean``.
