@@ -9,12 +9,14 @@ repeats at hand.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import cut, small, stage
-from . import body, encoding, templates
+from . import body, encoding, residue, templates
 from .repeats import site_of
 
 
@@ -77,21 +79,25 @@ class Judge:
         judged = body.label_lines([[(l, False, True) for l in t.split("\n")] for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body)
         return [[x[0] for x in lines if x[0].strip() and not x[3]] for lines in judged]
 
-    def short_sample(self) -> list[tuple[bool, list[str]]]:
-        """(hint, content lines) of the short judged texts with the least hashes, ``body.SAMPLE`` of
-        them at most; short is what has at most ``SHORT_BYTES``."""
-        short = self.staged.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SHORT_BYTES))
-        n = short.count()
-        bound = 2**31 if n <= body.SAMPLE else int(2**32 * body.SAMPLE / n)
-        rows = short.where(F.col("place") < bound).select("place", "row", "title", "text", "hint").orderBy("place", "row").limit(body.SAMPLE).collect()
-        judged = body.label_lines([[(l, False, True) for l in r.text.split("\n")] for r in rows], [r.title for r in rows], self.body)
-        return [(r.hint, own) for r, lines in zip(rows, judged) if (own := [x[0] for x in lines if x[0].strip() and not x[3]])]
-
-    def judged(self, emit, schema: str, only: DataFrame | None = None, together: bool = False) -> DataFrame:
-        """Rows that ``emit(key, lines)`` yields for each record; key first in ``schema``. With
-        ``together``, that ``emit(keys, lines of each)`` yields for some records at once.
+    @functools.cached_property
+    def content(self) -> DataFrame:
+        """(key, own, sound, every, short, hint) of each judged text, labelled once for what goes over it
+        several times: its content lines, those of them that are not damaged (null: all), all lines
+        where the content has no words, whether it is short (``SHORT_BYTES``), and the hint."""
 
-        With ``only``, for the records whose key it holds.
+        def emit(keys, pages, hints, texts):
+            for k, lines, h, t in zip(keys, pages, hints, texts):
+                own = [x[0] for x in lines if not x[3] and x[0].strip()]
+                sound = [x[0] for x in lines if not x[3] and x[2] and x[0].strip()]
+                every = None if any(map(has_words, own)) else "\n".join(x[0] for x in lines if x[0])
+                yield k, "\n".join(own), None if len(sound) == len(own) else "\n".join(sound), every, len(t) <= SHORT_BYTES and len(t.encode()) <= SHORT_BYTES, h
+
+        return stage(self.judged(emit, "key bigint, own string, sound string, every string, short boolean, hint boolean", together=True, whole=True))
+
+    def judged(self, emit, schema: str, together: bool = False, whole: bool = False) -> DataFrame:
+        """Rows that ``emit(key, lines)`` yields for each record; key first in ``schema``. With
+        ``together``, that ``emit(keys, lines of each)`` yields for some records at once, and with
+        ``whole``, ``emit(keys, lines of each, hints, texts)``.
 
         lines: (text, damaged, whole, furniture) of each line. Null keys, null and empty texts are
         not judged.
@@ -103,19 +109,22 @@ class Judge:
             model = models.value
             for b in batches:
                 for start, stop in encoding.portions(b.column(3)):
-                    keys, sites, titles, texts, tokens, marks, known = (c.to_pylist() for c in b.slice(start, stop - start).columns)
+                    keys, sites, titles, texts, tokens, marks, known, hints = (c.to_pylist() for c in b.slice(start, stop - start).columns)
                     docs = [[(l, m & 1 == 1, m & 2 == 2) for l, m in zip(t.split("\n"), k)] for t, k in zip(texts, marks)]
                     labelled = body.label_lines(docs, titles, model, [(s, set(x or ())) for s, x in zip(sites, known)], tokens)
-                    rows = list(emit(keys, labelled)) if together else [r for k, lines in zip(keys, labelled) for r in emit(k, lines)]
+                    rows = list(emit(keys, labelled, *((hints, texts) if whole else ()))) if together else [r for k, lines in zip(keys, labelled) for r in emit(k, lines)]
                     yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(names, zip(*rows))} if rows else {n: [] for n in names}, schema=kinds)
 
         kinds = arrow_schema(schema)
         own = self.staged.where(F.col("key").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-        if only is not None:
-            own = own.join(only.withColumnRenamed(self.key, "key"), "key", "left_semi")
         own = own.join(self.repeated.where(F.size("keys") > 0), "row", "left")
         packed = "packed" if self.same else "tokens"
-        return own.select("key", "site", "title", "text", packed, "marks", "keys").mapInArrow(run, schema)
+        return own.select("key", "site", "title", "text", packed, "marks", "keys", "hint").mapInArrow(run, schema)
+
+
+def has_words(line: str) -> bool:
+    kinds = residue.kinds()
+    return any(kinds[min(ord(c), 0xFFFF)] for c in line)
 
 
 def hinted(records: DataFrame) -> Column:

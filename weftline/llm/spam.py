@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import cut, small
 from . import residue
+from .encoding import portions
 
 #: Names of the features, and the sign of spam's direction in each.
 FEATURES = (("function", -1), ("ends", -1), ("entropy", -1), ("repeats", 1), ("top", 1), ("marks", 1), ("labels", 1))
@@ -352,17 +353,19 @@ def measured(judge, languages) -> DataFrame:
     Damaged lines that are not restored are left out.
     """
 
-    held: list[Measure] = []
+    key = judge.key
 
-    def emit(keys, pages):
-        if not held:
-            held.append(Measure(languages.value))
-        page, lang, n, x = held[0].blocks([[x[0] for x in lines if not x[3] and x[2] and x[0].strip()] for lines in pages])
-        first = np.flatnonzero(np.diff(page, prepend=-1))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(page)]):
-            yield keys[page[a]], lang[a], n[a:b].astype("i4").tobytes(), x[a:b].tobytes()
+    def run(batches):
+        measure = Measure(languages.value)
+        for b in batches:
+            for start, stop in portions(b.column(1)):
+                keys, texts = (c.to_pylist() for c in b.slice(start, stop - start).columns)
+                page, lang, n, x = measure.blocks([t.split("\n") if t else [] for t in texts])
+                first = np.flatnonzero(np.diff(page, prepend=-1))
+                rows = [(keys[page[a]], lang[a], n[a:b_].astype("i4").tobytes(), x[a:b_].tobytes()) for a, b_ in zip(first.tolist(), [*first[1:].tolist(), len(page)])]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=[key, "lang", "n", "x"])
 
-    return judge.judged(emit, f"{judge.key} bigint, lang string, n binary, x binary", together=True)
+    return judge.content.select("key", F.coalesce("sound", "own").alias("t")).mapInArrow(run, f"{key} bigint, lang string, n binary, x binary")
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -485,10 +488,13 @@ def found(judge) -> DataFrame:
     judge_key = judge.key
     words = own.mapInArrow(run, f"{judge_key} bigint, n bigint, spam bigint").groupBy(judge_key).agg(F.sum("n").alias("n"), F.sum("spam").alias("spam"))
     hits = cut(words.where(F.col("spam") > SHARE * F.col("n")).select(judge_key))
-    model = spark.sparkContext.broadcast(residue.ResidueModel.fit_twice(content, residue.notices_of(judge.short_sample())))
+    model = spark.sparkContext.broadcast(residue.ResidueModel.fit_whole(judge))
 
-    def sound(k, lines):
-        hit, n = residue.coverage([x[0] for x in lines if not x[3] and x[2] and x[0].strip()], model.value)
-        return [] if not n or hit >= residue.COVERAGE * n else [(k,)]
+    def sound(batches):
+        for b in batches:
+            keys, texts = (c.to_pylist() for c in b.columns)
+            covered = residue.coverages([t.split("\n") for t in texts], model.value)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, (hit, n) in zip(keys, covered) if n and hit < residue.COVERAGE * n], pa.int64())], names=[judge_key])
 
-    return judge.judged(sound, f"{judge_key} bigint", only=small(hits)).distinct()
+    hit = judge.content.select("key", F.coalesce("sound", "own").alias("t")).join(small(hits.select(F.col(judge_key).alias("key"))), "key", "left_semi")
+    return hit.mapInArrow(sound, f"{judge_key} bigint").distinct()
