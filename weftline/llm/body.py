@@ -4,8 +4,8 @@ A classifier gives each line a cost for either label. The lines of a page are th
 terminal edges carry the costs, lines next to each other and lines that hang on the same heading are
 tied by smoothness edges, and a maximum flow separates content from furniture.
 
-The classifier's weights are fitted at run time on at most ``SAMPLE`` records, those with the least
-hashes, without labels from outside. The labels come from what all records show (``templates``):
+The classifier's weights are fitted at run time on the lines of all records (``weights``), without
+labels from outside. The labels come from what all records show (``templates``):
 
 * a line's template (digits and rare words masked) that stands in many records, most of which hold
   long text besides, is furniture; one that mostly stands alone on its page (an error message) is
@@ -29,8 +29,10 @@ import xxhash
 
 from .encoding import Lines
 
-#: Records the classifier is fitted on at most, and the least number of records for "many".
-SAMPLE, MANY, MANY_SHARE = 3000, 4, 0.0015
+#: Nothing rests on a sample any more: the test that varies its size shows it.
+SAMPLE = 3000
+#: The least number of records for "many".
+MANY, MANY_SHARE = 4, 0.0015
 #: Share of records a word must stand in to be kept in templates, at least 3 records.
 KNOWN_SHARE = 0.002
 #: Share of a template's records that must hold long text for it to be furniture.
@@ -39,7 +41,12 @@ _SLOTS = 1 << 18
 _CJK = "぀-ヿ㐀-鿿ｦ-ﾝ"
 _any_tokens = re.compile(rf"[^\W\d_{_CJK}]+|\d+|[^\w\s]|_|[{_CJK}]").findall
 _ascii_tokens = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]").findall
-_END = re.compile(r"[.!?。！？…:;][\"'”’»)\]]*\s*$")
+_STOPS, _CLOSERS = frozenset(".!?。！？…:;"), "\"'”’»)]"
+
+
+def ends(line: str) -> bool:
+    """Whether a line ends like a sentence, before closing marks."""
+    return line.rstrip().rstrip(_CLOSERS)[-1:] in _STOPS
 
 
 def tokens(line: str) -> list[str]:
@@ -57,27 +64,46 @@ class BodyModel:
 
 
 def _features(lines: list[list[str]], ends: list[bool], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature slots, line of each): masked words, their pairs, and the line's form."""
+    """(feature slots, line of each) of lines by their tokens."""
     n = np.fromiter(map(len, lines), "i8", len(lines))
     every = list(chain.from_iterable(lines))
     flat = np.fromiter(map(words.get, every, repeat(0)), "i8", len(every))
     unknown = np.flatnonzero(flat == 0)
     flat[unknown] = np.fromiter((every[i][0].isdigit() for i in unknown.tolist()), "i8", len(unknown))
-    row = np.repeat(np.arange(len(lines)), n)
+    return features(flat, n, np.array(ends, "i8"))
+
+
+def _mix(a, b, k: int):
+    """The slot of a feature of the given kind."""
+    return (((a * 0x9E3779B1 + b * 0x85EBCA77 + k * 0xC2B2AE3D) & 0x7FFFFFFFFFFF) >> 7) % _SLOTS
+
+
+def _size(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted([2, 3, 4, 6, 9, 14, 24], n, "right")
+
+
+def forms(n: np.ndarray, rare: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A line's form, less than 64: how many words, the share of unknown ones, its end."""
+    return _size(n) * 8 + np.minimum((rare * 4).astype("i8"), 3) * 2 + ends
+
+
+def features(flat: np.ndarray, n: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature slots, line of each): masked words, their pairs, and the line's form. flat: the numbers
+    of the words of all lines in a row (0: unknown, 1: digits), n: how many each line has."""
+    row = np.repeat(np.arange(len(n)), n)
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     first, last = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
     first[start[n > 0]] = True
     last[(start + n - 1)[n > 0]] = True
-    mix = lambda a, b, k: ((a * 0x9E3779B1 + b * 0x85EBCA77 + k * 0xC2B2AE3D) & 0x7FFFFFFFFFFF) >> 7
     pair = np.flatnonzero(~last)
-    rare = np.bincount(row, flat == 0, len(lines)) / np.maximum(n, 1)
-    size = np.searchsorted([2, 3, 4, 6, 9, 14, 24], n, "right")
-    form = size * 8 + np.minimum((rare * 4).astype("i8"), 3) * 2 + np.array(ends, "i8")
+    rare = np.bincount(row, flat == 0, len(n)) / np.maximum(n, 1)
+    size = _size(n)
+    form = forms(n, rare, ends)
     slots = np.concatenate([
-        mix(flat, 0, 1), mix(flat[pair], flat[pair + 1], 2) if len(pair) else np.zeros(0, "i8"),
-        mix(flat[first], 0, 3), mix(flat[last], 0, 4), mix(form, 0, 5), mix(size, 0, 6),
-    ]) % _SLOTS
-    rows = np.concatenate([row, row[pair], row[first], row[last], np.arange(len(lines)), np.arange(len(lines))])
+        _mix(flat, 0, 1), _mix(flat[pair], flat[pair + 1], 2) if len(pair) else np.zeros(0, "i8"),
+        _mix(flat[first], 0, 3), _mix(flat[last], 0, 4), _mix(form, 0, 5), _mix(size, 0, 6),
+    ])
+    rows = np.concatenate([row, row[pair], row[first], row[last], np.arange(len(n)), np.arange(len(n))])
     return slots, rows
 
 
@@ -87,7 +113,11 @@ def _scores(slots: np.ndarray, rows: np.ndarray, n: int, *weights: np.ndarray) -
     return [3 * np.bincount(rows, w[slots], n) / norm for w in weights]
 
 
-def _fit(slots, rows, y, weight, steps: int = 60) -> np.ndarray:
+#: Steps of the furniture's and of the headings' weights.
+STEPS = (60, 40)
+
+
+def _fit(slots, rows, y, weight, steps: int = STEPS[0]) -> np.ndarray:
     """Logistic regression by AdaGrad over all rows at once; weights are per slot."""
     out = np.zeros(_SLOTS, "f4")
     n = len(y)
@@ -103,13 +133,18 @@ def _fit(slots, rows, y, weight, steps: int = 60) -> np.ndarray:
     for _ in range(steps):
         z = norm * np.add.reduceat(w[at], first)
         err = weight * (1 / (1 + np.exp(-z)) - y) * norm
-        g = np.bincount(at, err[place], len(used)) / n + 2e-7 * w
-        g2 += (g * 1e3) ** 2
-        w -= 0.5 * g * 1e3 / np.sqrt(g2)
+        step(w, g2, np.bincount(at, err[place], len(used)) / n)
     out[used] = w
     return out
 
 
+def step(w: np.ndarray, g2: np.ndarray, gradient: np.ndarray) -> None:
+    """One step of AdaGrad, in place."""
+    g = gradient + 2e-7 * w
+    g2 += (g * 1e3) ** 2
+    w -= 0.5 * g * 1e3 / np.sqrt(g2)
+
+
 def is_long(toks: list[str], line: str) -> bool:
     return len(toks) >= 14 and len(line) >= WIDE
 
@@ -168,6 +203,8 @@ class Keyed:
     hosted: int
     after: int | None
     start: int | None
+    #: The numbers of each line's words.
+    codes: list[tuple[int, ...]]
 
     @property
     def longest(self) -> int | None:
@@ -200,7 +237,7 @@ def keyed(site: str | None, title: str | None, packed: str, words: dict[str, int
     start = hash(keys[after][:2]) if after is not None and after < len(lines) and max(keys[after][:2], default=0) > 1 else None
     return Keyed(
         toks, [hash(k) for k in keys], site_keys(site, toks), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
-        [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start,
+        [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start, keys,
     )
 
 
@@ -223,7 +260,7 @@ def sidebar_runs(state: list[int], long: list[bool], size: list[int]):
 
 @dataclass
 class Corpus:
-    """Statistics of all records (``templates.count``), for the lines of the sample.
+    """Statistics of all records (``templates.count``), for the lines of some of them.
 
     ``cross`` and ``within`` hold 1 for furniture and -1 for content by template key.
     """
@@ -233,58 +270,64 @@ class Corpus:
     within: dict[int, int]
     heads: set[int]
     starts: set[int]
-    #: The sample's pages, if their keys are known already.
+    #: The pages, if their keys are known already.
     docs: list[Keyed] | None = None
 
 
+def labels(after: int | None, start: int | None, state: list[int], head: list[bool], long: list[bool], size: list[int], starts: set[int]) -> list[int]:
+    """1 for each line of a page that is furniture by what all records show, -1 for content, 0 for others.
+
+    state: 1 and -1 for lines whose template is furniture or content; head: whether it is a heading
+    of sidebars; long: whether the line is; size: its tokens.
+    """
+    long = [lg and s != 1 for lg, s in zip(long, state)]
+    y = [0] * len(state)
+    for i, j in sidebar_runs(state, long, size):
+        if j and head[i]:
+            y[i + 1 : j] = [1] * (j - i - 1)
+    top = after - 1 if after is not None else None
+    between = None
+    for i, s in enumerate(state):
+        if s:
+            y[i] = s
+            if s == 1:
+                between = None
+        elif i == top:
+            y[i] = -1
+            between = None
+        elif long[i]:
+            y[i] = -1
+            if between is not None:
+                y[between:i] = [-1] * (i - between)
+            between = i + 1
+        elif top is not None and i < top:
+            y[i] = 1
+        elif i == after and start in starts:
+            y[i] = 1
+    return y
+
+
+#: Tokens from which on a line weighs half: long lines are many and easy, what is short decides.
+EASY = 14
+
+
 def fit(records: list[tuple[str | None, str | None, str]], corpus: Corpus) -> BodyModel:
-    """The model from (site, title, text) of the sample, texts already restored, and what the whole
-    corpus shows of their lines. Empty: no furniture."""
+    """The model from (site, title, text) of some pages, texts already restored, and what the whole
+    corpus shows of their lines; ``weights.fit`` takes those of all records. Empty: no furniture."""
     if not records:
         return BodyModel()
     docs = corpus.docs if corpus.docs is not None else [keyed(site, title, pack(text), corpus.words) for site, title, text in records]
     state = [[corpus.cross.get(c) or corpus.within.get(f, 0) for c, f in zip(d.cross, d.within)] for d in docs]
-    keys = [[c if c in corpus.cross else f for c, f in zip(d.cross, d.within)] for d in docs]
-    long = [[lg and s != 1 for lg, s in zip(d.long, st)] for d, st in zip(docs, state)]
-    y = [[0.0] * len(d.toks) for d in docs]  # +1 furniture, -1 content
-    for d, doc in enumerate(docs):
-        for i, j in sidebar_runs(state[d], long[d], [len(t) for t in doc.toks]):
-            if j and keys[d][i] in corpus.heads:
-                y[d][i + 1 : j] = [1.0] * (j - i - 1)
-    for d, (doc, st, lg) in enumerate(zip(docs, state, long)):
-        top = doc.after - 1 if doc.after is not None else None
-        between = None
-        for i in range(len(st)):
-            if st[i]:
-                y[d][i] = float(st[i])
-                if st[i] == 1:
-                    between = None
-            elif i == top:
-                y[d][i] = -1.0
-                between = None
-            elif lg[i]:
-                y[d][i] = -1.0
-                if between is not None:
-                    for j in range(between, i):
-                        y[d][j] = -1.0
-                between = i + 1
-            elif top is not None and i < top:
-                y[d][i] = 1.0
-            elif i == doc.after and doc.start in corpus.starts:
-                y[d][i] = 1.0
+    heads = [[(c if c in corpus.cross else f) in corpus.heads for c, f in zip(d.cross, d.within)] for d in docs]
+    label = np.array([v for d, st, hd in zip(docs, state, heads) for v in labels(d.after, d.start, st, hd, d.long, [len(t) for t in d.toks], corpus.starts)])
     lines = [t for d in docs for t in d.toks]
-    ends = [bool(_END.search(l)) for _, _, text in records for l in text.split("\n") if l.strip()]
-    label = np.array([v for row in y for v in row])
-    slots, rows = _features(lines, ends, corpus.words)
-    use = label != 0
-    weight = np.where(use, np.abs(label), 0.0)
-    # Long lines are many and easy; what is short decides.
-    weight = np.where(np.fromiter(map(len, lines), "i8", len(lines)) >= 14, 0.5 * weight, weight)
+    slots, rows = _features(lines, [ends(l) for _, _, text in records for l in text.split("\n") if l.strip()], corpus.words)
+    weight = np.where(label != 0, 1.0, 0.0)
+    weight = np.where(np.fromiter(map(len, lines), "i8", len(lines)) >= EASY, 0.5 * weight, weight)
     model = BodyModel(corpus.words)
     model.furniture = _fit(*_only(slots, rows, weight > 0), (label > 0).astype("f8"), weight)
-    flat = [k for ks in keys for k in ks]
     known_ = np.array([s for row in state for s in row]) == 1
-    model.heading = _fit(*_only(slots, rows, known_), np.fromiter((k in corpus.heads for k in flat), "f8", len(flat)), known_.astype("f8"), 40)
+    model.heading = _fit(*_only(slots, rows, known_), np.array([h for row in heads for h in row], "f8"), known_.astype("f8"), STEPS[1])
     return model
 
 
@@ -400,19 +443,19 @@ def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, s
     furniture by count, ``packed`` the packed text, if they are known.
     """
     out = [[(*x, False) for x in doc] for doc in docs]
-    lines, ends, where = [], [], []
+    lines, stops, where = [], [], []
     for d, doc in enumerate(docs):
         for i, (l, _, _) in enumerate(doc):
             if l and not l.isspace():
                 if packed is None:
                     lines.append(tokens(l))
-                ends.append(bool(_END.search(l)))
+                stops.append(ends(l))
                 where.append((d, i))
     if packed is not None:
         lines = [t[:-1] if t[-1] == _WIDE_MARK else t for p in packed if p for t in [l.split(" ") for l in p.lower().split("\n")]]
     if not where:
         return out
-    slots, rows = _features(lines, ends, model.words)
+    slots, rows = _features(lines, stops, model.words)
     furn, head = _scores(slots, rows, len(lines), model.furniture, model.heading)
     furn, head = np.clip(furn, -7, 7).tolist(), head.tolist()
     k = 0
@@ -447,7 +490,7 @@ def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, s
         m = len(own)
         for i in range(m - 1):
             short = size[i] < 14 and size[i + 1] < 14 and top not in (i, i + 1)
-            same = short and ends[k + i] == ends[k + i + 1] and abs(size[i] - size[i + 1]) <= 4
+            same = short and stops[k + i] == stops[k + i + 1] and abs(size[i] - size[i + 1]) <= 4
             if short:
                 edges.append((i, i + 1, SAME if same and cost[i] < 2.5 and cost[i + 1] < 2.5 else OTHER))
         hang = None  # the heading above, until the next furniture or long line

@@ -2,7 +2,7 @@
 
 ``Judge`` counts character pairs over all records, restores every text once into a table of the
 shared folder, counts words and line templates over all of it, and fits the weights of the line
-classifiers on a bounded sample. Every task has the weights, the words of a share of the records,
+classifiers on all of its lines. Every task has the weights, the words of a share of the records,
 and the file of pair scores. Each record is then judged by itself, with the lines that its site
 repeats at hand.
 """
@@ -16,29 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import cut, small, stage
-from . import body, encoding, residue, templates
+from . import body, encoding, residue, templates, weights
 from .repeats import site_of
 
 
-#: Bytes of a text in the sample, about; of a longer one a stretch chosen by hash is taken. With
-#: ``body.SAMPLE`` it bounds the sample.
-SAMPLE_BYTES = 30_000
 #: Bytes of a short text.
 SHORT_BYTES = 1000
-_STAGED = "row bigint, key bigint, site string, title string, packed string, whole string, text string, tokens string, marks binary, place bigint, hint boolean"
-
-
-def stretch(text: str, place: int, most: int = SAMPLE_BYTES) -> str:
-    """The text, or of a longer one a stretch of whole lines of about ``most`` characters that starts
-    at ``place``; of a line longer than that, ``most`` characters."""
-    if len(text) <= most:
-        return text
-    start = place % (len(text) - most + 1)
-    start = text.rfind("\n", max(0, start - most // 4), start) + 1 or start
-    stop = start + most
-    if (end := text.rfind("\n", start + most // 2, stop)) > 0:
-        stop = end
-    return text[start:stop]
+_STAGED = "row bigint, key bigint, site string, title string, packed string, ends binary, text string, tokens string, marks binary, hint boolean"
 
 
 class Judge:
@@ -54,31 +38,19 @@ class Judge:
         spark = records.sparkSession
         filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
         self.pairs, rows = encoding.count_pairs(records.where(filled(whole)), whole)
-        # Records with the least hashes: the share that gives about twice SAMPLE.
-        bound = 2**31 if rows <= body.SAMPLE else int(2**32 * body.SAMPLE / rows)
         shared = spark.sparkContext.broadcast(self.pairs)
         own = records.where(filled(whole) | filled(text)).select(
             F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("key"), site_of(F.col("url")).alias("site"), "title",
-            F.col(whole).alias("whole"), F.col(text if text != whole else whole).alias("text"), F.pmod(F.xxhash64(F.lit(11), key), F.lit(2**31)).alias("place"),
+            F.col(whole).alias("whole"), F.col(text if text != whole else whole).alias("text"),
             F.coalesce(hinted(records) if hint is None else hint, F.lit(False)).alias("hint"),
         )
-        self.staged = stage(own.mapInArrow(_restore(shared, text == whole, bound), _STAGED))
-        # Where the whole text is the one that is judged, it is there once; else only of the sample.
+        self.staged = stage(own.mapInArrow(_restore(shared, text == whole), _STAGED))
         self.same = text == whole
-        raw = "text" if self.same else "whole"
-        pages = self.staged.where(filled("packed")).select("row", "site", "title", F.col("packed").alias("t"))
-        picked = self.staged.where(filled("packed") & (F.col("place") < bound)).select("place", "row", "site", "title", F.col(raw).alias("whole"))
-        sample = picked.mapInArrow(_stretches, picked.schema).orderBy("place", "row").limit(body.SAMPLE).collect()
-        self.sample = [(r.site, r.title, r.whole) for r in sample]
-        corpus, self.repeated = templates.count(pages, rows, self.sample)
-        self.body = body.fit(self.sample, corpus)
+        counts = templates.Counts(self.staged.where(filled("packed")).select("row", "site", "title", F.col("packed").alias("t"), "ends"), rows)
+        self.repeated = counts.repeated
+        self.body = weights.fit(counts)
         self.models = spark.sparkContext.broadcast(self.body)
 
-    def sample_content(self) -> list[list[str]]:
-        """The content lines of the sample's pages."""
-        judged = body.label_lines([[(l, False, True) for l in t.split("\n")] for _, _, t in self.sample], [t for _, t, _ in self.sample], self.body)
-        return [[x[0] for x in lines if x[0].strip() and not x[3]] for lines in judged]
-
     @functools.cached_property
     def content(self) -> DataFrame:
         """(key, own, sound, every, short, hint) of each judged text, labelled once for what goes over it
@@ -145,7 +117,7 @@ def with_status(records: DataFrame, page: DataFrame, key: str = "ord") -> tuple[
     return both, hinted(records) | F.col("_bad").isNotNull()
 
 
-def _restore(pairs, same: bool, bound: int):
+def _restore(pairs, same: bool):
     """Restores whole and text of each record at once; their equal lines are restored once."""
 
     def run(batches):
@@ -162,12 +134,12 @@ def _restore(pairs, same: bool, bound: int):
                         more = [l for l in dict.fromkeys((t or "").split("\n")) if l not in seen]
                         joined.append("\n".join([w or "", *more]))
                 fixed = encoding.repair_texts(joined, pairs.value)
-                packed, wholes, texts, toks, marks = [], [], [], [], []
-                for w, t, j, lines, place in zip(whole, text, joined, fixed, part.column(6).to_pylist()):
+                packed, ends, texts, toks, marks = [], [], [], [], []
+                for w, t, j, lines in zip(whole, text, joined, fixed):
                     n = w.count("\n") + 1 if w else 0
                     tokens = [body.pack_line(y) if (y := x[0].strip()) else "" for x in lines]
                     packed.append("\n".join(filter(None, tokens[:n])) if w else w)
-                    wholes.append(None if same or not w or place >= bound else "\n".join(x[0] for x in lines[:n]))
+                    ends.append(bytes([body.ends(x[0]) for x, k in zip(lines[:n], tokens) if k]))
                     if not same:
                         by = dict(zip(j.split("\n"), zip(lines, tokens)))
                         own = [by[l] for l in t.split("\n")] if t else []
@@ -178,19 +150,13 @@ def _restore(pairs, same: bool, bound: int):
                     texts.append("\n".join(x[0] for x in lines) if t else t)
                     marks.append(bytes([d + 2 * k for _, d, k in lines]) if t else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array(packed, pa.string()), pa.array(wholes, pa.string()), pa.array(texts, pa.string()), pa.array(toks, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
-                    names=["row", "key", "site", "title", "packed", "whole", "text", "tokens", "marks", "place", "hint"],
+                    [*part.columns[:4], pa.array(packed, pa.string()), pa.array(ends, pa.binary()), pa.array(texts, pa.string()), pa.array(toks, pa.string()), pa.array(marks, pa.binary()), *part.columns[6:]],
+                    names=["row", "key", "site", "title", "packed", "ends", "text", "tokens", "marks", "hint"],
                 )
 
     return run
 
 
-def _stretches(batches):
-    for b in batches:
-        texts = [stretch(t, p * 2654435761) for t, p in zip(b.column(4).to_pylist(), b.column(0).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.string())], names=b.schema.names)
-
-
 def arrow_schema(schema: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(n, kinds[k]) for n, k in (c.strip().split() for c in schema.split(","))])

@@ -186,29 +186,37 @@ def notices_of(pages: list[tuple[bool, list[str]]]) -> list[str]:
     return [x for (_, lines), v in zip(pages, p) if v > LEARNED for x in lines]
 
 
-#: Numbers of a vector that go in one row.
-_CHUNK = 4096
+#: Numbers of a vector that go in one row; bytes of all tasks' vectors up to which they are added up
+#: where they are collected.
+_CHUNK, _DIRECT = 4096, 16 << 20
 
 
-def sums(rows: DataFrame, size: int, add) -> np.ndarray:
-    """The sum of a vector over all rows: ``add(total, batch)`` adds a batch to a task's own."""
+def sums(rows: DataFrame, size: int, add, kind: str = "f8") -> np.ndarray:
+    """The sum of a vector over all rows: ``add(total, batch)`` adds a batch to a task's own; there are
+    no more tasks than cores. kind: of the numbers that tasks send."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
 
     def run(batches):
         total = np.zeros(size)
         for b in batches:
             add(total, b)
-        parts = [(k, total[k : k + _CHUNK].tobytes()) for k in range(0, size, _CHUNK) if total[k : k + _CHUNK].any()]
+        parts = [(k, total[k : k + _CHUNK].astype(kind).tobytes()) for k in range(0, size, _CHUNK) if total[k : k + _CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([v for _, v in parts], pa.binary())], names=["k", "v"])
 
     def both(table):
-        v = sum(np.frombuffer(x, "f8") for x in table.column("v").to_pylist())
-        return pa.table({"k": table.column("k")[:1], "v": pa.array([v.tobytes()], pa.binary())})
+        v = sum(np.frombuffer(x, kind).astype("f8") for x in table.column("v").to_pylist())
+        return pa.table({"k": table.column("k")[:1], "v": pa.array([v.astype(kind).tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(run, "k bigint, v binary").groupBy("k").applyInArrow(both, "k bigint, v binary").collect()
+    got = rows.coalesce(tasks).mapInArrow(run, "k bigint, v binary")
+    shuffled = tasks * size * np.dtype(kind).itemsize > _DIRECT
+    if shuffled:
+        got = got.groupBy("k").applyInArrow(both, "k bigint, v binary")
     out = np.zeros(size)
-    for r in got:
-        v = np.frombuffer(r.v, "f8")
-        out[r.k : r.k + len(v)] = v
+    for r in got.collect():
+        v = np.frombuffer(r.v, kind)
+        out[r.k : r.k + len(v)] += v
+    if shuffled:
+        got._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
     return out
 
 
@@ -255,8 +263,8 @@ class Parting:
                 total[_SLOTS : 2 * _SLOTS] += np.bincount(flat, 1 - each, _SLOTS)
                 total[2 * _SLOTS :] += [p.sum(), (1 - p).sum(), p[hint].sum(), (1 - p[hint]).sum()]
 
-            got = sums(pages, 2 * _SLOTS + 4, add)
-            now.unpersist()
+            got = sums(pages, 2 * _SLOTS + 4, add, "f4")
+            now.destroy()
             p, q, hp, hq = got[2 * _SLOTS :]
             ratio = np.log((got[:_SLOTS] + 0.3) / (p + 0.6)) - np.log((got[_SLOTS : 2 * _SLOTS] + 0.3) / (q + 0.6))
             ha, hb, share = (hp + 1) / (p + 2), (hq + 1) / (q + 2), np.clip(p / (p + q), 1e-3, 1 - 1e-3)

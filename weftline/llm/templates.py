@@ -4,17 +4,18 @@ All counts are Spark aggregations over all records, with partial sums in each ba
 counted twice: across sites with rare words masked, where support is a share of all records, and
 within each site with digits alone masked, where ``body.MANY`` records are enough if they are
 ``SITE_SHARE`` of the site. Nothing is collected but the words of templates (at least
-``body.KNOWN_SHARE`` of the records hold each, so their number does not grow) and what concerns the
-lines of the bounded sample.
+``body.KNOWN_SHARE`` of the records hold each, so their number does not grow) and the starts of
+bylines (as few by ``body.MANY_SHARE``).
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +27,13 @@ HELD = 200_000
 #: Share of a site's records that must hold a template counted within the site.
 SITE_SHARE = 0.1
 _WORDS = "token string, site string, n bigint, plain bigint"
-_LINES = "row bigint, site string, longest bigint, hosted int, after int, start bigint, lines array<struct<c:bigint,f:bigint,ok:boolean,own:boolean,n:int,long:boolean>>"
+_LINES = "row bigint, codes binary, ends binary, site string, longest bigint, hosted int, after int, start bigint, lines array<struct<c:bigint,f:bigint,ok:boolean,own:boolean,n:int,long:boolean>>"
 _LINE = pa.struct([("c", pa.int64()), ("f", pa.int64()), ("ok", pa.bool_()), ("own", pa.bool_()), ("n", pa.int32()), ("long", pa.bool_())])
-_PAGE = pa.schema([("row", pa.int64()), ("site", pa.string()), ("longest", pa.int64()), ("hosted", pa.int32()), ("after", pa.int32()), ("start", pa.int64()), ("lines", pa.list_(_LINE))])
+_PAGE = pa.schema([("row", pa.int64()), ("codes", pa.binary()), ("ends", pa.binary()), ("site", pa.string()), ("longest", pa.int64()), ("hosted", pa.int32()), ("after", pa.int32()), ("start", pa.int64()), ("lines", pa.list_(_LINE))])
 
 
 def _portions(batches):
-    """The columns of portions of batches of (row, site, title, text)."""
+    """The columns of portions of batches of (row, site, title, text and more)."""
     for b in batches:
         for start, stop in encoding.portions(b.column(3)):
             yield [c.to_pylist() for c in b.slice(start, stop - start).columns]
@@ -50,7 +51,7 @@ def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
             n.clear(), plain.clear(), capital.clear()
             return out
 
-        for _, sites, _, texts in _portions(batches):
+        for _, sites, _, texts, *_ in _portions(batches):
             for site, text in zip(sites, texts):
                 once, lower = body.words_of(text)
                 n.update(once)
@@ -74,11 +75,17 @@ def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
     return {t: i + 2 for i, t in enumerate(sorted(r.token for r in kept.select("token").collect()))}
 
 
+def code_kind(words: dict) -> str:
+    """Of the numbers of a line's words."""
+    return "u2" if len(words) < 65_000 else "i4"
+
+
 def page_lines(pages: DataFrame, words) -> DataFrame:
-    """One row per record: keys and form of its non-blank lines."""
+    """One row per record: the numbers of its words in a row, keys and form of its non-blank lines."""
 
     def run(batches):
-        for rows, sites, titles, texts in _portions(batches):
+        for rows, sites, titles, texts, stops in _portions(batches):
+            kind_ = code_kind(words.value)
             out = [body.keyed(site, title, text, words.value) for site, title, text in zip(sites, titles, texts)]
             flat = lambda f, kind: pa.array([v for k in out for v in f(k)], kind)  # noqa: B023, E731
             ends = np.cumsum([0, *(len(k.toks) for k in out)], dtype="i4")
@@ -87,7 +94,8 @@ def page_lines(pages: DataFrame, words) -> DataFrame:
                 flat(lambda k: k.own, pa.bool_()), flat(lambda k: map(len, k.toks), pa.int32()), flat(lambda k: k.long, pa.bool_()),
             ], fields=list(_LINE))
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows, pa.int64()), pa.array(sites, pa.string()), pa.array([k.longest for k in out], pa.int64()), pa.array([k.hosted for k in out], pa.int32()),
+                pa.array(rows, pa.int64()), pa.array([np.fromiter(chain.from_iterable(k.codes), kind_).tobytes() for k in out], pa.binary()), pa.array(stops, pa.binary()),
+                pa.array(sites, pa.string()), pa.array([k.longest for k in out], pa.int64()), pa.array([k.hosted for k in out], pa.int32()),
                 pa.array([k.after for k in out], pa.int32()), pa.array([k.start for k in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), line),
             ], schema=_PAGE)
 
@@ -115,18 +123,30 @@ def _states(lines: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     return cross.dropDuplicates(["c"]), within.select("f", F.lit(1).alias("s")).dropDuplicates(["f"])
 
 
+def flat_lines(column: pa.Array, *names: str) -> tuple[list[int], list[list]]:
+    """(where each page's lines start and the last ones end, each field of all lines in a row) of a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lines = column.flatten()
+    edge = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype("i8"))])
+    return edge.tolist(), [lines.field(n).to_numpy(zero_copy_only=False).tolist() for n in names]
+
+
 def _runs(batches):
     """(kind, key, below, follows): headings above short runs below the text, and starts of bylines."""
     for b in batches:
         below, follows, starts = Counter(), Counter(), Counter()
-        for after, start, lines in zip(*(c.to_pylist() for c in b.columns)):
-            s = [x["s"] for x in lines]
-            long = [x["long"] and x["s"] != 1 for x in lines]
-            for i, j in body.sidebar_runs(s, long, [x["n"] for x in lines]):
-                below[lines[i]["key"]] += 1
+        edge, (keys, sizes, longs, states) = flat_lines(b.column(2), "key", "n", "long", "s")
+        for p, (after, start) in enumerate(zip(*(c.to_pylist() for c in b.columns[:2]))):
+            own = slice(edge[p], edge[p + 1])
+            s = states[own]
+            long = [lg and x != 1 for lg, x in zip(longs[own], s)]
+            for i, j in body.sidebar_runs(s, long, sizes[own]):
+                key = keys[edge[p] + i]
+                below[key] += 1
                 if j:
-                    follows[lines[i]["key"]] += 1
-            if start is not None and after < len(lines) and not long[after]:
+                    follows[key] += 1
+            if start is not None and after < len(s) and not long[after]:
                 starts[start] += 1
         keys = [(0, k) for k in below] + [(1, k) for k in starts]
         yield pa.RecordBatch.from_pydict({
@@ -135,27 +155,41 @@ def _runs(batches):
         })
 
 
-def count(pages: DataFrame, rows: int, sample: list[tuple]) -> tuple[body.Corpus, DataFrame]:
-    """The statistics of all ``pages`` (row, site, title, text), texts restored and packed, as far as the
-    sample's lines need them; and (row, keys): for each page the keys of those of its lines that
-    are its site's own furniture by count."""
+class Counts:
+    """What all ``pages`` (row, site, title, text, ends) show, texts restored and packed; ends: a byte for
+    each non-blank line, 1 if it ends a sentence.
+
+    ``lines``: ``page_lines``; ``cross``, ``within``: ``_states``; ``judged``: (row, after, start, lines,
+    keys), the lines with their state; ``heads``: (key) of headings of sidebars; ``starts``: of bylines;
+    ``repeated``: (row, keys), for each page the keys of those of its lines that are its site's own
+    furniture by count.
+    """
+
+    def __init__(self, pages: DataFrame, rows: int):
+        spark = pages.sparkSession
+        self.words = known_words(pages, rows)
+        self.lines = lines = cut(page_lines(pages, spark.sparkContext.broadcast(self.words)))
+        self.cross, self.within = (cut(x) for x in _states(lines, rows))
+        each = lines.select("row", "after", "start", F.posexplode("lines").alias("i", "l")).select("row", "after", "start", "i", "l.c", "l.f", "l.n", "l.long")
+        each = each.join(small(self.cross.withColumnRenamed("s", "sc")), "c", "left").join(small(self.within.withColumnRenamed("s", "sf")), "f", "left")
+        line = F.struct("i", F.when(F.col("sc").isNotNull(), F.col("c")).otherwise(F.col("f")).alias("key"), "n", "long", F.coalesce("sc", "sf", F.lit(0)).alias("s"))
+        own = F.collect_set(F.when(F.col("sf") == 1, F.col("f"))).alias("keys")
+        self.judged = cut(each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines"), own))
+        found = cut(self.judged.select("after", "start", "lines").mapInArrow(_runs, "kind int, key bigint, below bigint, follows bigint").groupBy("kind", "key").agg(F.sum("below").alias("below"), F.sum("follows").alias("follows")))
+        self.heads = found.where("kind = 0 and follows > 0 and follows >= 0.5 * below").select("key")
+        self.starts = {r.key for r in found.where((F.col("kind") == 1) & (F.col("below") >= 2 * max(body.MANY, body.MANY_SHARE * rows))).collect()}
+        self.repeated = self.judged.select("row", "keys")
+
+
+def count(pages: DataFrame, rows: int, few: list[tuple]) -> tuple[body.Corpus, DataFrame]:
+    """What all ``pages`` (row, site, title, text) show, as far as the lines of a few (site, title, text)
+    need it, and ``Counts.repeated``."""
     spark = pages.sparkSession
-    words = known_words(pages, rows)
-    shared = spark.sparkContext.broadcast(words)
-    lines = cut(page_lines(pages, shared))
-    cross, within = (cut(x) for x in _states(lines, rows))
-    each = lines.select("row", "after", "start", F.posexplode("lines").alias("i", "l")).select("row", "after", "start", "i", "l.c", "l.f", "l.n", "l.long")
-    each = each.join(small(cross.withColumnRenamed("s", "sc")), "c", "left").join(small(within.withColumnRenamed("s", "sf")), "f", "left")
-    line = F.struct("i", F.when(F.col("sc").isNotNull(), F.col("c")).otherwise(F.col("f")).alias("key"), "n", "long", F.coalesce("sc", "sf", F.lit(0)).alias("s"))
-    own = F.collect_set(F.when(F.col("sf") == 1, F.col("f"))).alias("keys")
-    whole = cut(each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines"), own))
-    found = cut(whole.select("after", "start", "lines").mapInArrow(_runs, "kind int, key bigint, below bigint, follows bigint").groupBy("kind", "key").agg(F.sum("below").alias("below"), F.sum("follows").alias("follows")))
-    keyed = [body.keyed(site, title, body.pack(text), words) for site, title, text in sample]
-    mine_ = sorted({v for k in keyed for v in (*k.cross, *k.within, k.start) if v is not None})
+    counts = Counts(pages if "ends" in pages.columns else pages.withColumn("ends", F.lit(None).cast("binary")), rows)
+    keyed = [body.keyed(site, title, body.pack(text), counts.words) for site, title, text in few]
+    mine_ = sorted({v for k in keyed for v in (*k.cross, *k.within) if v is not None})
     asked = spark.createDataFrame(pa.table({"key": pa.array(mine_, pa.int64())}))
     mine = lambda df, key: df.join(F.broadcast(asked.withColumnRenamed("key", key)), key, "left_semi").collect()
-    state = {r.c: r.s for r in mine(cross, "c")}
-    site_state = {r.f: r.s for r in mine(within, "f")}
-    heads = {r.key for r in mine(found.where("kind = 0 and follows > 0 and follows >= 0.5 * below"), "key")}
-    starts = {r.key for r in mine(found.where((F.col("kind") == 1) & (F.col("below") >= 2 * max(body.MANY, body.MANY_SHARE * rows))), "key")}
-    return body.Corpus(words, state, site_state, heads, starts, keyed), whole.select("row", "keys")
+    state = {r.c: r.s for r in mine(counts.cross, "c")}
+    site_state = {r.f: r.s for r in mine(counts.within, "f")}
+    return body.Corpus(counts.words, state, site_state, {r.key for r in mine(counts.heads, "key")}, counts.starts, keyed), counts.repeated

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -74,6 +75,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+@contextlib.contextmanager
+def staging(df: DataFrame):
+    """``stage`` for as long as the block runs; the table is deleted at its end."""
+    at = made(df.sparkSession, "tables")
+    df.write.option("compression", "snappy").parquet(at)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(at)
+    finally:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(at)
+
+
 def put_file(spark: SparkSession, data: bytes, name: str) -> str:
     """Bytes as a file of the shared folder; its URI, for ``SparkContext.addFile``."""
     jvm = spark.sparkContext._jvm
