@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import body, pages, spam, templates
+from weftline.llm import body, pages, spam, templates, weights
 
 
 def _records(spark, data):
@@ -39,3 +39,10 @@ def test_languages_are_those_of_all_texts_at_once(spark, data):
     assert len(all_.function) > 1 and one.function == all_.function and one.place == all_.place
     assert np.allclose(one.weight, all_.weight, atol=1e-3) and np.allclose(one.holding, all_.holding, atol=1e-3)
     assert not spam.Languages.fit(content.where(F.lit(False)), known).function
+
+
+def test_the_drivers_garbage_is_collected_between_the_steps(spark, data, monkeypatch):
+    swept = []
+    monkeypatch.setattr(weights, "sweep", lambda s: swept.append(s))
+    pages.Judge(_records(spark, data).limit(50))
+    assert len(swept) == max(body.STEPS) // weights.SWEEP

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.shared import cut, sweep
 from . import encoding
 from .body import tokens
 
@@ -251,7 +251,9 @@ class Parting:
         if len(pages.select("hint").distinct().limit(2).collect()) < 2:
             return None
         parting, spark = None, content.sparkSession
-        for _ in range(ROUNDS):
+        for k in range(ROUNDS):
+            if k % 4 == 0:
+                sweep(spark)
             now = spark.sparkContext.broadcast(parting)
 
             def add(total, b, now=now):
@@ -390,6 +392,7 @@ class ResidueModel:
             put(total, 2, learned)
             total[3 * size] += len(learned)
 
+        sweep(judge.records.sparkSession)
         got = sums(content, 3 * size + 1, first)
         counted = lambda v: [v[k : k + _SLOTS] for k in range(0, size, _SLOTS)]
         n = got[3 * size]
@@ -417,6 +420,7 @@ class ResidueModel:
                         own[0] = 0
                         total[kind * size + k * _SLOTS : kind * size + (k + 1) * _SLOTS] += own
 
+        sweep(judge.records.sparkSession)
         clean = sums(content.select("own"), 2 * size, second)
         return ResidueModel.of_counts(kinds_, prose(clean if clean.any() else got[: 2 * size]))
 

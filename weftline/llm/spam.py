@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, small, staging
+from ..plans.shared import cut, small, staging, sweep
 from . import residue
 from .encoding import portions
 from .residue import sums
@@ -654,6 +654,7 @@ def found(judge) -> DataFrame:
     """
     spark = judge.records.sparkSession
     languages = Languages.fit(judge.content.select(F.coalesce("sound", "own").alias("t")), judge.body.words)
+    sweep(spark)
     own = cut(measured(judge, spark.sparkContext.broadcast(languages)))
     stats = spark.sparkContext.broadcast(Centres(own).stats)
 

@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import small, staging
+from ..plans.shared import small, staging, sweep
 from . import body, templates
 from .residue import sums
 
+#: Steps after which the driver's garbage is collected.
+SWEEP = 6
 #: Words of the pages whose lines are compared, of the lines in a row, and rows that are added up at
 #: once, about.
 WORDS, ROW, ROWS = 600_000, 500, 400
@@ -176,6 +178,8 @@ def fit(counts: templates.Counts) -> body.BodyModel:
     w, g2 = np.zeros((2, n)), np.full((2, n), 1e-3)
     with staging(labelled(counts)) as all_:
         for k in range(max(body.STEPS)):
+            if k % SWEEP == 0:
+                sweep(all_.sparkSession)
             now = context.broadcast(w.astype("f4"))
             open_ = [kind for kind, steps in enumerate(body.STEPS) if k < steps]
             gradient = _gradient(all_.where(F.col("kind").isin(open_)), now, code, len(counts.words) + 2) / lines

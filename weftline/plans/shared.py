@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,13 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage between the passes of a long job: its heap shrinks, and Spark
+    deletes the files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def staging(df: DataFrame):
     """``stage`` for as long as the block runs; the table is deleted at its end."""
