@@ -98,7 +98,7 @@ def hashes(text: str) -> list[np.ndarray]:
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
     a = np.where((a >= 48) & (a <= 57), 48, a)
     out = []
-    since = np.arange(len(a)) - np.maximum.accumulate(np.where(a == 10, np.arange(len(a)), -1))
+    starts = np.concatenate([[-1], np.flatnonzero(a == 10)])
     h, k = np.zeros(len(a), "u8"), 0
     for n in _ORDERS:  # a longer gram goes on from the shorter one
         while k < min(n, len(a)):
@@ -106,7 +106,9 @@ def hashes(text: str) -> list[np.ndarray]:
             k += 1
         x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x >>= np.uint64(46)
-        x[since < n] = 0
+        for j in range(n):  # grams that begin before the line
+            at = starts + j
+            x[at[(at >= 0) & (at < len(x))]] = 0
         out.append(x.astype("i8"))
     return out
 
@@ -370,7 +372,10 @@ class ResidueModel:
 
         def put(total, kind, lines):
             if lines:
-                total[kind * size : (kind + 1) * size] += np.concatenate(_counts(lines))
+                for k, x in enumerate(hashes(joined(lines))):
+                    own = np.bincount(x, minlength=_SLOTS)
+                    own[0] = 0
+                    total[kind * size + k * _SLOTS : kind * size + (k + 1) * _SLOTS] += own
 
         def first(total, batch):
             for start, stop in encoding.portions(batch.column(0), AT_ONCE):
@@ -415,10 +420,12 @@ class ResidueModel:
                 line = np.repeat(np.arange(len(lines)), np.diff(np.concatenate([[-1], np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4") == 10), [len(text)]]))) if lines else ascii_
                 line = line[: len(text)]
                 for kind, use in enumerate((keep & ascii_, keep & ~ascii_)):
-                    for k, x in enumerate(slots):
-                        own = np.bincount(x[use[line]], minlength=_SLOTS)
-                        own[0] = 0
-                        total[kind * size + k * _SLOTS : kind * size + (k + 1) * _SLOTS] += own
+                    if use.any():
+                        here = use[line]
+                        for k, x in enumerate(slots):
+                            own = np.bincount(x if here.all() else x[here], minlength=_SLOTS)
+                            own[0] = 0
+                            total[kind * size + k * _SLOTS : kind * size + (k + 1) * _SLOTS] += own
 
         sweep(judge.records.sparkSession)
         clean = sums(content.select("own"), 2 * size, second)
