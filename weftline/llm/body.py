@@ -215,10 +215,20 @@ class Keyed:
 _digits = re.compile(r"\d+").sub
 
 
-def site_keys(site: str | None, toks: list[list[str]]) -> list[int]:
-    """The keys of lines within their site: their tokens with digits masked."""
+class Numbers(dict):
+    """The numbers of words: of those that templates keep, 1 for digits, 0 for all others."""
+
+    def __missing__(self, word: str) -> int:
+        return int(word[0].isdigit())
+
+
+def site_keys(site: str | None, toks: list[list[str]], codes: list[tuple[int, ...]] | None = None) -> list[int]:
+    """The keys of lines within their site: their tokens with digits masked. codes: the numbers of their
+    words, if they are known."""
     head = f"{site}\n"
-    return [xxhash.xxh3_64_intdigest((head + _digits("0", " ".join(t))).encode("utf-8", "replace")) - (1 << 63) for t in toks]
+    lines = [" ".join(t) for t in toks]
+    lines = [_digits("0", x) if codes is None or 1 in codes[i] else x for i, x in enumerate(lines)]
+    return [xxhash.xxh3_64_intdigest((head + x).encode("utf-8", "replace")) - (1 << 63) for x in lines]
 
 
 def keyed(site: str | None, title: str | None, packed: str, words: dict[str, int]) -> Keyed:
@@ -227,8 +237,8 @@ def keyed(site: str | None, title: str | None, packed: str, words: dict[str, int
     toks = [l.split(" ") for l in packed.lower().split("\n")] if packed else []
     wide = [t[-1] == _WIDE_MARK for t in toks]
     toks = [t[:-1] if w else t for t, w in zip(toks, wide)]
-    get = words.get
-    keys = [tuple([get(t) or (1 if t[0].isdigit() else 0) for t in l]) for l in toks]
+    number = (words if isinstance(words, Numbers) else Numbers(words)).__getitem__
+    keys = [tuple(map(number, l)) for l in toks]
     long = [w and len(t) >= 14 for t, w in zip(toks, wide)]
     # long text besides the line itself
     hosted = int(sum(len(t) for t, lg in zip(toks, long) if lg) >= 60)
@@ -236,7 +246,7 @@ def keyed(site: str | None, title: str | None, packed: str, words: dict[str, int
     after = lines.index(title) + 1 if title and title in lines else None
     start = hash(keys[after][:2]) if after is not None and after < len(lines) and max(keys[after][:2], default=0) > 1 else None
     return Keyed(
-        toks, [hash(k) for k in keys], site_keys(site, toks), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
+        toks, [hash(k) for k in keys], site_keys(site, toks, keys), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
         [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start, keys,
     )
 

@@ -229,6 +229,7 @@ def _screen(codes: np.ndarray, own: np.ndarray, lines: np.ndarray, n: int, model
     return passed
 
 
+@functools.lru_cache(maxsize=4096)
 def _may_be_multibyte(runs: str, deep: bool) -> bool:
     """Whether the runs' bytes under some single-byte encoding are valid in one of several bytes."""
     dense = deep and 3 * sum(c > "\x7e" for c in runs) > len(runs)

@@ -70,7 +70,9 @@ def running(page: list[str]) -> Counter:
     out: Counter = Counter()
     for x in page:
         low = x.lower()
-        ws = [w for w in (low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low)) if not w.isdigit()]
+        ws = low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low)
+        if any(map(str.isdigit, ws)):
+            ws = [w for w in ws if not w.isdigit()]
         if len(ws) >= RUNNING and _ends(x) * SENTENCE >= len(ws):
             out.update(ws)
     return out
@@ -462,7 +464,7 @@ class Measure:
         langs = self.languages(np.repeat(page_of_line, sizes_), code, len(pages))
         table = self.codes.table
         block, low = np.repeat(lines_, sizes_), table[code, 0]
-        order = np.argsort(block, kind="stable")
+        order = np.argsort(block.astype("u2") if m <= 1 << 16 else block, kind="stable")  # small numbers are sorted by counting
         block, low = block[order], low[order]
         n = np.bincount(block, minlength=m)
         size = np.maximum(n, 1)

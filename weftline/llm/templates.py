@@ -84,9 +84,9 @@ def page_lines(pages: DataFrame, words) -> DataFrame:
     """One row per record: the numbers of its words in a row, keys and form of its non-blank lines."""
 
     def run(batches):
+        numbers, kind_ = body.Numbers(words.value), code_kind(words.value)
         for rows, sites, titles, texts, stops in _portions(batches):
-            kind_ = code_kind(words.value)
-            out = [body.keyed(site, title, text, words.value) for site, title, text in zip(sites, titles, texts)]
+            out = [body.keyed(site, title, text, numbers) for site, title, text in zip(sites, titles, texts)]
             flat = lambda f, kind: pa.array([v for k in out for v in f(k)], kind)  # noqa: B023, E731
             ends = np.cumsum([0, *(len(k.toks) for k in out)], dtype="i4")
             line = pa.StructArray.from_arrays([

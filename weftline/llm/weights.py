@@ -18,9 +18,9 @@ from .residue import sums
 
 #: Steps after which the driver's garbage is collected.
 SWEEP = 6
-#: Words of the pages whose lines are compared, of the lines in a row, and rows that are added up at
-#: once, about.
-WORDS, ROW, ROWS = 600_000, 500, 400
+#: Words of the pages whose lines are compared, of the lines in a row, and of those that are added up
+#: at once, about.
+WORDS, ROW, AT_ONCE = 600_000, 1000, 32_000
 _LINES = "kind int, codes binary, sizes binary, forms binary, furniture binary, weight binary"
 _NAMES = [c.split()[0] for c in _LINES.split(", ")]
 _SIZES, _FORMS = 8, 64
@@ -99,24 +99,56 @@ def labelled(counts: templates.Counts) -> DataFrame:
 
 class _Slots:
     """The slots of the features of words, forms and sizes; those of pairs are found as ``body._mix`` does,
-    of which the low 32 bits are enough."""
+    of which the low 32 bits are enough. Arrays of the size of some lines' words are kept and used again."""
 
     def __init__(self, words: int):
         every = np.arange(words)
         self.word, self.first, self.last = (body._mix(every, 0, k) for k in (1, 3, 4))
         self.form, self.size = body._mix(np.arange(_FORMS), 0, 5), body._mix(np.arange(_SIZES), 0, 6)
-        self.left, self.right = ((every * a + b) & 0xFFFFFFFF for a, b in ((0x9E3779B1, 2 * 0xC2B2AE3D), (0x85EBCA77, 0)))
-        self.left, self.right = self.left.astype("u4"), self.right.astype("u4")
+        self.room: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, n: int, kind: str) -> np.ndarray:
+        held = self.room.get(name)
+        if held is None or len(held) < n:
+            held = self.room[name] = np.empty(max(n, 2 * AT_ONCE), kind)
+        return held[:n]
 
     def pairs(self, flat: np.ndarray) -> np.ndarray:
         """The slot of each word with the next one; the last has a slot of its own."""
-        mixed = self.left.take(flat[:-1], mode="clip")
-        mixed += self.right.take(flat[1:], mode="clip")
-        mixed >>= np.uint32(7)
-        mixed &= np.uint32(body._SLOTS - 1)
-        out = np.empty(len(flat), np.intp)
-        out[:-1] = mixed
-        return out
+        left, right, out = (self.array(k, len(flat), "u4") for k in ("left", "right", "mixed"))
+        np.copyto(out, flat, casting="unsafe")
+        np.multiply(out, np.uint32(0x9E3779B1), out=left)
+        np.multiply(out, np.uint32(0x85EBCA77), out=right)
+        left += np.uint32(2 * 0xC2B2AE3D & 0xFFFFFFFF)
+        np.add(left[:-1], right[1:], out=out[:-1])
+        out >>= np.uint32(7)
+        out &= np.uint32(body._SLOTS - 1)
+        slot = self.array("pair", len(flat), "intp")
+        np.copyto(slot, out)
+        return slot
+
+
+def _add_lines(sums_: dict, pairs: np.ndarray, places: _Slots, table: dict, w: np.ndarray, flat, n, form, top, every) -> None:
+    """Adds the gradient of some lines to the sums by word, form and size and to those by slot of pairs."""
+    at = places.array("flat", len(flat), "intp")
+    np.copyto(at, flat)
+    stop = np.cumsum(n)
+    begin, end, size = stop - n, stop - 1, form >> 3
+    pair = places.pairs(flat)
+    pair[end] = body._SLOTS
+    ratio, more = places.array("ratio", len(flat), "f4"), places.array("more", len(flat), "f4")
+    table["word"].take(at, mode="clip", out=ratio)
+    w.take(pair, mode="clip", out=more)
+    ratio += more
+    z = np.add.reduceat(ratio, begin, dtype="f8")
+    first, last = at[begin], at[end]
+    z += table["first"][first] + table["last"][last] + table["form"][form] + table["size"][size]
+    norm = 3 / np.sqrt(2 * n + 3)
+    error = (every / (1 + np.exp(-norm * z)) - top) * norm
+    each = np.repeat(error, n)
+    np.add.at(pairs, pair, each)
+    for k, of, e in (("word", at, each), ("first", first, error), ("last", last, error), ("form", form, error), ("size", size, error)):
+        sums_[k] += np.bincount(of, e, len(table[k]))
 
 
 def _gradient(lines: DataFrame, now, code: str, words: int) -> np.ndarray:
@@ -132,24 +164,12 @@ def _gradient(lines: DataFrame, now, code: str, words: int) -> np.ndarray:
             sums_ = {k: np.zeros(len(v)) for k, v in table.items()}
             pairs = np.zeros(slots + 1)
             own = b.filter(pa.array(kinds == kind))
-            for start in range(0, own.num_rows, ROWS):
-                part = own.slice(start, ROWS)
-                flat, n, form, top, every = (_unpacked(part.column(k), t) for k, t in enumerate((code, "i4", "u1", "f4", "f4"), 1))
-                flat, stop = flat.astype(np.intp), np.cumsum(n)
-                begin, end, size = stop - n, stop - 1, form >> 3
-                pair = places.pairs(flat)
-                pair[end] = slots
-                ratio = table["word"].take(flat, mode="clip")
-                ratio += w.take(pair, mode="clip")
-                z = np.add.reduceat(ratio, begin, dtype="f8")
-                first, last = flat[begin], flat[end]
-                z += table["first"][first] + table["last"][last] + table["form"][form] + table["size"][size]
-                norm = 3 / np.sqrt(2 * n + 3)
-                error = (every / (1 + np.exp(-norm * z)) - top) * norm
-                each = np.repeat(error, n)
-                pairs += np.bincount(pair, each, slots + 1)
-                for k, at, e in (("word", flat, each), ("first", first, error), ("last", last, error), ("form", form, error), ("size", size, error)):
-                    sums_[k] += np.bincount(at, e, len(table[k]))
+            flat, n, form, top, every = (_unpacked(own.column(k), t) for k, t in enumerate((code, "i4", "u1", "f4", "f4"), 1))
+            stop = np.cumsum(n, dtype="i8")
+            edge = [0, *(np.flatnonzero(np.diff(stop // AT_ONCE)) + 1).tolist(), len(n)]
+            for i, j in zip(edge, edge[1:]):
+                words_ = flat[stop[i] - n[i] : stop[j - 1]]
+                _add_lines(sums_, pairs, places, table, w, words_, n[i:j], form[i:j], top[i:j], every[i:j])
             mine = total[kind * slots : (kind + 1) * slots]
             mine += pairs[:slots]
             for k, v in sums_.items():
