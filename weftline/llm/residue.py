@@ -208,6 +208,35 @@ def notices_of(pages: list[tuple[bool, list[str]]]) -> list[str]:
 _CHUNK, _DIRECT = 4096, 16 << 20
 
 
+_SUMS = "k bigint, at binary, v binary"
+
+
+def _sent(total: np.ndarray, kind: str) -> pa.RecordBatch:
+    """The parts of a vector that hold anything: all of their numbers, or the places (``at``) and numbers
+    of those that are not 0 if that is shorter."""
+    ks, ats, vs = [], [], []
+    for k in range(0, len(total), _CHUNK):
+        part = total[k : k + _CHUNK]
+        hit = np.flatnonzero(part)
+        if not len(hit):
+            continue
+        v = part.astype(kind)
+        few = len(hit) * (2 + v.itemsize) < v.nbytes
+        ks.append(k)
+        ats.append(hit.astype("u2").tobytes() if few else None)
+        vs.append((v[hit] if few else v).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ats, pa.binary()), pa.array(vs, pa.binary())], names=["k", "at", "v"])
+
+
+def _put(out: np.ndarray, k: int, at: bytes | None, v: bytes, kind: str) -> None:
+    """Adds one part that was sent."""
+    v = np.frombuffer(v, kind)
+    if at is None:
+        out[k : k + len(v)] += v
+    else:
+        out[k + np.frombuffer(at, "u2").astype("i8")] += v
+
+
 def sums(rows: DataFrame, size: int, add, kind: str = "f8") -> np.ndarray:
     """The sum of a vector over all rows: ``add(total, batch)`` adds a batch to a task's own; there are
     no more tasks than cores. kind: of the numbers that tasks send."""
@@ -217,21 +246,23 @@ def sums(rows: DataFrame, size: int, add, kind: str = "f8") -> np.ndarray:
         total = np.zeros(size)
         for b in batches:
             add(total, b)
-        parts = [(k, total[k : k + _CHUNK].astype(kind).tobytes()) for k in range(0, size, _CHUNK) if total[k : k + _CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([v for _, v in parts], pa.binary())], names=["k", "v"])
+        yield _sent(total, kind)
 
     def both(table):
-        v = sum(np.frombuffer(x, kind).astype("f8") for x in table.column("v").to_pylist())
-        return pa.table({"k": table.column("k")[:1], "v": pa.array([v.astype(kind).tobytes()], pa.binary())})
+        k = table.column("k")[0].as_py()
+        v = np.zeros(min(_CHUNK, size - k))
+        for at, x in zip(table.column("at").to_pylist(), table.column("v").to_pylist()):
+            _put(v, 0, at, x, kind)
+        return pa.table({"k": table.column("k")[:1], "at": pa.array([None], pa.binary()), "v": pa.array([v.astype(kind).tobytes()], pa.binary())})
 
-    got = rows.coalesce(tasks).mapInArrow(run, "k bigint, v binary")
+    got = rows.coalesce(tasks).mapInArrow(run, _SUMS)
     shuffled = tasks * size * np.dtype(kind).itemsize > _DIRECT
     if shuffled:
-        got = got.groupBy("k").applyInArrow(both, "k bigint, v binary")
+        got = got.groupBy("k").applyInArrow(both, _SUMS)
     out = np.zeros(size)
-    for r in got.collect():
-        v = np.frombuffer(r.v, kind)
-        out[r.k : r.k + len(v)] += v
+    for part in got.toArrow().to_batches():  # not as rows, which are pickled one by one
+        for k, at, v in zip(*(c.to_pylist() for c in part.columns)):
+            _put(out, k, at, v, kind)
     if shuffled:
         got._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
     return out
