@@ -75,7 +75,7 @@ def _features(lines: list[list[str]], ends: list[bool], words: dict[str, int]) -
 
 def _mix(a, b, k: int):
     """The slot of a feature of the given kind."""
-    return (((a * 0x9E3779B1 + b * 0x85EBCA77 + k * 0xC2B2AE3D) & 0x7FFFFFFFFFFF) >> 7) % _SLOTS
+    return (((a * 0x9E3779B1 + b * 0x85EBCA77 + k * 0xC2B2AE3D) & 0x7FFFFFFFFFFF) >> 7) & (_SLOTS - 1)
 
 
 def _size(n: np.ndarray) -> np.ndarray:

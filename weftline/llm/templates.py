@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, small
+from ..plans.shared import cut, few, small
 from . import body, encoding
 
 #: Counts of words a task holds before it sends them on.
@@ -132,6 +132,55 @@ def flat_lines(column: pa.Array, *names: str) -> tuple[list[int], list[list]]:
     return edge.tolist(), [lines.field(n).to_numpy(zero_copy_only=False).tolist() for n in names]
 
 
+class Table:
+    """Numbers other than 0 by key, for arrays of keys; 0 for all other keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype("i4")
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str) -> "Table":
+        """A counted table (key, s)."""
+        got = df.select(key, "s").toArrow()
+        return cls(got[key].to_numpy(), got["s"].to_numpy())
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), "i4")
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0)
+
+
+_JUDGED = "row bigint, after int, start bigint, codes binary, ends binary, lines array<struct<i:int,key:bigint,n:int,long:boolean,s:int>>, keys array<bigint>"
+
+
+def _judged(lines: DataFrame, cross: Table, within: Table) -> DataFrame:
+    """``Counts.judged`` by tables that every task holds: no line leaves its page."""
+    states = lines.sparkSession.sparkContext.broadcast((cross, within))
+
+    def run(batches):
+        across, inside = states.value
+        for b in batches:
+            own = b.column("lines").flatten()
+            c, f = (own.field(k).to_numpy(zero_copy_only=False) for k in "cf")
+            edge = np.array(flat_lines(b.column("lines"))[0])
+            page = np.repeat(np.arange(b.num_rows), np.diff(edge))
+            sc, sf = across[c], inside[f]
+            line = pa.StructArray.from_arrays(
+                [pa.array(np.arange(len(c)) - edge[page], pa.int32()), pa.array(np.where(sc != 0, c, f)), own.field("n"), own.field("long"), pa.array(np.where(sc != 0, sc, sf), pa.int32())],
+                names=["i", "key", "n", "long", "s"],
+            )
+            use = np.flatnonzero(sf == 1)
+            use = use[np.lexsort((f[use], page[use]))]
+            once = use[np.concatenate([[True], (f[use][1:] != f[use][:-1]) | (page[use][1:] != page[use][:-1])])[: len(use)]]
+            keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(page[once], np.arange(b.num_rows + 1)), pa.int32()), pa.array(f[once], pa.int64()))
+            rest = [b.column(k) for k in ("row", "after", "start", "codes", "ends")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), line), keys], names=["row", "after", "start", "codes", "ends", "lines", "keys"])
+
+    return lines.select("row", "after", "start", "codes", "ends", "lines").mapInArrow(run, _JUDGED)
+
+
 def _runs(batches):
     """(kind, key, below, follows): headings above short runs below the text, and starts of bylines."""
     for b in batches:
@@ -159,8 +208,8 @@ class Counts:
     """What all ``pages`` (row, site, title, text, ends) show, texts restored and packed; ends: a byte for
     each non-blank line, 1 if it ends a sentence.
 
-    ``lines``: ``page_lines``; ``cross``, ``within``: ``_states``; ``judged``: (row, after, start, lines,
-    keys), the lines with their state; ``heads``: (key) of headings of sidebars; ``starts``: of bylines;
+    ``lines``: ``page_lines``; ``cross``, ``within``: ``_states``; ``judged``: (row, after, start, codes,
+    ends, lines, keys), the lines with their state; ``heads``: (key) of headings of sidebars; ``starts``: of bylines;
     ``repeated``: (row, keys), for each page the keys of those of its lines that are its site's own
     furniture by count.
     """
@@ -170,16 +219,24 @@ class Counts:
         self.words = known_words(pages, rows)
         self.lines = lines = cut(page_lines(pages, spark.sparkContext.broadcast(self.words)))
         self.cross, self.within = (cut(x) for x in _states(lines, rows))
-        each = lines.select("row", "after", "start", F.posexplode("lines").alias("i", "l")).select("row", "after", "start", "i", "l.c", "l.f", "l.n", "l.long")
-        each = each.join(small(self.cross.withColumnRenamed("s", "sc")), "c", "left").join(small(self.within.withColumnRenamed("s", "sf")), "f", "left")
-        line = F.struct("i", F.when(F.col("sc").isNotNull(), F.col("c")).otherwise(F.col("f")).alias("key"), "n", "long", F.coalesce("sc", "sf", F.lit(0)).alias("s"))
-        own = F.collect_set(F.when(F.col("sf") == 1, F.col("f"))).alias("keys")
-        self.judged = cut(each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines"), own))
+        if few(self.cross) and few(self.within):
+            self.judged = cut(_judged(lines, Table.of(self.cross, "c"), Table.of(self.within, "f")))
+        else:
+            self.judged = cut(self._joined())
         found = cut(self.judged.select("after", "start", "lines").mapInArrow(_runs, "kind int, key bigint, below bigint, follows bigint").groupBy("kind", "key").agg(F.sum("below").alias("below"), F.sum("follows").alias("follows")))
         self.heads = found.where("kind = 0 and follows > 0 and follows >= 0.5 * below").select("key")
         self.starts = {r.key for r in found.where((F.col("kind") == 1) & (F.col("below") >= 2 * max(body.MANY, body.MANY_SHARE * rows))).collect()}
         self.repeated = self.judged.select("row", "keys")
 
+    def _joined(self) -> DataFrame:
+        """``judged`` where more recurs than every task may hold."""
+        each = self.lines.select("row", "after", "start", F.posexplode("lines").alias("i", "l")).select("row", "after", "start", "i", "l.c", "l.f", "l.n", "l.long")
+        each = each.join(small(self.cross.withColumnRenamed("s", "sc")), "c", "left").join(small(self.within.withColumnRenamed("s", "sf")), "f", "left")
+        line = F.struct("i", F.when(F.col("sc").isNotNull(), F.col("c")).otherwise(F.col("f")).alias("key"), "n", "long", F.coalesce("sc", "sf", F.lit(0)).alias("s"))
+        own = F.collect_set(F.when(F.col("sf") == 1, F.col("f"))).alias("keys")
+        pages = each.groupBy("row", "after", "start").agg(F.array_sort(F.collect_list(line)).alias("lines"), own)
+        return pages.join(self.lines.select("row", "codes", "ends"), "row").select("row", "after", "start", "codes", "ends", "lines", "keys")
+
 
 def count(pages: DataFrame, rows: int, few: list[tuple]) -> tuple[body.Corpus, DataFrame]:
     """What all ``pages`` (row, site, title, text) show, as far as the lines of a few (site, title, text)

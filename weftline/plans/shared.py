@@ -84,10 +84,10 @@ def sweep(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def staging(df: DataFrame):
+def staging(df: DataFrame, compression: str = "snappy"):
     """``stage`` for as long as the block runs; the table is deleted at its end."""
     at = made(df.sparkSession, "tables")
-    df.write.option("compression", "snappy").parquet(at)
+    df.write.option("compression", compression).parquet(at)
     try:
         yield df.sparkSession.read.schema(df.schema).parquet(at)
     finally:
@@ -131,6 +131,11 @@ def local_path(uri: str) -> str:
 BROADCAST_ROWS = 100_000
 
 
+def few(df: DataFrame) -> bool:
+    """Whether a table that is cut from its lineage has so few rows that every task may hold it."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffle.
 
