@@ -19,7 +19,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +208,8 @@ def notices_of(pages: list[tuple[bool, list[str]]]) -> list[str]:
 #: Numbers of a vector that go in one row; bytes of all tasks' vectors up to which they are added up
 #: where they are collected.
 _CHUNK, _DIRECT = 4096, 16 << 20
+#: Rows of a file that a task reads at once.
+_READ = 16
 
 
 _SUMS = "k bigint, at binary, v binary"
@@ -237,15 +241,18 @@ def _put(out: np.ndarray, k: int, at: bytes | None, v: bytes, kind: str) -> None
         out[k + np.frombuffer(at, "u2").astype("i8")] += v
 
 
-def sums(rows: DataFrame, size: int, add, kind: str = "f8") -> np.ndarray:
+def sums(rows: DataFrame, size: int, add, kind: str = "f8", files: Broadcast | None = None) -> np.ndarray:
     """The sum of a vector over all rows: ``add(total, batch)`` adds a batch to a task's own; there are
-    no more tasks than cores. kind: of the numbers that tasks send."""
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    no more tasks than cores. kind: of the numbers that tasks send. files: the files of the rows
+    (``dealt_files``), which tasks then read by themselves, so that no row goes through the JVM."""
+    spark = rows.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
 
     def run(batches):
         total = np.zeros(size)
         for b in batches:
-            add(total, b)
+            for own in [b] if files is None else (x for k in b.column(0).to_pylist() for f in files.value[k] for x in pq.ParquetFile(f).iter_batches(_READ, use_threads=False)):
+                add(total, own)
         yield _sent(total, kind)
 
     def both(table):
@@ -255,7 +262,8 @@ def sums(rows: DataFrame, size: int, add, kind: str = "f8") -> np.ndarray:
             _put(v, 0, at, x, kind)
         return pa.table({"k": table.column("k")[:1], "at": pa.array([None], pa.binary()), "v": pa.array([v.astype(kind).tobytes()], pa.binary())})
 
-    got = rows.coalesce(tasks).mapInArrow(run, _SUMS)
+    given = rows.coalesce(tasks) if files is None else spark.range(0, len(files.value), 1, tasks)
+    got = given.mapInArrow(run, _SUMS)
     shuffled = tasks * size * np.dtype(kind).itemsize > _DIRECT
     if shuffled:
         got = got.groupBy("k").applyInArrow(both, _SUMS)

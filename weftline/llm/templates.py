@@ -102,6 +102,40 @@ def page_lines(pages: DataFrame, words) -> DataFrame:
     return pages.mapInArrow(run, _LINES)
 
 
+_ONCE = "key bigint, wide boolean, longest bigint, n bigint, h bigint, lo bigint, hi bigint"
+
+
+def _once(lines: DataFrame, key: str, use: str, by_longest: bool = False) -> DataFrame:
+    """How many pages show each key of those lines that ``use`` tells, and whether it is a long line: the
+    pages ``n``, the sum ``h`` of their ``hosted`` (the greatest by the pages' longest line), and the least
+    and greatest hash of their sites; the partial results of each batch."""
+
+    def run(batches):
+        for b in batches:
+            edge = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False))])
+            keys, used, wide = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+            page = np.repeat(np.arange(b.num_rows), np.diff(edge))[used]
+            keys, wide = keys[used], wide[used] >= 14
+            site, hosted, longest = (b.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(3))
+            group = longest[page] if by_longest else np.zeros(len(page), "i8")
+            order = np.lexsort((page, group, wide, keys))
+            page, keys, wide, group = page[order], keys[order], wide[order], group[order]
+            new = np.ones(len(page), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (wide[1:] != wide[:-1]) | (group[1:] != group[:-1])
+            once = new.copy()
+            once[1:] |= page[1:] != page[:-1]
+            start, page = np.flatnonzero(new[once]), page[once]
+            keys, wide, group = keys[new], wide[new], group[new]
+            if not len(start):
+                continue
+            n = np.diff(np.append(start, len(page)))
+            h = (np.maximum if by_longest else np.add).reduceat(hosted[page].astype("i8"), start)
+            lo, hi = (f.reduceat(site[page], start) for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, wide, group, n, h, lo, hi)], names=[c.split()[0] for c in _ONCE.split(", ")])
+
+    return lines.select(F.xxhash64(F.coalesce("site", F.lit(""))).alias("site"), "hosted", "longest", f"lines.{key}", f"lines.{use}", "lines.n").mapInArrow(run, _ONCE)
+
+
 def _states(lines: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """(c, s) and (f, s): what recurs across sites and within one; s is 1 for furniture, -1 for content."""
     many = max(body.MANY, body.MANY_SHARE * rows)
@@ -110,16 +144,14 @@ def _states(lines: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
         # Long lines recur in edited copies of one page too.
         return F.when(F.col("wide"), 3 * F.lit(x) if isinstance(x, (int, float)) else 3 * x).otherwise(x)
 
-    once = lambda key, use: F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x[use]), lambda x: F.struct(x[key].alias(key), (x["n"] >= 14).alias("wide"))))).alias("l")
-    cross = lines.select("site", "hosted", once("c", "ok")).groupBy("l.c", "l.wide").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("hosted").alias("h"), F.min(F.coalesce("site", F.lit(""))).alias("lo"), F.max(F.coalesce("site", F.lit(""))).alias("hi")
-    )
-    cross = cross.where(F.col("n") >= least(many)).select("c", F.when(F.col("h") >= body.HOSTED * F.col("n"), 1).when(F.col("lo") != F.col("hi"), -1).alias("s")).where("s is not null")
-    size = lines.where("site is not null").groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    cross = _once(lines, "c", "ok").groupBy("key", "wide").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cross = cross.where(F.col("n") >= least(many)).select(F.col("key").alias("c"), F.when(F.col("h") >= body.HOSTED * F.col("n"), 1).when(F.col("lo") != F.col("hi"), -1).alias("s")).where("s is not null")
+    sited = lines.where("site is not null")
+    size = sited.groupBy(F.xxhash64("site").alias("lo")).agg(F.count(F.lit(1)).alias("pages"))
     # Edited copies of one page, told by their longest line, support a template once.
-    within = lines.where("site is not null").select("site", "hosted", "longest", once("f", "own")).groupBy("site", "l.f", "l.wide", "longest").agg(F.max("hosted").alias("hosted"), F.count(F.lit(1)).alias("n"))
-    within = within.groupBy("site", "f", "wide").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("hosted").alias("h"))
-    within = within.where(F.col("k") >= least(body.MANY)).join(size, "site").where((F.col("n") >= SITE_SHARE * F.col("pages")) & (F.col("h") >= body.HOSTED * F.col("k")))
+    within = _once(sited, "f", "own", True).groupBy("lo", F.col("key").alias("f"), "wide", "longest").agg(F.max("h").alias("hosted"), F.sum("n").alias("n"))
+    within = within.groupBy("lo", "f", "wide").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("hosted").alias("h"))
+    within = within.where(F.col("k") >= least(body.MANY)).join(size, "lo").where((F.col("n") >= SITE_SHARE * F.col("pages")) & (F.col("h") >= body.HOSTED * F.col("k")))
     return cross.dropDuplicates(["c"]), within.select("f", F.lit(1).alias("s")).dropDuplicates(["f"])
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import few, small, staging, sweep
+from ..plans.shared import dealt_files, few, small, staging, sweep
 from . import body, templates
 from .residue import sums
 
@@ -165,23 +165,25 @@ def _add_lines(sums_: dict, pairs: np.ndarray, places: _Slots, table: dict, w: n
         sums_[k] += np.bincount(of, e, len(table[k]))
 
 
-def _gradient(lines: DataFrame, now, code: str, words: int) -> np.ndarray:
-    """The gradients of both classifiers at the weights ``now``, summed over all lines."""
+def _gradient(lines: DataFrame, now, code: str, words: int, open_: tuple[int, ...] = (0, 1), files=None) -> np.ndarray:
+    """The gradients of the classifiers in ``open_`` at the weights ``now``, summed over all lines; files: as
+    ``sums`` takes them."""
     slots = body._SLOTS
 
     def add(total, b):
         places = _places(words)
         if b.schema.names == _NAMES:
             b = _paired(b, code)
-        kinds = b.column(0).to_numpy(zero_copy_only=False)
-        for kind in np.unique(kinds).tolist():
+        kinds = b.column(0).to_pylist()
+        for kind in sorted({*kinds} & {*open_}):
             w = np.append(now.value[kind], np.float32(0))
             table = {k: w[v] for k, v in (("word", places.word), ("first", places.first), ("last", places.last), ("form", places.form), ("size", places.size))}
             sums_ = {k: np.zeros(len(v)) for k, v in table.items()}
             pairs = np.zeros(slots + 1)
-            for word, pair, place, n, form, top, every in zip(*(c.to_pylist() for c in b.filter(pa.array(kinds == kind)).columns[1:])):
+            for i in (i for i, k in enumerate(kinds) if k == kind):
+                word, pair, place, n, form, top, every = (c[i].as_buffer() for c in b.columns[1:])
                 n, form = np.frombuffer(n, "i4"), np.frombuffer(form, "u1")
-                place = np.frombuffer(place, f"u{len(place) // int(n.sum())}")
+                place = np.frombuffer(place, f"u{place.size // int(n.sum())}")
                 own = np.frombuffer(word, code), np.frombuffer(pair, "u4"), place, n, form, np.frombuffer(top, "f4"), np.frombuffer(every, "f4")
                 _add_lines(sums_, pairs, places, table, w, *own)
             mine = total[kind * slots : (kind + 1) * slots]
@@ -189,7 +191,7 @@ def _gradient(lines: DataFrame, now, code: str, words: int) -> np.ndarray:
             for k, v in sums_.items():
                 mine += np.bincount(getattr(places, k), v, slots)
 
-    return sums(lines, 2 * slots, add, "f4").reshape(2, slots)
+    return sums(lines, 2 * slots, add, "f4", *(() if files is None else (files,))).reshape(2, slots)
 
 
 _made: dict[int, _Slots] = {}
@@ -211,12 +213,14 @@ def fit(counts: templates.Counts) -> body.BodyModel:
         return model
     w, g2 = np.zeros((2, n)), np.full((2, n), 1e-3)
     with staging(labelled(counts), "uncompressed") as all_:
+        dealt = dealt_files(all_, context.defaultParallelism)
+        files = context.broadcast(dealt) if dealt else None
         for k in range(max(body.STEPS)):
             if k % SWEEP == 0:
                 sweep(all_.sparkSession)
             now = context.broadcast(w.astype("f4"))
-            open_ = [kind for kind, steps in enumerate(body.STEPS) if k < steps]
-            gradient = _gradient(all_.where(F.col("kind").isin(open_)), now, code, len(counts.words) + 2) / lines
+            open_ = tuple(kind for kind, steps in enumerate(body.STEPS) if k < steps)
+            gradient = _gradient(all_.where(F.col("kind").isin(*open_)), now, code, len(counts.words) + 2, open_, files) / lines
             now.destroy()
             for kind in open_:
                 body.step(w[kind], g2[kind], gradient[kind])

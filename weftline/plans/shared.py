@@ -6,6 +6,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import urllib.parse
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,21 @@ def local_path(uri: str) -> str:
     return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else os.fspath(uri)
 
 
+def dealt_files(df: DataFrame, hands: int) -> list[list[str]] | None:
+    """The paths of a staged table's files, dealt to tasks by their size; None where the shared folder is
+    not one that tasks can open by themselves."""
+    names = df.inputFiles()
+    if not all(x.startswith("file:") for x in names):
+        return None
+    paths = [urllib.parse.unquote(local_path(x)) for x in names]
+    out, held = [[] for _ in range(hands)], [0] * hands
+    for size, path in sorted(((os.path.getsize(x), x) for x in paths), reverse=True):
+        k = held.index(min(held))
+        out[k].append(path)
+        held[k] += size
+    return out
+
+
 #: Rows of a narrow table up to which it may be broadcast, after they have been counted.
 BROADCAST_ROWS = 100_000
 
