@@ -63,14 +63,19 @@ class BodyModel:
     heading: np.ndarray = field(default_factory=lambda: np.zeros(_SLOTS, "f4"))
 
 
-def _features(lines: list[list[str]], ends: list[bool], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature slots, line of each) of lines by their tokens."""
+def _numbered(lines: list[list[str]], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of the words of all lines in a row, how many each line has)."""
     n = np.fromiter(map(len, lines), "i8", len(lines))
     every = list(chain.from_iterable(lines))
     flat = np.fromiter(map(words.get, every, repeat(0)), "i8", len(every))
     unknown = np.flatnonzero(flat == 0)
     flat[unknown] = np.fromiter((every[i][0].isdigit() for i in unknown.tolist()), "i8", len(unknown))
-    return features(flat, n, np.array(ends, "i8"))
+    return flat, n
+
+
+def _features(lines: list[list[str]], ends: list[bool], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature slots, line of each) of lines by their tokens."""
+    return features(*_numbered(lines, words), np.array(ends, "i8"))
 
 
 def _mix(a, b, k: int):
@@ -171,6 +176,48 @@ def pack_line(line: str) -> str:
     return _packs[line] if len(line) < 64 else _pack_line(line)
 
 
+#: Of each byte of an ASCII line: 0 white space, 1 letter, 2 digit, 3 sign.
+_KINDS = np.array([0 if chr(c).isspace() else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(128)], "u1")
+#: Characters of lines that are packed at once.
+_PACKED_AT_ONCE = 1 << 20
+
+
+def pack_lines(lines: list[str]) -> list[str]:
+    """``pack_line`` of each line; long ASCII lines are packed many at once."""
+    out, held, size = list(lines), [], 0
+    for i, x in enumerate(lines):
+        if len(x) < 64:
+            out[i] = _packs[x] if x else ""
+        elif not x.isascii():
+            out[i] = _pack_line(x)
+        else:
+            held.append(i)
+            size += len(x)
+            if size > _PACKED_AT_ONCE:
+                _pack_ascii(out, held)
+                held, size = [], 0
+    if held:
+        _pack_ascii(out, held)
+    return out
+
+
+def _pack_ascii(out: list[str], at: list[int]) -> None:
+    """Packs those long ASCII lines of a list that stand at some places."""
+    a = np.frombuffer("\n".join([out[i] for i in at]).encode(), "u1")
+    kind = _KINDS[a]
+    end = a == 10
+    keep = np.flatnonzero((kind > 0) | end)
+    a, kind, end = a[keep], kind[keep], end[keep]
+    apart = (np.diff(keep) > 1) | (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    apart &= ~(end[1:] | end[:-1])
+    place = np.arange(len(a), dtype="i4")
+    place[1:] += np.cumsum(apart, dtype="i4")
+    packed = np.full(int(place[-1]) + 1 if len(a) else 0, 32, "u1")
+    packed[place] = a
+    for i, x in zip(at, packed.tobytes().decode().split("\n")):
+        out[i] = f"{x} {_WIDE_MARK}"
+
+
 def _pack_line(line: str) -> str:
     out = " ".join(_ascii_tokens(line) if line.isascii() else _any_tokens(line))
     return f"{out} {_WIDE_MARK}" if len(line) >= WIDE else out
@@ -181,12 +228,37 @@ def pack(text: str) -> str:
     return "\n".join([pack_line(x) for l in text.split("\n") if (x := l.strip())])
 
 
-def words_of(packed: str) -> tuple[set[str], set[str]]:
-    """(words, words that stand in lower case) of a packed text; digits do not count."""
-    seen = {t for t in set(packed.replace("\n", " ").split(" ")) if t and not t[0].isdigit()}
-    seen.discard(_WIDE_MARK)
-    once = {t.lower() for t in seen}
-    return once, once & seen
+class Spellings(dict):
+    """The number of each word as it is written; ``words`` has them by number, ``low`` the number of each
+    one's lower case (-1 for what is no word: digits, the mark of wide lines, nothing), ``long`` whether it
+    has more than one character."""
+
+    def __init__(self):
+        self.words: list[str] = []
+        self.low: list[int] = []
+        self.long: list[bool] = []
+
+    def __missing__(self, w: str) -> int:
+        k = self[w] = len(self.words)
+        self.words.append(w)
+        self.long.append(len(w) > 1)
+        self.low.append(-1)
+        if w and not w[0].isdigit() and w != _WIDE_MARK:
+            low = w.lower()
+            self.low[k] = k if low == w else self[low]
+        return k
+
+    def pages(self, packed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, words, whether the word stands there in lower case) of packed texts, each word of a text
+        once; words are numbers of lower case."""
+        seen = [set(x.replace("\n", " ").split(" ")) for x in packed]
+        n = np.fromiter(map(len, seen), "i8", len(seen))
+        code = np.fromiter(map(self.__getitem__, chain.from_iterable(seen)), "i8", n.sum())
+        at, low = np.repeat(np.arange(len(seen)), n) * len(self.words), np.array(self.low, "i8")[code]
+        key = np.sort((2 * (at + low) + (low != code))[low >= 0])  # a word as it is in lower case stands first
+        key = key[np.flatnonzero(np.diff(key >> 1, prepend=-1))]
+        once = key >> 1
+        return once // max(len(self.words), 1), once % max(len(self.words), 1), key & 1 == 0
 
 
 @dataclass
@@ -218,36 +290,61 @@ _digits = re.compile(r"\d+").sub
 class Numbers(dict):
     """The numbers of words: of those that templates keep, 1 for digits, 0 for all others."""
 
+    def __init__(self, *words):
+        super().__init__(*words)
+        self._lines: dict[str, tuple] = {}
+
     def __missing__(self, word: str) -> int:
         return int(word[0].isdigit())
 
+    def line(self, packed: str) -> tuple:
+        """(tokens, their numbers, key across sites, whether that counts, whether a word begins with a letter,
+        whether it is long, the line with digits masked) of a packed line in lower case. What stands
+        for a short line is remembered."""
+        if len(packed) >= 64:
+            return self._line(packed)
+        out = self._lines.get(packed)
+        if out is None:
+            if len(self._lines) >= 50_000:
+                self._lines.clear()
+            out = self._lines[packed] = self._line(packed)
+        return out
 
-def site_keys(site: str | None, toks: list[list[str]], codes: list[tuple[int, ...]] | None = None) -> list[int]:
-    """The keys of lines within their site: their tokens with digits masked. codes: the numbers of their
-    words, if they are known."""
-    head = f"{site}\n"
+    def _line(self, packed: str) -> tuple:
+        toks = packed.split(" ")
+        wide = toks[-1] == _WIDE_MARK
+        if wide:
+            toks.pop()
+            packed = packed[:-2]
+        k = tuple(map(self.__getitem__, toks))
+        counts = (len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2
+        return toks, k, hash(k), counts, any(t[0].isalpha() for t in toks), wide and len(toks) >= 14, _digits("0", packed) if 1 in k else packed
+
+
+def site_keys(site: str | None, toks: list[list[str]], digits: list[bool] | None = None) -> list[int]:
+    """The keys of lines within their site: their tokens with digits masked. digits: whether each line has
+    any, if that is known."""
     lines = [" ".join(t) for t in toks]
-    lines = [_digits("0", x) if codes is None or 1 in codes[i] else x for i, x in enumerate(lines)]
-    return [xxhash.xxh3_64_intdigest((head + x).encode("utf-8", "replace")) - (1 << 63) for x in lines]
+    return _site_keys(site, [_digits("0", x) if digits is None or digits[i] else x for i, x in enumerate(lines)])
+
+
+def _site_keys(site: str | None, masked: list[str]) -> list[int]:
+    head = f"{site}\n"
+    return [xxhash.xxh3_64_intdigest((head + x).encode("utf-8", "replace")) - (1 << 63) for x in masked]
 
 
 def keyed(site: str | None, title: str | None, packed: str, words: dict[str, int]) -> Keyed:
     """The keys of a restored and packed text's lines; ``words`` are those that templates keep."""
     lines = packed.split("\n") if packed else []
-    toks = [l.split(" ") for l in packed.lower().split("\n")] if packed else []
-    wide = [t[-1] == _WIDE_MARK for t in toks]
-    toks = [t[:-1] if w else t for t, w in zip(toks, wide)]
-    number = (words if isinstance(words, Numbers) else Numbers(words)).__getitem__
-    keys = [tuple(map(number, l)) for l in toks]
-    long = [w and len(t) >= 14 for t, w in zip(toks, wide)]
+    number = words if isinstance(words, Numbers) else Numbers(words)
+    toks, keys, cross, counts, own, long, masked = map(list, zip(*map(number.line, packed.lower().split("\n")))) if packed else ([] for _ in range(7))
     # long text besides the line itself
     hosted = int(sum(len(t) for t, lg in zip(toks, long) if lg) >= 60)
     title = pack_line(title.strip()) if title else None
     after = lines.index(title) + 1 if title and title in lines else None
     start = hash(keys[after][:2]) if after is not None and after < len(lines) and max(keys[after][:2], default=0) > 1 else None
     return Keyed(
-        toks, [hash(k) for k in keys], site_keys(site, toks, keys), [(len(k) - k.count(0)) * 2 >= len(k) and max(k, default=0) >= 2 for k in keys],
-        [site is not None and any(t[0].isalpha() for t in l) for l in toks], long, hosted, after, start, keys,
+        toks, cross, _site_keys(site, masked), counts, [site is not None and x for x in own], long, hosted, after, start, keys,
     )
 
 
@@ -465,7 +562,9 @@ def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, s
         lines = [t[:-1] if t[-1] == _WIDE_MARK else t for p in packed if p for t in [l.split(" ") for l in p.lower().split("\n")]]
     if not where:
         return out
-    slots, rows = _features(lines, stops, model.words)
+    flat, n = _numbered(lines, model.words)
+    slots, rows = features(flat, n, np.array(stops, "i8"))
+    digits = np.bincount(np.repeat(np.arange(len(n)), n)[flat == 1], minlength=len(n)) > 0
     furn, head = _scores(slots, rows, len(lines), model.furniture, model.heading)
     furn, head = np.clip(furn, -7, 7).tolist(), head.tolist()
     k = 0
@@ -489,7 +588,7 @@ def label_lines(docs: list[Lines], titles: list[str | None], model: BodyModel, s
         if support is not None and support[d][1]:
             site, known = support[d]
             open_ = [i for i in range(len(own)) if cost[i] <= SURE]
-            for i, key in zip(open_, site_keys(site, [lines[k + i] for i in open_])):
+            for i, key in zip(open_, site_keys(site, [lines[k + i] for i in open_], digits[[k + i for i in open_]])):
                 if key in known:
                     cost[i] += SITE
         if top >= 0:

@@ -355,8 +355,15 @@ def mappings(run: str, model: PairModel, single: bool = True, only: str | None =
     raws = {w: raw for w in TESTS if (raw := _encode(clean, w)) is not None and not raw.isascii()}
     lines = clean.count("\n")
 
+    read: dict[tuple[bytes, str], str | None] = {}
+
+    def decoded(raw: bytes, right: str) -> str | None:
+        if (raw, right) not in read:  # wrong encodings are alike in most characters
+            read[raw, right] = _decode(raw, right, lossy)
+        return read[raw, right]
+
     def tried(ways):
-        got = [(_decode(raws[w], r, lossy), w, r) for w, r in ways]
+        got = [(decoded(raws[w], r), w, r) for w, r in ways]
         return [x for x in got if x[0] is not None and x[0] != clean and x[0].count("\n") == lines and not _PRIVATE.search(x[0])]
 
     found = tried((w, "utf-8") for w in raws)
@@ -385,6 +392,9 @@ def mappings(run: str, model: PairModel, single: bool = True, only: str | None =
 
 def _bits(texts: list[str], model: PairModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sum of the scores, number, number of rare ones) of each text's pairs, all texts at once."""
+    if len(place := {t: k for k, t in enumerate(dict.fromkeys(texts))}) < len(texts):
+        of = [place[t] for t in texts]
+        return tuple(x[of] for x in _bits(list(place), model))
     at, codes = pair_codes("\n".join(texts))
     of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, "right")
     score = model.of(codes)

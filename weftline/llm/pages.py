@@ -10,6 +10,7 @@ repeats at hand.
 from __future__ import annotations
 
 import functools
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,9 +136,10 @@ def _restore(pairs, same: bool):
                         joined.append("\n".join([w or "", *more]))
                 fixed = encoding.repair_texts(joined, pairs.value)
                 packed, ends, texts, toks, marks = [], [], [], [], []
+                every = iter(body.pack_lines([x[0].strip() for lines in fixed for x in lines]))
                 for w, t, j, lines in zip(whole, text, joined, fixed):
                     n = w.count("\n") + 1 if w else 0
-                    tokens = [body.pack_line(y) if (y := x[0].strip()) else "" for x in lines]
+                    tokens = list(islice(every, len(lines)))
                     packed.append("\n".join(filter(None, tokens[:n])) if w else w)
                     ends.append(bytes([body.ends(x[0]) for x, k in zip(lines[:n], tokens) if k]))
                     if not same:

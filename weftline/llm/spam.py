@@ -35,12 +35,11 @@ FEATURES = (("function", -1), ("ends", -1), ("entropy", -1), ("repeats", 1), ("t
 SIGNS = np.array([s for _, s in FEATURES], "f8")
 
 
-_GAPS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_GAPS = bytes(c if chr(c).isalnum() or c == 10 else 32 for c in range(128)) + bytes(128)
 #: Marks that end a sentence, by script; some need no space after them.
 _END = re.compile(r"[.!?。！？؟։۔](?=[\s\"”’»)]|$)|[。！？।॥።၊။]")
 #: What parts entries of lists, and addresses.
-_MARKS = (*"#|<>,;/·•", "www.", "http:", "https:")
+_MARKS, _MORE_MARKS, _ADDRESSES = b"#|<>,;/", "·•", ("www.", "http:", "https:")
 
 #: Words a sentence of running text has at most, on average.
 SENTENCE = 60
@@ -65,16 +64,67 @@ def _ends(line: str) -> int:
     return sum(map(line.count, _ASCII_ENDS)) + (line[-1:] in _STOPS)
 
 
+def _marks(line: str) -> int:
+    """How many marks part a line's entries."""
+    raw = line.encode("utf-8", "surrogatepass")
+    n = len(raw) - len(raw.translate(None, _MARKS))
+    if len(raw) > len(line):
+        n += sum(map(line.count, _MORE_MARKS))
+    return n + sum(map(line.count, _ADDRESSES)) if "www." in line or "http" in line else n
+
+
+def words_in(lines: list[str]) -> list[list[str]]:
+    """The words of each line: letters and digits in a row; each kana or ideograph is one. All lines at once."""
+    out: list[list[str]] = [[]] * len(lines)
+    plain = [i for i, x in enumerate(lines) if x.isascii()]
+    if plain:
+        text = "\n".join([lines[i] for i in plain]).encode().translate(_GAPS).decode()
+        for i, x in zip(plain, text.split("\n")):
+            out[i] = x.split()
+    other = [i for i, x in enumerate(lines) if not x.isascii()]
+    if other:
+        for i, x in zip(other, _spaced("\n".join([lines[i] for i in other])).split("\n")):
+            out[i] = x.split()
+    return out
+
+
+def _spaced(text: str) -> str:
+    """A text with white space between its words in place of all other signs; lines stay."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4").copy()
+    kind = residue.kinds()[np.minimum(a, 0xFFFF)]
+    far = np.flatnonzero(a > 0xFFFE)
+    kind[far] = [chr(c).isalnum() for c in a[far].tolist()]
+    kind[a == 10] = 1
+    a[kind == 0] = 32
+    single = kind == 2
+    if single.any():
+        place = np.cumsum(1 + 2 * single) - 1 - single
+        every = np.full(int(place[-1]) + 1 + int(single[-1]), 32, "u4")
+        every[place] = a
+        a = every
+    return a.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def running(page: list[str]) -> Counter:
     """The words of a page's running text."""
-    out: Counter = Counter()
-    for x in page:
-        low = x.lower()
-        ws = low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low)
-        if any(map(str.isdigit, ws)):
-            ws = [w for w in ws if not w.isdigit()]
-        if len(ws) >= RUNNING and _ends(x) * SENTENCE >= len(ws):
-            out.update(ws)
+    return _running_of([page])[0]
+
+
+def _running_of(pages: list[list[str]]) -> list[Counter]:
+    """``running`` of each page."""
+    lines = [x for page in pages for x in page]
+    found, at, out = words_in("\n".join(lines).lower().split("\n") if lines else []), 0, []
+    for page in pages:
+        own: Counter = Counter()
+        for x, ws in zip(page, found[at : at + len(page)]):
+            if len(ws) < RUNNING:
+                continue
+            if any(map(str.isdigit, ws)):
+                ws = [w for w in ws if not w.isdigit()]
+            if len(ws) >= RUNNING and _ends(x) * SENTENCE >= len(ws):
+                own.update(ws)
+        at += len(page)
+        out.append(own)
     return out
 
 
@@ -92,7 +142,7 @@ def _running(batches):
     """(words, n) of each text with enough running text: its words and how often each stands there."""
     for b in batches:
         for start, stop in portions(b.column(0)):
-            held = [c for t in b.column(0).slice(start, stop - start).to_pylist() if t and (c := running(t.split("\n"))).total() >= LEAST_WORDS]
+            held = [c for c in _running_of([t.split("\n") for t in b.column(0).slice(start, stop - start).to_pylist() if t]) if c.total() >= LEAST_WORDS]
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(c) for c in held], pa.string()), pa.array([list(c.values()) for c in held], pa.list_(pa.int32()))], names=["words", "n"])
 
 
@@ -443,8 +493,10 @@ class Measure:
         flat: list[str] = []
         block_of, page_of_line, sizes, ends, marks, first = [], [], [], [], [], 0
         page_of_block: list[int] = []
+        words, at = words_in([x for lines in pages for x in lines]), 0
         for p, lines in enumerate(pages):
-            found = [x.translate(_GAPS).split() if x.isascii() else _WORD.findall(x) for x in lines]
+            found = words[at : at + len(lines)]
+            at += len(lines)
             n = [len(ws) for ws in found]
             own = block_of_lines(n)
             for ws in found:
@@ -455,7 +507,7 @@ class Measure:
             page_of_block += [p] * (max(own, default=-1) + 1)
             first = len(page_of_block)
             ends += [_ends(x) for x in lines]
-            marks += [sum(map(x.count, _MARKS)) for x in lines]
+            marks += map(_marks, lines)
         m = len(page_of_block)
         if not m or not flat:
             return [], [], np.zeros(0, "i8"), np.zeros((0, len(FEATURES)))

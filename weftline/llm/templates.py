@@ -11,7 +11,7 @@ bylines (as few by ``body.MANY_SHARE``).
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,28 +39,49 @@ def _portions(batches):
             yield [c.to_pylist() for c in b.slice(start, stop - start).columns]
 
 
+class _WordCounts:
+    """In how many texts each word stands, in how many of them in lower case, and in how many of each site
+    it is always written with a capital."""
+
+    def __init__(self):
+        self.words, self.sites = body.Spellings(), {}
+        self.n, self.plain = np.zeros((2, 0), "i8")
+        self.capital = np.zeros(0, "u8"), np.zeros(0, "i8")
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.capital[0])
+
+    def add(self, sites: list[str | None], texts: list[str]) -> None:
+        page, word, lower = self.words.pages(texts)
+        count = lambda own, before: np.bincount(own, minlength=len(self.words.words)) + np.pad(before, (0, len(self.words.words) - len(before)))
+        self.n, self.plain = count(word, self.n), count(word[lower], self.plain)
+        site = np.array([-1 if s is None else self.sites.setdefault(s, len(self.sites)) for s in sites], "i8")[page]
+        use = ~lower & (site >= 0) & np.array(self.words.long, bool)[word]
+        key = np.concatenate([self.capital[0], (site[use].astype("u8") << np.uint64(32)) | word[use].astype("u8")])
+        each, of = np.unique(key, return_inverse=True)
+        self.capital = each, np.bincount(of, np.concatenate([self.capital[1], np.ones(int(use.sum()), "i8")]), len(each)).astype("i8")
+
+    def counted(self) -> pa.RecordBatch:
+        """(token, site, n, plain), with a null site for all texts."""
+        words, sites, hit = self.words.words, list(self.sites), np.flatnonzero(self.n)
+        key, n = self.capital
+        token = [words[k] for k in hit.tolist()] + [words[k] for k in (key & np.uint64(0xFFFFFFFF)).tolist()]
+        site = [None] * len(hit) + [sites[k] for k in (key >> np.uint64(32)).tolist()]
+        cols = token, site, np.concatenate([self.n[hit], n]), np.concatenate([self.plain[hit], np.zeros(len(n), "i8")])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["token", "site", "n", "plain"])
+
+
 def known_words(pages: DataFrame, rows: int) -> dict[str, int]:
     """The words that templates keep, numbered from 2. pages: (row, site, title, text), restored and packed."""
 
     def run(batches):
-        n, plain, capital = Counter(), Counter(), Counter()
-
-        def counted():
-            cols = [*n, *(t for t, _ in capital)], [None] * len(n) + [s for _, s in capital], [*n.values(), *capital.values()], [plain[t] for t in n] + [0] * len(capital)
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["token", "site", "n", "plain"])
-            n.clear(), plain.clear(), capital.clear()
-            return out
-
+        held = _WordCounts()
         for _, sites, _, texts, *_ in _portions(batches):
-            for site, text in zip(sites, texts):
-                once, lower = body.words_of(text)
-                n.update(once)
-                plain.update(lower)
-                if site is not None:
-                    capital.update(zip((t for t in once - lower if len(t) > 1), repeat(site)))
-            if len(n) + len(capital) > HELD:
-                yield counted()
-        yield counted()
+            held.add(sites, texts)
+            if len(held) > HELD:
+                yield held.counted()
+                held = _WordCounts()
+        yield held.counted()
 
     # Rows without a site count a word in all records, those with one the records of that site in
     # which it is always written with a capital.
